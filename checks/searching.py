@@ -125,7 +125,7 @@ def _(fx):
 TERMS = "anea the retion 4"
 WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
 WEIGHT = " + ".join(
-    f"{w} * len(list_filter({c}, x -> x = '{{t}}'))"
+    f"{w} * len(list_filter({c}, lambda x: x = '{{t}}'))"
     for w, c in (("3.0", "tags"), ("2.0", WORDS.format("title")), ("1.0", WORDS.format("summary")))
 )
 TEXT_SQL = f"""weights AS (SELECT *, {', '.join(f"CAST({WEIGHT.replace('{t}', t)} AS DOUBLE) AS w{i}" for i, t in enumerate(TERMS.split()))} FROM tagged),
@@ -135,7 +135,7 @@ TEXT_SQL = f"""weights AS (SELECT *, {', '.join(f"CAST({WEIGHT.replace('{t}', t)
 
 @check("x1_text_search", f"WITH {TEXT_SQL} SELECT url, round(search_score, 6) AS search_score FROM found")
 def _(fx):
-    rows = search.text_search(fx.articles, TERMS).orderBy(*search.by_search_score())
+    rows = search.text_search(fx.articles, TERMS)
     return rows.select("url", rounded("search_score"))
 
 

@@ -178,3 +178,31 @@ def _(fx):
     align(fx.mentions, schemas.MENTIONS).repartition(24).write.parquet(many)
     compact(fx.spark, many, few)
     return plain_mentions(load_parquet(fx.spark, few, schemas.MENTIONS))
+
+
+@check(
+    "s7_store_trending",
+    """WITH kept_articles AS (SELECT * FROM articles WHERE collected >= DATE '2024-01-10'),
+       kept_mentions AS (SELECT * FROM mentions WHERE collected >= DATE '2024-01-10'),
+       top AS (SELECT chatter_url, max(likes) AS likes, max(comments) AS comments FROM kept_mentions GROUP BY chatter_url),
+       seen AS (SELECT m.chatter_url, min(m.collected) AS collected FROM kept_mentions m JOIN top x USING (chatter_url, likes, comments) GROUP BY m.chatter_url),
+       sums AS (SELECT m.url, CAST(sum(likes) AS BIGINT) AS likes, CAST(sum(comments) AS BIGINT) AS comments, count(*) AS shares FROM kept_mentions m
+         JOIN seen s ON s.chatter_url = m.chatter_url AND s.collected = m.collected GROUP BY m.url)
+       SELECT a.url, coalesce(s.likes, 0) AS likes, coalesce(s.comments, 0) AS comments, coalesce(s.shares, 0) AS shares,
+         coalesce(r.related, 0) AS related, p.site_name FROM kept_articles a
+       LEFT JOIN sums s ON s.url = a.url LEFT JOIN related_counts r ON r.url = a.url LEFT JOIN publishers p ON p.source = a.source
+       WHERE greatest(coalesce(s.likes, 0), coalesce(s.comments, 0), coalesce(s.shares, 0), coalesce(r.related, 0)) > 0""",
+)
+def _(fx):
+    import uuid
+
+    from pulsepress import ArticleStore
+
+    store = ArticleStore(fx.spark, f"press_{uuid.uuid4().hex[:8]}", scratch_folder(fx.spark))
+    store.store_articles(fx.articles, AS_OF)
+    store.store_publishers(fx.publishers, AS_OF)
+    store.store_mentions(fx.mentions, AS_OF)
+    store.store_related(fx.related)
+    store.optimize(AS_OF, "22 days")
+    columns = ["url", "likes", "comments", "shares", "related", "site_name"]
+    return store.query_aggregated(columns=columns, conditions=["related IS NOT NULL"])

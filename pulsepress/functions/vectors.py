@@ -60,4 +60,5 @@ def distance(embedding, query: Sequence[float], metric: str = "cosine") -> Colum
         result[rows] = distances(matrix, target, metric)[:, 0]
         return pa.array(result, mask=np.isnan(result))
 
-    return to_query(F.col(embedding) if isinstance(embedding, str) else embedding)
+    # Otherwise a filter on the distance would be moved below it and measure every vector twice.
+    return to_query.asNondeterministic()(F.col(embedding) if isinstance(embedding, str) else embedding)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pulsepress.functions.dates import as_datetime, day, days_before, timestamp
 from pulsepress.functions.text import tag_tokens, tokens
 from pulsepress.operators.joins import small_or_shuffled
+from pulsepress.schemas import DAY
 
 Moment = date | datetime | str
 IN_LIST_LIMIT = 1000
@@ -89,6 +90,13 @@ def article_filter(
     return all_of(parts)
 
 
+def in_days(days: Iterable[date | None]) -> Column:
+    """Rows of the given days of a partitioned table, None being the rows without one."""
+    days = set(days)
+    condition = F.col(DAY).isin(sorted(d for d in days if d is not None))
+    return condition | F.col(DAY).isNull() if None in days else condition
+
+
 def keep_keys(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
     """Rows whose column is in a list; a long list becomes a semi join instead of an expression."""
     values = list(dict.fromkeys(values))

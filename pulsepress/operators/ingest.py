@@ -23,8 +23,7 @@ def deduplicate(table: DataFrame, batch: DataFrame, keys: Sequence[str]) -> Data
     keys = list(keys)
     if not keys:
         return batch
-    stored = matching_keys(table, batch, keys)
-    return batch.join(small_or_shuffled(stored), keys, "left_anti")
+    return batch.join(matching_keys(table, batch, keys), keys, "left_anti")
 
 
 def new_keys(table: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -40,9 +39,11 @@ def new_rows(
 
     ``order`` says which row comes first; without it any one row of a repeated key is taken.
     """
-    keys = list(keys)
-    firsts = first_per_key(batch, keys, list(order)) if order else batch.dropDuplicates(keys)
-    return deduplicate(table, firsts, keys)
+    return one_per_key(deduplicate(table, batch, keys), keys, order)
+
+
+def one_per_key(batch: DataFrame, keys: Sequence[str], order: Sequence[Column] | None) -> DataFrame:
+    return first_per_key(batch, list(keys), list(order)) if order else batch.dropDuplicates(list(keys))
 
 
 def align(batch: DataFrame, schema: T.StructType) -> DataFrame:
@@ -114,16 +115,17 @@ def update(
     columns: Sequence[str] | None = None,
     nulls: str = "set",
     order: Sequence[Column] | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """The table with columns of matching rows replaced; batch keys that are not stored are ignored.
 
     ``columns`` defaults to all batch columns but the keys. ``nulls="set"`` writes NULLs of the
     batch, ``nulls="keep"`` keeps the stored value instead. ``order`` picks the batch row when a
-    key is repeated: the first one counts.
+    key is repeated: the first one counts. ``unique`` says that the batch repeats no key.
     """
     keys = list(keys)
     changed = [c for c in (columns or batch.columns) if c not in keys]
-    firsts = first_per_key(batch, keys, list(order)) if order else batch.dropDuplicates(keys)
+    firsts = batch if unique else one_per_key(batch, keys, order)
     pack = firsts.select(*keys, F.struct(*[F.col(c) for c in changed]).alias("__new"))
     joined = table.join(small_or_shuffled(pack), keys, "left")
 
@@ -152,9 +154,8 @@ def add_to_sets(table: DataFrame, batch: DataFrame, keys: Sequence[str], sets: S
     """Set columns gain the batch elements; other batch columns replace the stored value when truthy."""
     empty = F.array().cast("array<string>")
     keys = list(keys)
-    firsts = first_per_key(batch, keys, list(order)) if order else batch.dropDuplicates(keys)
     changed = [c for c in batch.columns if c not in keys]
-    pack = firsts.select(*keys, F.struct(*changed).alias("__new"))
+    pack = one_per_key(batch, keys, order).select(*keys, F.struct(*changed).alias("__new"))
     joined = table.join(small_or_shuffled(pack), keys, "left")
 
     def truthy(name: str) -> Column:

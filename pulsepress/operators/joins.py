@@ -31,7 +31,10 @@ def matching_keys(table: DataFrame, batch: DataFrame, keys: list[str]) -> DataFr
     so that the table is not shuffled; a larger one is matched by a shuffled semi join.
     """
     wanted = batch.select(*keys).distinct()
-    return table.select(*keys).join(small_or_shuffled(wanted), keys, "left_semi").distinct()
+    small = fits_broadcast(wanted)
+    stored = table.select(*keys).join(F.broadcast(wanted) if small else wanted, keys, "left_semi").distinct()
+    # No more rows than the batch has keys.
+    return F.broadcast(stored) if small else stored
 
 
 def attach(

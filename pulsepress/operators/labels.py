@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsepress.functions.vectors import as_matrix, distances
-from pulsepress.operators.ingest import update
-from pulsepress.operators.joins import first_per_key
+from pulsepress.operators.ingest import one_per_key, update
 from pulsepress.schemas import NEAREST_LABELS
 
 # Labels that travel with every task, and articles that meet one block of a larger label table.
@@ -136,11 +135,11 @@ def update_embeddings(
     order: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Set embeddings of stored articles and the labels that follow from them."""
-    rows = first_per_key(batch, ["url"], list(order)) if order else batch.dropDuplicates(["url"])
-    return update(articles, label_sets(rows, categories, sentiments), ["url"])
+    found = label_sets(one_per_key(batch, ["url"], order), categories, sentiments)
+    return update(articles, found, ["url"], unique=True)
 
 
 def backfill_labels(articles: DataFrame, categories: DataFrame, sentiments: DataFrame) -> DataFrame:
     """Label the articles that have an embedding but no categories."""
     waiting = articles.filter(F.col("embedding").isNotNull() & F.col("categories").isNull())
-    return update(articles, label_sets(waiting, categories, sentiments), ["url"], ["categories", "sentiments"])
+    return update(articles, label_sets(waiting, categories, sentiments), ["url"], ["categories", "sentiments"], unique=True)

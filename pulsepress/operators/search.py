@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsepress.functions.dates import seconds
 from pulsepress.functions.scores import min_max
-from pulsepress.functions.text import tag_tokens, tokens
+from pulsepress.functions.text import tag_tokens, tags_text
 from pulsepress.functions.vectors import distance
 from pulsepress.operators.joins import first_per_key
 from pulsepress.operators.ordering import nearest, page
@@ -111,10 +114,11 @@ def text_search(articles: DataFrame, query: str | Sequence[str], rank_from: Data
     given). Each article is scored where it is read; only the counts per term are shuffled.
     """
     text = query if isinstance(query, str) else " ".join(query)
-    spark = articles.sparkSession
-    terms = spark.range(1).select(F.array_distinct(tokens(F.lit(text))).alias("t")).first()["t"]
-    weighted = _occurrences(articles, terms)
-    corpus = _occurrences(articles if rank_from is None else rank_from, terms)
+    terms = list(dict.fromkeys(re.findall(r"[^\W_]+", text.lower())))
+    if not terms:
+        return articles.filter(F.lit(False)).withColumn("search_score", F.lit(0.0))
+    alone = r"(?<![\p{L}\p{N}])(?:%s)(?![\p{L}\p{N}])" % "|".join(terms)
+    corpus = _term_weights(articles if rank_from is None else rank_from, terms, alone)
     rarity = corpus.agg(
         F.array(
             *[
@@ -123,26 +127,40 @@ def text_search(articles: DataFrame, query: str | Sequence[str], rank_from: Data
             ]
         )
     ).scalar()
-    hits = weighted.filter(F.exists("__weights", lambda w: w > 0))
+    # The test for any term stops at the first one; only its hits are counted in full.
+    hits = articles.filter(reduce(or_, [F.coalesce(t.rlike(alone), F.lit(False)) for t in _texts().values()]))
     score = F.lit(0.0)
     for i in range(len(terms)):
         score = score + F.col("__weights")[i] * F.coalesce(rarity[i], F.lit(0.0))
-    return hits.withColumn("search_score", score).select(*articles.columns, "search_score")
+    scored = _term_weights(hits, terms, alone).withColumn("search_score", score)
+    return scored.select(*articles.columns, "search_score")
 
 
-def _occurrences(articles: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """Articles with ``__weights``: the weighted number of occurrences of every term."""
-    fields = {"tags": tag_tokens(), "title": tokens("title"), "summary": tokens("summary")}
-    measured = articles.withColumns({f"__{n}": F.coalesce(c, F.array().cast("array<string>")) for n, c in fields.items()})
+def _texts() -> dict[str, Column]:
+    tags = tags_text("regions", "entities", "categories")
+    return {"tags": F.lower(tags), "title": F.lower("title"), "summary": F.lower("summary")}
+
+
+def _term_weights(articles: DataFrame, terms: Sequence[str], alone: str) -> DataFrame:
+    """Articles with ``__weights``: the weighted number of occurrences of every term.
+
+    One pass over a field keeps only the wanted terms that stand alone in it.
+    """
+    none = F.array().cast("array<string>")
+    found = {
+        f"__{name}": F.coalesce(F.regexp_extract_all(text, F.lit(alone), F.lit(0)), none)
+        for name, text in _texts().items()
+    }
 
     def weight(term: str) -> Column:
         counts = [
-            F.size(F.filter(f"__{name}", lambda t: t == F.lit(term))) * F.lit(FIELD_WEIGHTS[name]) for name in fields
+            F.size(F.filter(f"__{name}", lambda t: t == F.lit(term))) * F.lit(share)
+            for name, share in FIELD_WEIGHTS.items()
         ]
         return counts[0] + counts[1] + counts[2]
 
-    weights = F.array(*[weight(t) for t in terms]) if terms else F.array().cast("array<double>")
-    return measured.withColumn("__weights", weights).drop(*[f"__{n}" for n in fields])
+    weights = F.array(*[weight(t) for t in terms])
+    return articles.withColumns(found).withColumn("__weights", weights).drop(*found)
 
 
 def by_search_score() -> list[Column]:

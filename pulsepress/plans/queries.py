@@ -1,7 +1,8 @@
-"""Query entry points over the article tables. All results are lazy DataFrames.
+"""Query entry points over the article tables.
 
-Queries with a limit over joined views first find the keys of the page from the columns that
-filters and order need, and read the large text and vector columns for those keys only.
+A query with a limit first finds its page from the columns that filters and order need, and reads
+the large text and vector columns for the articles of that page only. Articles may carry the day
+column of a partitioned table; it limits what is read and never appears in a result.
 """
 
 from __future__ import annotations
@@ -11,13 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsepress.operators.filters import article_filter, match_fields
-from pulsepress.operators.joins import PAGE_BROADCAST_ROWS
+from pulsepress.functions.dates import as_datetime
+from pulsepress.operators.filters import all_of, article_filter, between, in_days, match_fields
 from pulsepress.operators.ordering import latest, nearest, page, trending
 from pulsepress.operators.search import within_distance
 from pulsepress.plans.trends import related_lists
 from pulsepress.plans.views import add_publishers, aggregated_view, trending_view
-from pulsepress.schemas import HEAVY_COLUMNS, PUBLISHER_COLUMNS, TREND_COLUMNS
+from pulsepress.schemas import DAY, HEAVY_COLUMNS, PUBLISHER_COLUMNS, TREND_COLUMNS
+
+# Largest page whose urls are looked up; beyond it a query reads all its columns at once.
+PAGE_ROWS = 1000
 
 
 def query_latest(
@@ -30,8 +34,12 @@ def query_latest(
     **filters,
 ) -> DataFrame:
     """Filtered articles, newest first; with an embedding nearest first, with their distance."""
-    rows = articles.filter(article_filter(**filters))
-    return _page(rows, latest(), embedding, distance, limit, offset, columns)
+    wanted = list(columns or _columns_of(articles))
+    order = _order(latest(), embedding)
+    measured = _measure(_filtered(articles, filters), embedding, distance)
+    if not 0 < limit <= PAGE_ROWS:
+        return page(measured, order, limit, offset).select(*_output(wanted, embedding))
+    return _with_late(_page(measured, wanted, order, limit, offset), articles, wanted, order, embedding)
 
 
 def query_trending(
@@ -45,13 +53,12 @@ def query_trending(
     **filters,
 ) -> DataFrame:
     """Filtered articles with trend numbers, highest score first."""
-    wanted = list(columns or [*articles.columns, *TREND_COLUMNS])
-    view = trending_view(articles, trends).filter(article_filter(**filters))
-    if not 0 < limit <= PAGE_BROADCAST_ROWS:
-        return _page(view, trending(), embedding, distance, limit, offset, columns)
+    wanted = list(columns or [*_columns_of(articles), *TREND_COLUMNS])
     order = _order(trending(), embedding)
-    rows, late = _page_keys(_measure(view, embedding, distance), wanted, order, limit, offset)
-    return _finish(rows, articles, late, order, _output(wanted, embedding))
+    measured = _measure(_filtered(trending_view(articles, trends), filters), embedding, distance)
+    if not 0 < limit <= PAGE_ROWS:
+        return page(measured, order, limit, offset).select(*_output(wanted, embedding))
+    return _with_late(_page(measured, wanted, order, limit, offset), articles, wanted, order, embedding)
 
 
 def query_aggregated(
@@ -67,23 +74,24 @@ def query_aggregated(
     **filters,
 ) -> DataFrame:
     """Filtered articles with trend numbers, related urls and publisher details, newest first."""
-    if not 0 < limit <= PAGE_BROADCAST_ROWS or filters.get("conditions"):
-        # Conditions may name any column of the view, so it is built in full before the filter.
-        view = aggregated_view(articles, trends, related, publishers).filter(article_filter(**filters))
-        return _page(view, latest(), embedding, distance, limit, offset, columns)
-    base = articles.join(trends.select("url", *TREND_COLUMNS), "url", "left").filter(article_filter(**filters))
     wanted = list(
-        columns or [*articles.columns, *TREND_COLUMNS, "related_urls", "related_part", *PUBLISHER_COLUMNS]
+        columns or [*_columns_of(articles), *TREND_COLUMNS, "related_urls", "related_part", *PUBLISHER_COLUMNS]
     )
     order = _order(latest(), embedding)
-    rows, late = _page_keys(_measure(base, embedding, distance), wanted, order, limit, offset)
+    if not 0 < limit <= PAGE_ROWS or filters.get("conditions"):
+        # Conditions may name any column of the view, so it is built in full before the filter.
+        view = aggregated_view(articles, trends, related, publishers)
+        measured = _measure(_filtered(view, filters), embedding, distance)
+        return page(measured, order, limit, offset).select(*_output(wanted, embedding))
+    base = articles.join(trends.select("url", *TREND_COLUMNS), "url", "left")
+    rows = _page(_measure(_filtered(base, filters), embedding, distance), wanted, order, limit, offset)
     if any(c in PUBLISHER_COLUMNS for c in wanted):
         rows = add_publishers(rows, publishers)
     if "related_urls" in wanted or "related_part" in wanted:
         of_page = related.join(F.broadcast(rows.select("url")), "url", "left_semi")
         rows = rows.join(related_lists(of_page), "url", "left")
         order = [*order, F.col("related_part")]
-    return _finish(rows, articles, late, order, _output(wanted, embedding))
+    return _with_late(rows, articles, wanted, order, embedding)
 
 
 def query_publishers(publishers, collected=None, sources=None, conditions=None, limit=0, offset=0, columns=None):
@@ -94,13 +102,13 @@ def query_publishers(publishers, collected=None, sources=None, conditions=None,
 
 def query_mentions(mentions, collected=None, sources=None, conditions=None, limit=0, offset=0, columns=None):
     """Filtered snapshots. Without a page they come in no order, as in the table."""
-    rows = mentions.filter(article_filter(collected=collected, sources=sources, conditions=conditions))
+    rows = _filtered(mentions, {"collected": collected, "sources": sources, "conditions": conditions})
+    plain = _columns_of(mentions)
     if limit or offset:
-        rows = rows.withColumn("__row", F.monotonically_increasing_id()) if not limit else rows
-        order = [F.col(c) for c in ("collected", "chatter_url", "url", "forum", "likes", "comments")]
-        rows = page(rows, order, limit, offset, key="__row") if not limit else page(rows, order, limit, offset)
-        rows = rows.select(*mentions.columns)
-    return _columns(rows, columns)
+        # Snapshots have no key, so their position in the table stands in for it.
+        rows = rows.withColumn("__row", F.monotonically_increasing_id())
+        rows = page(rows, [F.col("collected"), F.col("chatter_url"), F.col("__row")], limit, offset, key="__row")
+    return rows.select(*(columns or plain))
 
 
 def query_aggregated_mentions(trends, urls=None, updated=None, limit=0, offset=0, columns=None):
@@ -134,6 +142,20 @@ def get_article(articles: DataFrame, columns: Sequence[str] | None = None, **fie
     return _columns(page(articles.filter(match_fields(**fields)), [F.col("url")], limit=1), columns)
 
 
+def _columns_of(articles: DataFrame) -> list[str]:
+    return [c for c in articles.columns if c != DAY]
+
+
+def _filtered(rows: DataFrame, filters: dict) -> DataFrame:
+    """All filters; bounds on the collection time also bound the days that are read."""
+    collected = filters.get("collected")
+    if collected and DAY in rows.columns:
+        low, high = collected if isinstance(collected, (tuple, list)) else (collected, None)
+        days = [bound and as_datetime(bound).date() for bound in (low, high)]
+        rows = rows.filter(all_of(between(DAY, days, dates=True)))
+    return rows.filter(article_filter(**filters))
+
+
 def _order(base: list[Column], embedding) -> list[Column]:
     return nearest(*base) if embedding else base
 
@@ -150,24 +172,28 @@ def _columns(rows: DataFrame, columns: Sequence[str] | None) -> DataFrame:
     return rows.select(*columns) if columns else rows
 
 
-def _page(rows, order, embedding, distance, limit, offset, columns) -> DataFrame:
-    measured = _measure(rows, embedding, distance)
-    ordered = page(measured, _order(order, embedding), limit, offset)
-    return ordered.select(*_output(columns, embedding)) if columns else ordered
+# Columns that orders and later joins of a page need.
+_PAGE_COLUMNS = ("url", "source", "created", "updated", "trend_score", "distance", DAY)
 
 
-def _page_keys(rows, wanted, order, limit, offset) -> tuple[DataFrame, list[str]]:
-    """The page without its large columns, and the large columns still to be read for it.
+def _page(rows: DataFrame, wanted, order, limit, offset) -> DataFrame:
+    """The page without large columns, kept in memory, as the later steps read it more than once."""
+    narrow = [c for c in rows.columns if c in _PAGE_COLUMNS or (c in wanted and c not in HEAVY_COLUMNS)]
+    return page(rows.select(*narrow), order, limit, offset).persist()
 
-    The page has at most ``limit`` rows. It is kept, as the later joins read it more than once.
-    """
-    late = [c for c in HEAVY_COLUMNS if c in wanted]
-    top = page(rows.select(*[c for c in rows.columns if c not in HEAVY_COLUMNS]), order, limit, offset)
-    return (top.persist() if late or "related_urls" in wanted else top), late
 
+def _with_late(rows: DataFrame, articles: DataFrame, wanted, order, embedding) -> DataFrame:
+    """The page with its large columns, in order.
 
-def _finish(rows, articles, late, order, output) -> DataFrame:
-    """Add the large columns for the articles of the page, which is small enough to broadcast."""
+    The urls of a page are few, so they are looked up and become a filter that parquet applies to
+    its statistics and pages; days limit the folders. Everything fits one sorted partition.
+    """
+    late = [c for c in HEAVY_COLUMNS if c in wanted]
     if late:
-        rows = articles.select("url", *late).join(F.broadcast(rows), "url")
-    return rows.orderBy(*order).select(*output)
+        days = [DAY] if DAY in rows.columns else []
+        keys = rows.select("url", *days).distinct().collect()
+        found = articles.filter(F.col("url").isin([k["url"] for k in keys]))
+        if days:
+            found = found.filter(in_days({k[DAY] for k in keys}))
+        rows = rows.join(F.broadcast(found.select("url", *late)), "url")
+    return rows.repartition(1).sortWithinPartitions(*order).select(*_output(wanted, embedding))

@@ -24,22 +24,20 @@ def snapshots_at_maxima(mentions: DataFrame) -> DataFrame:
 def first_at_maxima(mentions: DataFrame) -> DataFrame:
     """(chatter_url, collected): the earliest snapshot of a post that holds both maxima.
 
-    A snapshot holds both maxima exactly when its likes plus comments equal the sum of the maxima, so
-    the earliest time at the highest sum is enough and the snapshots need no join with the maxima.
-    Posts whose maxima never meet in one snapshot are dropped, and so are those without a time there.
+    A snapshot holds both maxima exactly when its likes plus comments equal the sum of the maxima.
+    So one aggregation finds the earliest snapshot with the largest sum, and the snapshots need no
+    join with the maxima. Posts whose maxima never meet in one snapshot are dropped, and so are
+    those without a time there.
     """
     both = F.col("likes") + F.col("comments")
-    per_sum = mentions.groupBy("chatter_url", both.alias("both")).agg(
-        F.max("likes").alias("likes"), F.max("comments").alias("comments"), F.min("collected").alias("collected")
-    )
-    per_post = per_sum.groupBy("chatter_url").agg(
+    snapshot = F.struct((-both).alias("minus_both"), "collected")
+    # The least of these structs has the largest sum and, among equal sums, the earliest time.
+    per_post = mentions.groupBy("chatter_url").agg(
         (F.max("likes") + F.max("comments")).alias("wanted"),
-        F.max("both").alias("both"),
-        F.max_by("collected", "both").alias("collected"),
-    )
-    return per_post.filter((F.col("both") == F.col("wanted")) & F.col("collected").isNotNull()).select(
-        "chatter_url", "collected"
+        F.min(F.when(both.isNotNull() & F.col("collected").isNotNull(), snapshot)).alias("first"),
     )
+    reached = per_post.filter(-F.col("first.minus_both") == F.col("wanted"))
+    return reached.select("chatter_url", "first.collected")
 
 
 def counted_snapshots(mentions: DataFrame) -> DataFrame:
@@ -80,16 +78,26 @@ def active_urls(mentions: DataFrame, related: DataFrame, shares: str = "count")
 def trend_stats(articles: DataFrame, mentions: DataFrame, related: DataFrame, shares: str = "count") -> DataFrame:
     """Trend numbers before scoring, for stored articles that are active.
 
-    Both inputs are already partitioned by url after their aggregation, so the outer join that finds
-    the active urls and the join with the articles reuse that partitioning.
+    Snapshots and related pairs are summed per url in one aggregation, which also finds the active
+    urls, and the join with the articles reuses its partitioning.
     """
-    totals = mention_totals(mentions, shares)
-    active = totals.join(related_counts(related), "url", "full_outer")
+    none = F.lit(0).cast("bigint")
+    share = {"count": F.when(F.col("chatter_url").isNotNull(), 1).otherwise(0), "sum": F.col("shares")}[shares]
+    posts = counted_snapshots(mentions).select(
+        "url", "collected", "likes", "comments", "subscribers", share.alias("shares"), none.alias("related")
+    )
+    pairs = related.select(
+        "url",
+        F.lit(None).cast("timestamp_ntz").alias("collected"),
+        *[none.alias(c) for c in ("likes", "comments", "subscribers", "shares")],
+        F.lit(1).alias("related"),
+    )
     numbers = ["likes", "comments", "subscribers", "shares", "related"]
-    return (
-        active.join(articles.select("url", "created"), "url")
-        .withColumn("updated", updated_day(F.col("created"), F.col("updated")))
-        .select("url", *[or_zero(c).alias(c) for c in numbers], "updated")
+    active = posts.unionByName(pairs).groupBy("url").agg(
+        F.to_date(F.max("collected")).alias("mentioned"), *[or_zero(F.sum(c)).alias(c) for c in numbers]
+    )
+    return active.join(articles.select("url", "created"), "url").select(
+        "url", *numbers, updated_day(F.col("created"), F.col("mentioned")).alias("updated")
     )
 
 

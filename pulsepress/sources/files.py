@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pulsepress.functions.dates import RFC3339_PATTERN
 from pulsepress.functions.text import public_url
 from pulsepress.operators.ingest import align
+from pulsepress.sources.scratch import session_settings
 
 # Wanted size of a data file after compaction.
 FILE_BYTES = 256 * 1024 * 1024
@@ -101,20 +102,11 @@ def compact(spark: SparkSession, source: str, target: str, file_bytes: int = FIL
     of files the source had.
     """
     files = len(spark.read.parquet(source).inputFiles())
-    before = {
-        name: spark.conf.get(name) for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    packing = {
+        "spark.sql.files.maxPartitionBytes": str(file_bytes),
+        "spark.sql.files.openCostInBytes": "0",
+        "spark.sql.files.minPartitionNum": "1",
     }
-    floor = spark.conf.get("spark.sql.files.minPartitionNum", None)
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(file_bytes))
-        spark.conf.set("spark.sql.files.openCostInBytes", "0")
-        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    with session_settings(spark, packing):
         spark.read.parquet(source).write.parquet(target)
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
-        if floor is None:
-            spark.conf.unset("spark.sql.files.minPartitionNum")
-        else:
-            spark.conf.set("spark.sql.files.minPartitionNum", floor)
     return files

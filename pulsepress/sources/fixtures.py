@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from pulsepress.functions.dates import timestamp
 
 
+RAW = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 class Fixtures:
     """Lazy article tables over one folder of test tables."""
 
@@ -18,7 +26,8 @@ class Fixtures:
         self.folder = folder.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # With the layout given, Spark does not open the files to plan a query.
+        return self.spark.read.schema(RAW[name]).parquet(f"{self.folder}/{name}.parquet")
 
     @cached_property
     def articles(self) -> DataFrame:
