@@ -19,10 +19,10 @@ from pulsepress.operators.ingest import new_rows
 from pulsepress.operators.search import nearest_rows
 from pulsepress.schemas import CLUSTER_EPS
 
-# Vectors wanted per cell, most centres used, and rows of one side compared in one task.
-CELL_ROWS = 4096
+# Most centres tried, vectors they are tried on, and rows of one side compared in one task.
 MAX_CENTRES = 1024
-TILE_ROWS = 4096
+TRIAL_ROWS = 1024
+TILE_ROWS = 8192
 
 _SLACK = 1e-6
 
@@ -56,17 +56,18 @@ def vector_pairs(
     articles: DataFrame,
     eps: float = CLUSTER_EPS,
     same_categories: bool = True,
-    cell_rows: int = CELL_ROWS,
+    cells: int | None = None,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """(url, related_url, distance), both directions, of different vectors at most ``eps`` apart (L2).
 
     Exact, without comparing all pairs: every vector belongs to the cell of its nearest centre and
     also visits each other cell whose border is within ``eps``. A pair is found once in the cell of
-    its second member. Cells larger than a tile are cut, and each pair of tiles is one task.
+    its second member. Cells larger than a tile are cut, and each pair of tiles is one task. The
+    number of cells is the one that moves the fewest rows on a small sample, unless it is given.
     Articles with equal vectors count once here, see ``copies``.
     """
-    centres = _centres(articles.filter(F.col("embedding").isNotNull()), cell_rows)
+    centres = _centres(articles, eps, same_categories, cells, tile_rows)
     if centres is None:
         return articles.sparkSession.createDataFrame([], "url string, related_url string, distance double")
     vectors = distinct_vectors(articles, same_categories).drop("copies")
@@ -104,32 +105,61 @@ def _tiles(rows: str, tile_rows: int) -> Column:
     return F.greatest(F.ceil(F.col(rows) / tile_rows), F.lit(1)).cast("int")
 
 
-def _centres(vectors: DataFrame, cell_rows: int) -> np.ndarray | None:
-    """Vectors chosen by the hash of their url; their number grows with the table up to a maximum."""
-    wanted = min(MAX_CENTRES, max(1, vectors.count() // cell_rows))
-    rows = vectors.orderBy(F.xxhash64("url"), "url").limit(wanted).select("embedding").collect()
-    return np.unique(np.array([r["embedding"] for r in rows], dtype="float64"), axis=0) if rows else None
+def _centres(
+    articles: DataFrame, eps: float, same_categories: bool, cells: int | None, tile_rows: int
+) -> np.ndarray | None:
+    """Some of the vectors, chosen by the hash of their url: as many as make the join cheapest.
 
-
-def _cells(centres: np.ndarray, eps: float):
-    """Cells of a vector: first its own, then those that can hold a vector within ``eps``.
+    Each row goes once to every tile of the cells it visits, and every home row meets all tiles of
+    its cell. Few cells mean many tiles, many cells mean many visits; the sample tells how many.
+    """
+    usable = articles.filter(F.col("embedding").isNotNull())
+    group = [F.to_json("categories").alias("group")] if same_categories else []
+    sizes = usable.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n").alias("n")).first()["n"]
+    if not largest:
+        return None
+    some = usable.orderBy(F.xxhash64("url"), "url").limit(MAX_CENTRES + TRIAL_ROWS).select("embedding").collect()
+    points = np.array([r["embedding"] for r in some], dtype="float64")
+    points = points[np.sort(np.unique(points, axis=0, return_index=True)[1])]
+    if cells:
+        return points[:cells]
+    best, least = 1, None
+    for count in (1, 4, 16, 64, 256, MAX_CENTRES):
+        if count > min(len(points), max(1, largest // 64)):
+            break
+        visits = _visited(points[-TRIAL_ROWS:], points[:count], eps)[1].sum(1).mean()
+        homes = largest / count
+        moved = visits * max(1.0, homes / tile_rows) + max(1.0, homes * visits / tile_rows)
+        if least is None or moved < least:
+            best, least = count, moved
+    return points[:best]
+
+
+def _visited(matrix: np.ndarray, centres: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """(own cell, cells that can hold a vector within ``eps``) of every vector.
 
     A segment from a vector to one in another cell crosses the plane midway between both centres, so
     only cells whose plane is within ``eps`` can hold a partner.
     """
     between = np.array([np.sqrt(((centres - c) ** 2).sum(1)) for c in centres])
+    squared = _squared(matrix, centres)
+    home = squared.argmin(axis=1)
+    nearest = squared[np.arange(len(home)), home]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        to_plane = (squared - nearest[:, None]) / (2.0 * between[home])
+    return home, ~(to_plane > eps + _SLACK)
+
+
+def _cells(centres: np.ndarray, eps: float):
+    """Cells of a vector, its own first."""
 
     @F.arrow_udf("array<int>")
     def place(embeddings: pa.Array) -> pa.Array:
         positions, matrix = as_matrix(embeddings, centres.shape[1])
         result: list = [None] * len(embeddings)
         if len(positions):
-            squared = _squared(matrix, centres)
-            home = squared.argmin(axis=1)
-            nearest = squared[np.arange(len(home)), home]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                to_plane = (squared - nearest[:, None]) / (2.0 * between[home])
-            visits = ~(to_plane > eps + _SLACK)
+            home, visits = _visited(matrix, centres, eps)
             for row, position in enumerate(positions):
                 others = np.flatnonzero(visits[row])
                 result[position] = [int(home[row])] + [int(c) for c in others if c != home[row]]
@@ -176,19 +206,24 @@ def similar_pairs(articles: DataFrame, eps: float = CLUSTER_EPS, same_categories
     are linked to the first of them only, at distance 0: a group of n copies gives 2(n - 1) rows
     instead of n(n - 1). ``related_to`` unfolds every pair for chosen articles.
     """
-    links = copies(articles, same_categories)
-    star = links.select("url", F.col("first_url").alias("related_url"), F.lit(0.0).alias("distance"))
-    return vector_pairs(articles, eps, same_categories).union(star).union(swap(star))
+    star = copies(articles, same_categories).select(
+        "url", F.col("first_url").alias("related_url"), F.lit(0.0).alias("distance")
+    )
+    return vector_pairs(articles, eps, same_categories).union(both_ways(star))
 
 
-def swap(pairs: DataFrame) -> DataFrame:
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """Every pair and its reverse, read once."""
     rest = [c for c in pairs.columns if c not in ("url", "related_url")]
-    return pairs.select(F.col("related_url").alias("url"), F.col("url").alias("related_url"), *rest)
+    one = F.struct("url", "related_url")
+    other = F.struct(F.col("related_url").alias("url"), F.col("url").alias("related_url"))
+    ways = pairs.select(F.explode(F.array(one, other)).alias("p"), *rest)
+    return ways.select("p.url", "p.related_url", *rest)
 
 
 def closure(pairs: DataFrame) -> DataFrame:
     """Pairs and their reverse, each once."""
-    return pairs.union(swap(pairs)).distinct()
+    return both_ways(pairs).distinct()
 
 
 def related_to(urls: DataFrame, pairs: DataFrame, links: DataFrame) -> DataFrame:

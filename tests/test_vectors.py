@@ -64,11 +64,11 @@ def test_threshold_measures_once(rows):
 
 
 @pytest.mark.parametrize("eps", [0.3, 0.6, 1.5])
-@pytest.mark.parametrize("cell_rows, tile_rows", [(1000, 1000), (20, 1000), (20, 7), (5, 3)])
-def test_similar_pairs_equal_brute_force(spark, eps, cell_rows, tile_rows):
+@pytest.mark.parametrize("cells, tile_rows", [(None, 1000), (7, 1000), (7, 7), (30, 3), (1, 11)])
+def test_similar_pairs_equal_brute_force(spark, eps, cells, tile_rows):
     points = vectors(150)
     df = table(spark, points)
-    both = pairs(similarity.vector_pairs(df, eps, cell_rows=cell_rows, tile_rows=tile_rows))
+    both = pairs(similarity.vector_pairs(df, eps, cells=cells, tile_rows=tile_rows))
     assert len(both) == len(set(both))
     assert set(both) == brute(points, eps, lambda i, j: i % 2 == j % 2)
 
@@ -76,7 +76,7 @@ def test_similar_pairs_equal_brute_force(spark, eps, cell_rows, tile_rows):
 def test_similar_pairs_without_categories(spark):
     points = vectors(90, seed=4)
     df = table(spark, points, lambda i: None)
-    assert set(pairs(similarity.vector_pairs(df, 0.6, same_categories=False, cell_rows=10, tile_rows=8))) == brute(points, 0.6)
+    assert set(pairs(similarity.vector_pairs(df, 0.6, same_categories=False, cells=9, tile_rows=8))) == brute(points, 0.6)
     assert similarity.vector_pairs(df, 0.6).count() == 0
 
 
