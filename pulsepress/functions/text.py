@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from pulsepress.schemas import BLOCKED_AUTHORS, MAX_WORDS
 
-# What counts as white space at the ends of a text, and what counts as a token.
-_SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+# White space at the ends of a text and between words, and what counts as a token.
+_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 _TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -18,14 +22,14 @@ def _column(value) -> Column:
 
 def strip(column) -> Column:
     """Without white space at both ends; NULL when nothing is left."""
-    return F.nullif(F.regexp_replace(_column(column), f"^{_SPACE}|{_SPACE}$", ""), F.lit(""))
+    return F.nullif(F.btrim(_column(column), F.lit(_SPACES)), F.lit(""))
 
 
 def count_words(column) -> Column:
     """Words between white space, at most the largest small integer; 0 for NULL."""
-    text = strip(column)
-    words = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, _SPACE)))
-    return F.least(words, F.lit(MAX_WORDS))
+    # A class with all spaces in the pattern would cost three times as much.
+    plain = F.translate(_column(column), _SPACES, " " * len(_SPACES))
+    return F.least(F.coalesce(F.regexp_count(plain, F.lit(r"\S+")), F.lit(0)), F.lit(MAX_WORDS))
 
 
 def clean_author(column) -> Column:

@@ -182,3 +182,21 @@ def test_text_search_counts_standing_words(rows):
     assert found.keys() == {"a", "b"}
     assert abs(found["a"] / found["b"] - 4 / 3) < 1e-9
     assert search.text_search(df, "...").count() == 0
+
+
+def test_strip_takes_what_python_takes(rows):
+    from pulsepress.functions.text import strip
+
+    ends = "".join(chr(i) for i in range(0x3100) if chr(i).isspace())
+    texts = [ends + "a b" + ends, ends, "", "​x", "plain", None]
+    df = rows("t string", *[(t,) for t in texts])
+    expected = [(t.strip() or None) if t else None for t in texts]
+    assert [r[0] for r in df.select(strip("t")).collect()] == expected
+
+
+def test_words_are_what_python_splits(rows):
+    from pulsepress.functions.text import count_words
+
+    texts = ["".join(f"x{chr(i)}" for i in range(0x3100) if chr(i).isspace()), " a​b c ", "", None]
+    df = rows("t string", *[(t,) for t in texts])
+    assert [r[0] for r in df.select(count_words("t")).collect()] == [len(t.split()) if t else 0 for t in texts]
