@@ -110,7 +110,19 @@ def _(fx):
 
 @check("j9_new_related", "SELECT url, related_url FROM pairs EXCEPT SELECT url, related_url FROM related")
 def _(fx):
-    return similarity.new_related(fx.related, fx.articles, EPS)
+    return similarity.new_related(fx.related, fx.articles, EPS, all_pairs=True)
+
+
+@check(
+    "j9_new_related_of_unmapped",
+    """WITH kept AS (SELECT r.* FROM related r JOIN articles a ON a.url = r.url WHERE a.kind = 'news'),
+       fresh AS (SELECT url FROM articles a WHERE embedding IS NOT NULL AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.url = a.url))
+       SELECT url, related_url FROM pairs WHERE url IN (SELECT url FROM fresh) OR related_url IN (SELECT url FROM fresh)
+       EXCEPT SELECT url, related_url FROM kept""",
+)
+def _(fx):
+    kept = drop_orphans(fx.related, fx.articles.filter("kind = 'news'"))
+    return similarity.new_related(kept, fx.articles, EPS)
 
 
 @check(

@@ -261,7 +261,7 @@ def _(fx):
 @check(
     "i18_vector_items",
     """SELECT concat('v', CAST(vec_id AS VARCHAR)) AS id, len(embedding) AS numbers,
-       CASE WHEN label < 5 THEN 1704067200 ELSE 1706745600 END AS ts FROM embeddings""",
+       CAST(CASE WHEN label < 5 THEN 1704067200 ELSE 1706745600 END AS BIGINT) AS ts FROM embeddings""",
 )
 def _(fx):
     items = fx.raw("embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id"), "embedding", "label")

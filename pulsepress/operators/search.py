@@ -17,10 +17,6 @@ from pulsepress.functions.vectors import distance
 from pulsepress.operators.joins import first_per_key
 from pulsepress.operators.ordering import nearest, page
 
-# Rows considered by a grouped or unlimited vector search, and its usual similarity.
-WIDE_SEARCH_ROWS = 1000
-SIMILARITY = 0.75
-
 # Weight of a term by the field it occurs in.
 FIELD_WEIGHTS = {"tags": 3.0, "title": 2.0, "summary": 1.0}
 

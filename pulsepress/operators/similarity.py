@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pulsepress.functions.vectors import as_matrix
 from pulsepress.operators.ingest import new_rows
+from pulsepress.operators.joins import small_or_shuffled
 from pulsepress.operators.search import nearest_rows
 from pulsepress.schemas import CLUSTER_EPS
 
@@ -30,16 +31,18 @@ _SLACK = 1e-6
 def distinct_vectors(articles: DataFrame, same_categories: bool = True) -> DataFrame:
     """One row per different vector (and category list): its first url and how many articles share it.
 
-    Copies are counted before the shuffle, so a vector shared by many articles stays one row.
+    Copies are counted before the shuffle, so a vector shared by many articles stays one row. Where
+    the articles have a ``fresh`` column, a vector is fresh when any article with it is.
     """
     usable = articles.filter(F.col("embedding").isNotNull())
     if same_categories:
         usable = usable.filter(F.col("categories").isNotNull())
     group = F.to_json("categories") if same_categories else F.lit("")
+    fresh = F.max("fresh") if "fresh" in articles.columns else F.lit(True)
     return (
         usable.groupBy(group.alias("group"), "embedding")
-        .agg(F.min("url").alias("url"), F.count(F.lit(1)).alias("copies"))
-        .select("group", "url", "embedding", "copies")
+        .agg(F.min("url").alias("url"), F.count(F.lit(1)).alias("copies"), fresh.alias("fresh"))
+        .select("group", "url", "embedding", "copies", "fresh")
     )
 
 
@@ -58,6 +61,7 @@ def vector_pairs(
     same_categories: bool = True,
     cells: int | None = None,
     tile_rows: int = TILE_ROWS,
+    fresh: DataFrame | None = None,
 ) -> DataFrame:
     """(url, related_url, distance), both directions, of different vectors at most ``eps`` apart (L2).
 
@@ -65,23 +69,27 @@ def vector_pairs(
     also visits each other cell whose border is within ``eps``. A pair is found once in the cell of
     its second member. Cells larger than a tile are cut, and each pair of tiles is one task. The
     number of cells is the one that moves the fewest rows on a small sample, unless it is given.
-    Articles with equal vectors count once here, see ``copies``.
+    Articles with equal vectors count once here, see ``copies``. With ``fresh``, a table of urls, only
+    pairs with at least one of these articles are sought, and no others are compared.
     """
+    if fresh is not None:
+        marks = fresh.select("url", F.lit(True).alias("fresh")).distinct()
+        articles = articles.select("url", "categories", "embedding").join(small_or_shuffled(marks), "url", "left")
+        articles = articles.withColumn("fresh", F.coalesce("fresh", F.lit(False)))
     centres = _centres(articles, eps, same_categories, cells, tile_rows)
     if centres is None:
         return articles.sparkSession.createDataFrame([], "url string, related_url string, distance double")
     vectors = distinct_vectors(articles, same_categories).drop("copies")
     placed = vectors.withColumn("cells", _cells(centres, eps)(F.col("embedding")))
     placed = placed.select(
-        "group", "url", "embedding", F.posexplode("cells").alias("place", "cell")
-    ).withColumn("home", F.col("place") == 0)
-    sizes = (
-        placed.groupBy("group", "cell")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("h"))
-        .filter(F.col("n") > tile_rows)
-        .select("group", "cell", _tiles("h", tile_rows).alias("homes"), _tiles("n", tile_rows).alias("all"))
-    )
-    tiled = placed.join(sizes, ["group", "cell"], "left").fillna(1, ["homes", "all"])
+        "group", "url", "embedding", "fresh", F.posexplode("cells").alias("place", "cell")
+    ).withColumn("home", (F.col("place") == 0) & F.col("fresh"))
+    counts = placed.groupBy("group", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("h"))
+    # Every row needs the size of its cell only where the cell is large, or may have no fresh member.
+    counts = counts.filter(F.col("n") > tile_rows) if fresh is None else counts.filter(F.col("h") > 0)
+    sizes = counts.select("group", "cell", _tiles("h", tile_rows).alias("homes"), _tiles("n", tile_rows).alias("all"))
+    tiled = placed.join(sizes, ["group", "cell"], "left" if fresh is None else "inner")
+    tiled = tiled.fillna(1, ["homes", "all"])
     own_home = F.pmod(F.xxhash64("url"), F.col("homes")).cast("int")
     own = F.pmod(F.xxhash64("url", F.lit("all")), F.col("all")).cast("int")
     as_home = F.transform(
@@ -96,9 +104,11 @@ def vector_pairs(
     spread = tiled.select("group", "cell", "url", "embedding", F.explode(spots).alias("s")).select(
         "group", "cell", "s.i", "s.j", "s.as_home", "s.as_any", "url", "embedding"
     )
-    return spread.groupBy("group", "cell", "i", "j").applyInArrow(
+    pairs = spread.groupBy("group", "cell", "i", "j").applyInArrow(
         _compare(eps, centres.shape[1]), "url string, related_url string, distance double"
     )
+    # Here a pair was found from its fresh side, or from both.
+    return pairs if fresh is None else both_ways(pairs).distinct()
 
 
 def _tiles(rows: str, tile_rows: int) -> Column:
@@ -199,7 +209,9 @@ def _compare(eps: float, length: int):
     return compare
 
 
-def similar_pairs(articles: DataFrame, eps: float = CLUSTER_EPS, same_categories: bool = True) -> DataFrame:
+def similar_pairs(
+    articles: DataFrame, eps: float = CLUSTER_EPS, same_categories: bool = True, fresh: DataFrame | None = None
+) -> DataFrame:
     """(url, related_url, distance) links between similar articles, both directions.
 
     Different vectors within ``eps`` are linked pair by pair. Articles with one and the same vector
@@ -209,7 +221,7 @@ def similar_pairs(articles: DataFrame, eps: float = CLUSTER_EPS, same_categories
     star = copies(articles, same_categories).select(
         "url", F.col("first_url").alias("related_url"), F.lit(0.0).alias("distance")
     )
-    return vector_pairs(articles, eps, same_categories).union(both_ways(star))
+    return vector_pairs(articles, eps, same_categories, fresh=fresh).union(both_ways(star))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -238,9 +250,11 @@ def related_to(urls: DataFrame, pairs: DataFrame, links: DataFrame) -> DataFrame
     return firsts.union(members).filter(F.col("url") != F.col("related_url")).distinct()
 
 
-def new_related(related: DataFrame, articles: DataFrame, eps: float = CLUSTER_EPS) -> DataFrame:
-    """Similar pairs that are not stored yet."""
-    return new_rows(related, similar_pairs(articles, eps).select("url", "related_url"), ["url", "related_url"])
+def new_related(related: DataFrame, articles: DataFrame, eps: float = CLUSTER_EPS, all_pairs: bool = False) -> DataFrame:
+    """Similar pairs that are not stored yet, sought for the unmapped articles or for all of them."""
+    fresh = None if all_pairs else unmapped(articles, related).select("url")
+    pairs = similar_pairs(articles, eps, fresh=fresh).select("url", "related_url")
+    return new_rows(related, pairs, ["url", "related_url"])
 
 
 def unmapped(articles: DataFrame, related: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsepress.functions.dates import as_datetime
-from pulsepress.operators.filters import all_of, article_filter, between, in_days, match_fields
+from pulsepress.operators.filters import all_of, article_filter, between, in_days, keep_keys, match_fields
 from pulsepress.operators.ordering import latest, nearest, page, trending
 from pulsepress.operators.search import within_distance
 from pulsepress.plans.trends import related_lists
@@ -113,7 +113,8 @@ def query_mentions(mentions, collected=None, sources=None, conditions=None, limi
 
 def query_aggregated_mentions(trends, urls=None, updated=None, limit=0, offset=0, columns=None):
     """Trend numbers of articles, highest score first."""
-    rows = trends.filter(article_filter(urls=urls, updated=updated))
+    rows = keep_keys(trends, "url", urls) if urls else trends
+    rows = rows.filter(article_filter(updated=updated))
     return _columns(page(rows, trending(), limit, offset), columns)
 
 

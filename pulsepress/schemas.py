@@ -105,7 +105,6 @@ TREND_COLUMNS = ["updated", "comments", "shares", "likes", "subscribers", "relat
 PUBLISHER_COLUMNS = ["base_url", "site_name", "description", "favicon", "rss_feed"]
 
 # Defaults and limits that results depend on.
-VECTOR_LENGTH = 384
 CLUSTER_EPS = 0.3
 RETENTION_WINDOW = "6 months"
 NEAREST_LABELS = 2

@@ -54,13 +54,13 @@ class Tables:
 
     def append(self, table: str, rows: DataFrame) -> int:
         """Add rows by column name and return how many, counted while they are written."""
-        counted, seen = self._counted(rows.select(*self.read(table).columns))
+        counted, seen = self._counted(self._balanced(rows.select(*self.read(table).columns)))
         counted.write.insertInto(self.name(table))
         return seen()
 
     def overwrite_days(self, table: str, rows: DataFrame) -> int:
         """Replace the days that occur in the rows."""
-        counted, seen = self._counted(rows.select(*self.read(table).columns))
+        counted, seen = self._counted(self._balanced(rows.select(*self.read(table).columns)))
         with session_settings(self.spark, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
             counted.write.insertInto(self.name(table), overwrite=True)
         return seen()
@@ -108,6 +108,11 @@ class Tables:
             self._drop_day(table, day)
         return len(old)
 
+    @staticmethod
+    def _balanced(rows: DataFrame) -> DataFrame:
+        """Few files per day: Spark gathers small days and splits large ones by size."""
+        return rows.hint("rebalance", F.col(schemas.DAY)) if schemas.DAY in rows.columns else rows
+
     @staticmethod
     def _counted(rows: DataFrame):
         seen = Observation()
@@ -206,10 +211,8 @@ class ArticleStore:
         return self.tables.append(name, self._by_day(name, ingest.align(fresh, schemas.TABLES[name])))
 
     def _by_day(self, name: str, rows: DataFrame) -> DataFrame:
-        """With the day column; Spark balances the files of each day, splitting large days."""
-        if name not in schemas.DAY_PARTITIONED:
-            return rows
-        return rows.withColumn(schemas.DAY, F.to_date("collected")).hint("rebalance", F.col(schemas.DAY))
+        """With the day column of a partitioned table."""
+        return rows.withColumn(schemas.DAY, F.to_date("collected")) if name in schemas.DAY_PARTITIONED else rows
 
     # Queries
 
@@ -276,7 +279,7 @@ class ArticleStore:
             many = files.groupBy(schemas.DAY).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_files)
             days = [row[schemas.DAY] for row in many.collect()]
             if days:
-                self.tables.overwrite_days(table, rows.filter(in_days(days)).hint("rebalance", F.col(schemas.DAY)))
+                self.tables.overwrite_days(table, rows.filter(in_days(days)))
                 rewritten += len(days)
         return rewritten
 

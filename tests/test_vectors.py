@@ -73,6 +73,17 @@ def test_similar_pairs_equal_brute_force(spark, eps, cells, tile_rows):
     assert set(both) == brute(points, eps, lambda i, j: i % 2 == j % 2)
 
 
+@pytest.mark.parametrize("cells, tile_rows", [(None, 1000), (7, 9)])
+def test_pairs_of_fresh_articles_only(spark, cells, tile_rows):
+    points = vectors(120, seed=8)
+    df = table(spark, points)
+    fresh = {f"u{i}" for i in range(0, 120, 9)}
+    wanted = df.filter(F.col("url").isin(list(fresh))).select("url")
+    found = pairs(similarity.vector_pairs(df, 0.6, cells=cells, tile_rows=tile_rows, fresh=wanted))
+    everything = brute(points, 0.6, lambda i, j: i % 2 == j % 2)
+    assert len(found) == len(set(found)) and set(found) == {p for p in everything if fresh & set(p)}
+
+
 def test_similar_pairs_without_categories(spark):
     points = vectors(90, seed=4)
     df = table(spark, points, lambda i: None)
