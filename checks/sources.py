@@ -86,7 +86,7 @@ def _(fx):
 def _(fx):
     path = scratch_folder(fx.spark)
     trends_of(fx).write.parquet(path)
-    fx.spark.sql("CREATE DATABASE IF NOT EXISTS press_checks")
+    fx.spark.sql(f"CREATE DATABASE IF NOT EXISTS press_checks LOCATION '{scratch_folder(fx.spark)}'")
     fx.spark.sql("DROP TABLE IF EXISTS press_checks.trends")
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.TRENDS)
     fx.spark.sql(f"CREATE TABLE press_checks.trends ({columns}) USING parquet LOCATION '{path}'")

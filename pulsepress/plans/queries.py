@@ -39,7 +39,8 @@ def query_latest(
     measured = _measure(_filtered(articles, filters), embedding, distance)
     if not 0 < limit <= PAGE_ROWS:
         return page(measured, order, limit, offset).select(*_output(wanted, embedding))
-    return _with_late(_page(measured, wanted, order, limit, offset), articles, wanted, order, embedding)
+    rows = _add_large(_page(measured, wanted, order, limit, offset), articles, wanted)
+    return rows.repartition(1).sortWithinPartitions(*order).select(*_output(wanted, embedding))
 
 
 def query_trending(
@@ -58,7 +59,8 @@ def query_trending(
     measured = _measure(_filtered(trending_view(articles, trends), filters), embedding, distance)
     if not 0 < limit <= PAGE_ROWS:
         return page(measured, order, limit, offset).select(*_output(wanted, embedding))
-    return _with_late(_page(measured, wanted, order, limit, offset), articles, wanted, order, embedding)
+    rows = _add_large(_page(measured, wanted, order, limit, offset), articles, wanted)
+    return rows.repartition(1).sortWithinPartitions(*order).select(*_output(wanted, embedding))
 
 
 def query_aggregated(
@@ -84,14 +86,15 @@ def query_aggregated(
         measured = _measure(_filtered(view, filters), embedding, distance)
         return page(measured, order, limit, offset).select(*_output(wanted, embedding))
     base = articles.join(trends.select("url", *TREND_COLUMNS), "url", "left")
-    rows = _page(_measure(_filtered(base, filters), embedding, distance), wanted, order, limit, offset)
-    if any(c in PUBLISHER_COLUMNS for c in wanted):
-        rows = add_publishers(rows, publishers)
-    if "related_urls" in wanted or "related_part" in wanted:
-        of_page = related.join(F.broadcast(rows.select("url")), "url", "left_semi")
-        rows = rows.join(related_lists(of_page), "url", "left")
-        order = [*order, F.col("related_part")]
-    return _with_late(rows, articles, wanted, order, embedding)
+    top = _page(_measure(_filtered(base, filters), embedding, distance), wanted, order, limit, offset)
+    rows = add_publishers(top, publishers) if any(c in PUBLISHER_COLUMNS for c in wanted) else top
+    rows = _add_large(rows, articles, wanted)
+    if not {"related_urls", "related_part"} & set(wanted):
+        return rows.repartition(1).sortWithinPartitions(*order).select(*_output(wanted, embedding))
+    # Sorting by ranges reads its input twice, and lists of many parts may be too large for one task.
+    lists = related_lists(related.join(F.broadcast(top.select("url")), "url", "left_semi"))
+    rows = rows.persist().join(lists, "url", "left").orderBy(*order, F.col("related_part"))
+    return rows.select(*_output(wanted, embedding))
 
 
 def query_publishers(publishers, collected=None, sources=None, conditions=None, limit=0, offset=0, columns=None):
@@ -183,18 +186,18 @@ def _page(rows: DataFrame, wanted, order, limit, offset) -> DataFrame:
     return page(rows.select(*narrow), order, limit, offset).persist()
 
 
-def _with_late(rows: DataFrame, articles: DataFrame, wanted, order, embedding) -> DataFrame:
-    """The page with its large columns, in order.
+def _add_large(rows: DataFrame, articles: DataFrame, wanted) -> DataFrame:
+    """The page with its large columns.
 
     The urls of a page are few, so they are looked up and become a filter that parquet applies to
-    its statistics and pages; days limit the folders. Everything fits one sorted partition.
+    its statistics and pages; days limit the folders.
     """
-    late = [c for c in HEAVY_COLUMNS if c in wanted]
-    if late:
-        days = [DAY] if DAY in rows.columns else []
-        keys = rows.select("url", *days).distinct().collect()
-        found = articles.filter(F.col("url").isin([k["url"] for k in keys]))
-        if days:
-            found = found.filter(in_days({k[DAY] for k in keys}))
-        rows = rows.join(F.broadcast(found.select("url", *late)), "url")
-    return rows.repartition(1).sortWithinPartitions(*order).select(*_output(wanted, embedding))
+    large = [c for c in HEAVY_COLUMNS if c in wanted]
+    if not large:
+        return rows
+    days = [DAY] if DAY in rows.columns else []
+    keys = rows.select("url", *days).distinct().collect()
+    found = articles.filter(F.col("url").isin([k["url"] for k in keys]))
+    if days:
+        found = found.filter(in_days({k[DAY] for k in keys}))
+    return found.select("url", *large).join(F.broadcast(rows), "url")
