@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from pulsepress import schemas
 from pulsepress.functions.dates import as_datetime, days_before, timestamp, window_start
-from pulsepress.operators.joins import first_per_key, matching_keys, small_or_shuffled
+from pulsepress.operators.joins import attach, first_per_key, fits_broadcast, matching_keys, small_or_shuffled
 
 
 def deduplicate(table: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -23,7 +23,11 @@ def deduplicate(table: DataFrame, batch: DataFrame, keys: Sequence[str]) -> Data
     keys = list(keys)
     if not keys:
         return batch
-    return batch.join(matching_keys(table, batch, keys), keys, "left_anti")
+    stored = matching_keys(table, batch, keys)
+    if fits_broadcast(batch.select(*keys).distinct()):
+        return batch.join(stored, keys, "left_anti")
+    rest = [c for c in batch.columns if c not in keys]
+    return attach(batch, stored, keys, rest or keys, "left_anti")
 
 
 def new_keys(table: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -39,7 +43,7 @@ def new_rows(
 
     ``order`` says which row comes first; without it any one row of a repeated key is taken.
     """
-    return one_per_key(deduplicate(table, batch, keys), keys, order)
+    return one_per_key(batch, keys, order).join(matching_keys(table, batch, keys), keys, "left_anti")
 
 
 def one_per_key(batch: DataFrame, keys: Sequence[str], order: Sequence[Column] | None) -> DataFrame:

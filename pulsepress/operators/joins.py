@@ -28,33 +28,39 @@ def matching_keys(table: DataFrame, batch: DataFrame, keys: list[str]) -> DataFr
     """The distinct keys of ``batch`` that occur in ``table``.
 
     Only the key columns of the table are read. A batch of checked size goes to every executor,
-    so that the table is not shuffled; a larger one is matched by a shuffled semi join.
+    so that the table is not shuffled. Otherwise both sides are reduced to distinct keys, before
+    and after one shuffle each, and joined where they are.
     """
     wanted = batch.select(*keys).distinct()
-    small = fits_broadcast(wanted)
-    stored = table.select(*keys).join(F.broadcast(wanted) if small else wanted, keys, "left_semi").distinct()
-    # No more rows than the batch has keys.
-    return F.broadcast(stored) if small else stored
+    if fits_broadcast(wanted):
+        # No more rows than the batch has keys, so the result may be broadcast as well.
+        return F.broadcast(table.select(*keys).join(F.broadcast(wanted), keys, "left_semi").distinct())
+    return table.select(*keys).distinct().join(wanted, keys, "left_semi")
 
 
 def attach(
     facts: DataFrame,
     lookup: DataFrame,
-    key: str,
-    spread: str = "url",
+    keys: str | list[str],
+    spread: str | list[str] = "url",
+    how: str = "left",
     salts: int = 16,
     limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
-    """Left join of a lookup table with one row per key to facts whose keys may be very uneven.
+    """Join a lookup table with one row per key to facts whose keys may be very uneven.
 
     A lookup of checked size is broadcast. A larger one is copied ``salts`` times and each fact row
-    takes one copy by the hash of its ``spread`` column, so a hot key is shared by that many tasks.
+    takes one copy by the hash of its ``spread`` columns, so a hot key is shared by that many tasks.
+    The copies need a shuffle of their own, which also lets Spark split what is still uneven; a
+    lookup that comes straight from an aggregation would not.
     """
+    keys = [keys] if isinstance(keys, str) else list(keys)
     if fits_broadcast(lookup, limit):
-        return facts.join(F.broadcast(lookup), key, "left")
-    salted = facts.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+        return facts.join(F.broadcast(lookup), keys, how)
+    spread = [spread] if isinstance(spread, str) else list(spread)
+    salted = facts.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "__salt"], "left").drop("__salt")
+    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
 def lists_in_parts(
@@ -68,7 +74,7 @@ def lists_in_parts(
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
     parts = counts.select(key, F.ceil(F.col("__n") * 2 / limit).cast("int").alias("__parts"))
-    numbered = df.select(key, value).join(parts, key, "left")
+    numbered = attach(df.select(key, value), parts, key, spread=value)
     numbered = numbered.select(
         key,
         value,

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pulsepress.functions.vectors import as_matrix
 from pulsepress.operators.ingest import new_rows
-from pulsepress.operators.joins import small_or_shuffled
+from pulsepress.operators.joins import attach, small_or_shuffled
 from pulsepress.operators.search import nearest_rows
 from pulsepress.schemas import CLUSTER_EPS
 
@@ -51,7 +51,8 @@ def copies(articles: DataFrame, same_categories: bool = True) -> DataFrame:
     shared = distinct_vectors(articles, same_categories).filter("copies > 1")
     group = F.to_json("categories") if same_categories else F.lit("")
     keyed = articles.filter(F.col("embedding").isNotNull()).select("url", "embedding", group.alias("group"))
-    joined = keyed.join(shared.select("group", "embedding", F.col("url").alias("first_url")), ["group", "embedding"])
+    firsts = shared.select("group", "embedding", F.col("url").alias("first_url"))
+    joined = attach(keyed, firsts, ["group", "embedding"], how="inner")
     return joined.filter(F.col("url") != F.col("first_url")).select("url", "first_url")
 
 
@@ -88,7 +89,7 @@ def vector_pairs(
     # Every row needs the size of its cell only where the cell is large, or may have no fresh member.
     counts = counts.filter(F.col("n") > tile_rows) if fresh is None else counts.filter(F.col("h") > 0)
     sizes = counts.select("group", "cell", _tiles("h", tile_rows).alias("homes"), _tiles("n", tile_rows).alias("all"))
-    tiled = placed.join(sizes, ["group", "cell"], "left" if fresh is None else "inner")
+    tiled = attach(placed, sizes, ["group", "cell"], how="left" if fresh is None else "inner")
     tiled = tiled.fillna(1, ["homes", "all"])
     own_home = F.pmod(F.xxhash64("url"), F.col("homes")).cast("int")
     own = F.pmod(F.xxhash64("url", F.lit("all")), F.col("all")).cast("int")
@@ -259,7 +260,7 @@ def new_related(related: DataFrame, articles: DataFrame, eps: float = CLUSTER_EP
 
 def unmapped(articles: DataFrame, related: DataFrame) -> DataFrame:
     """Articles with an embedding that no related pair starts from."""
-    return articles.filter(F.col("embedding").isNotNull()).join(related.select("url"), "url", "left_anti")
+    return articles.filter(F.col("embedding").isNotNull()).join(related.select("url").distinct(), "url", "left_anti")
 
 
 def assign_clusters(pairs: DataFrame) -> DataFrame:
@@ -270,7 +271,7 @@ def assign_clusters(pairs: DataFrame) -> DataFrame:
     centre = F.min(F.struct(F.round("distance", 6).alias("distance"), "related_url"))["related_url"]
     members = pairs.groupBy("url").agg(centre.alias("cluster_id"))
     sizes = pairs.groupBy(F.col("url").alias("cluster_id")).agg(F.count(F.lit(1)).alias("related"))
-    return members.join(sizes, "cluster_id").select("url", "cluster_id", "related")
+    return attach(members, sizes, "cluster_id", how="inner").select("url", "cluster_id", "related")
 
 
 def in_cluster(clusters: DataFrame, url: str) -> DataFrame:
@@ -282,13 +283,14 @@ def in_cluster(clusters: DataFrame, url: str) -> DataFrame:
 
 def cluster_sizes(clusters: DataFrame, urls: Sequence[str] | DataFrame) -> DataFrame:
     """(cluster_id, url, cluster_size) for some urls; articles without a cluster count as one group."""
-    sizes = clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
+    # The marked id is never NULL, so articles without a cluster join like any other group.
+    marked = clusters.select("url", "cluster_id", F.struct(F.col("cluster_id").alias("id")).alias("group"))
+    sizes = marked.groupBy("group").agg(F.count(F.lit(1)).alias("cluster_size"))
     if isinstance(urls, DataFrame):
-        wanted = clusters.join(urls.select("url").distinct(), "url", "left_semi")
+        wanted = marked.join(urls.select("url").distinct(), "url", "left_semi")
     else:
-        wanted = clusters.filter(F.col("url").isin(list(urls)))
-    wanted = wanted.select("url", F.col("cluster_id").alias("own")).distinct()
-    joined = wanted.join(sizes, F.col("own").eqNullSafe(F.col("cluster_id")))
+        wanted = marked.filter(F.col("url").isin(list(urls)))
+    joined = attach(wanted.distinct(), sizes, "group", how="inner")
     return joined.select("cluster_id", "url", "cluster_size")
 
 

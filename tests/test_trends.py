@@ -116,3 +116,15 @@ def test_rollup_and_change(rows):
     assert change["b"]["shares_change"] == 1
     lists = {r["url"]: r["shared_in"] for r in trends.shared_in(m).collect()}
     assert lists == {"a": ["p", "q"], "b": ["z"]}
+
+
+def test_parts_do_not_depend_on_the_join(spark, monkeypatch):
+    from pulsepress.operators import joins
+
+    pairs = spark.range(600).selectExpr(
+        "CASE WHEN id < 400 THEN 'hot' ELSE concat('u', id % 20) END AS url", "concat('r', id) AS related_url"
+    )
+    once = {(r["url"], r["related_part"], tuple(r["related_urls"])) for r in trends.related_lists(pairs, limit=50).collect()}
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *a, **k: not k and len(a) < 2)
+    again = {(r["url"], r["related_part"], tuple(r["related_urls"])) for r in trends.related_lists(pairs, limit=50).collect()}
+    assert once == again

@@ -129,6 +129,17 @@ def test_clusters(rows):
     assert sizes == {"x": 2, "z": 2}
 
 
+def test_large_lookups_give_the_same_pairs(spark, monkeypatch):
+    from pulsepress.operators import joins
+
+    points = vectors(60, seed=3) + [vectors(1, seed=3)[0]] * 20
+    df = table(spark, points, lambda i: ["c"])
+    pairs_once, links = pairs(similarity.vector_pairs(df, 0.6, cells=5, tile_rows=6)), similarity.copies(df).count()
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *a, **k: False)
+    assert pairs(similarity.vector_pairs(df, 0.6, cells=5, tile_rows=6)) == pairs_once
+    assert similarity.copies(df).count() == links == 20
+
+
 def test_labels_in_blocks_equal_labels_at_once(spark):
     articles = table(spark, vectors(60, seed=5)).unionByName(spark.createDataFrame([("none", None, None)], SCHEMA))
     reference = spark.createDataFrame([(f"l{i:02}", [float(x) for x in p]) for i, p in enumerate(vectors(30, seed=6))], "label string, embedding array<float>")
