@@ -20,6 +20,7 @@ from pulsepress.operators.joins import matching_keys
 from pulsepress.plans import queries
 from pulsepress.plans.trends import trend_aggregate
 from pulsepress.plans.views import register_views
+from pulsepress.sources import files
 from pulsepress.sources.scratch import session_settings
 
 
@@ -156,6 +157,19 @@ class ArticleStore:
     def store_publishers(self, batch: DataFrame, as_of=None, order=None) -> int:
         return self._insert("publishers", ingest.stamp(batch, as_of or dates.now_utc(), "collected"), order)
 
+    def load(self, name: str, path: str, file_format: str = "parquet", as_of=None) -> int:
+        """Store the rows of parquet, json or csv files in a table, like a batch."""
+        readers = {"parquet": files.load_parquet, "json": files.load_json, "csv": files.load_csv}
+        batch = readers[file_format](self.spark, path, schemas.TABLES[name])
+        if name == "related":
+            return self.store_related(batch)
+        stores = {
+            "articles": self.store_articles,
+            "publishers": self.store_publishers,
+            "mentions": self.store_mentions,
+        }
+        return stores[name](batch, as_of)
+
     def store_related(self, batch: DataFrame, order=None) -> int:
         return self._insert("related", batch, order)
 

@@ -110,6 +110,21 @@ def test_cleanup_keeps_all_rows(store, spark, fx):
     assert store.count_rows("mentions") == 1150 and store.count_rows("articles") == 200
 
 
+def test_files_into_tables(spark, fx, tmp_path):
+    store = ArticleStore(spark, "load_test", str(tmp_path / "db"))
+    fx.articles.write.parquet(str(tmp_path / "a"))
+    files.save_json(fx.mentions, str(tmp_path / "m"))
+    files.save_csv(fx.publishers, str(tmp_path / "p"))
+    fx.related.write.parquet(str(tmp_path / "r"))
+    assert store.load("articles", str(tmp_path / "a"), as_of=AS_OF) == 200
+    assert store.load("mentions", str(tmp_path / "m"), "json", AS_OF) == 1000
+    assert store.load("publishers", str(tmp_path / "p"), "csv", AS_OF) == 19
+    assert store.load("related", str(tmp_path / "r")) == fx.related.count()
+    assert store.load("articles", str(tmp_path / "a"), as_of=AS_OF) == 0
+    moments = [r["collected"] for r in store.query_mentions().collect()]
+    assert sorted(moments) == sorted(r["collected"] for r in fx.mentions.select("collected").collect())
+
+
 def test_vector_items(spark, fx, tmp_path):
     items = fx.raw("embeddings").select(F.col("vec_id").cast("string").alias("name"), "embedding")
     store = VectorItemStore(spark, "vector_items_test", {"points": "name"}, str(tmp_path), side=fx.categories_ref)
