@@ -77,20 +77,20 @@ def vector_pairs(
         marks = fresh.select("url", F.lit(True).alias("fresh")).distinct()
         articles = articles.select("url", "categories", "embedding").join(small_or_shuffled(marks), "url", "left")
         articles = articles.withColumn("fresh", F.coalesce("fresh", F.lit(False)))
-    centres = _centres(articles, eps, same_categories, cells, tile_rows)
-    if centres is None:
+    usable = articles.filter(F.col("embedding").isNotNull())
+    largest = _largest_group(usable, same_categories)
+    if not largest:
         return articles.sparkSession.createDataFrame([], "url string, related_url string, distance double")
+    centres = _centres(usable, largest, eps, cells, tile_rows)
     vectors = distinct_vectors(articles, same_categories).drop("copies")
     placed = vectors.withColumn("cells", _cells(centres, eps)(F.col("embedding")))
     placed = placed.select(
         "group", "url", "embedding", "fresh", F.posexplode("cells").alias("place", "cell")
     ).withColumn("home", (F.col("place") == 0) & F.col("fresh"))
-    counts = placed.groupBy("group", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("h"))
-    # Every row needs the size of its cell only where the cell is large, or may have no fresh member.
-    counts = counts.filter(F.col("n") > tile_rows) if fresh is None else counts.filter(F.col("h") > 0)
-    sizes = counts.select("group", "cell", _tiles("h", tile_rows).alias("homes"), _tiles("n", tile_rows).alias("all"))
-    tiled = attach(placed, sizes, ["group", "cell"], how="left" if fresh is None else "inner")
-    tiled = tiled.fillna(1, ["homes", "all"])
+    if fresh is None and largest <= tile_rows:
+        tiled = placed.withColumns({"homes": F.lit(1), "all": F.lit(1)})
+    else:
+        tiled = _with_tiles(placed, tile_rows, fresh is not None)
     own_home = F.pmod(F.xxhash64("url"), F.col("homes")).cast("int")
     own = F.pmod(F.xxhash64("url", F.lit("all")), F.col("all")).cast("int")
     as_home = F.transform(
@@ -112,24 +112,35 @@ def vector_pairs(
     return pairs if fresh is None else both_ways(pairs).distinct()
 
 
-def _tiles(rows: str, tile_rows: int) -> Column:
-    return F.greatest(F.ceil(F.col(rows) / tile_rows), F.lit(1)).cast("int")
+def _with_tiles(placed: DataFrame, tile_rows: int, some_homes: bool) -> DataFrame:
+    """Rows with the number of tiles of their cell, for home rows and for all rows.
+
+    Cells without a home row are dropped where only some rows are at home.
+    """
+
+    def tiles(rows: str) -> Column:
+        return F.greatest(F.ceil(F.col(rows) / tile_rows), F.lit(1)).cast("int")
+
+    counts = placed.groupBy("group", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("h"))
+    counts = counts.filter(F.col("h") > 0) if some_homes else counts.filter(F.col("n") > tile_rows)
+    sizes = counts.select("group", "cell", tiles("h").alias("homes"), tiles("n").alias("all"))
+    joined = attach(placed, sizes, ["group", "cell"], how="inner" if some_homes else "left")
+    return joined.fillna(1, ["homes", "all"])
 
 
-def _centres(
-    articles: DataFrame, eps: float, same_categories: bool, cells: int | None, tile_rows: int
-) -> np.ndarray | None:
+def _largest_group(usable: DataFrame, same_categories: bool) -> int:
+    """Rows of the most frequent category list, or of the whole table; 0 when it is empty."""
+    group = [F.to_json("categories").alias("group")] if same_categories else []
+    sizes = usable.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n").alias("n")).first()["n"] or 0
+
+
+def _centres(usable: DataFrame, largest: int, eps: float, cells: int | None, tile_rows: int) -> np.ndarray:
     """Some of the vectors, chosen by the hash of their url: as many as make the join cheapest.
 
     Each row goes once to every tile of the cells it visits, and every home row meets all tiles of
     its cell. Few cells mean many tiles, many cells mean many visits; the sample tells how many.
     """
-    usable = articles.filter(F.col("embedding").isNotNull())
-    group = [F.to_json("categories").alias("group")] if same_categories else []
-    sizes = usable.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n").alias("n")).first()["n"]
-    if not largest:
-        return None
     some = usable.orderBy(F.xxhash64("url"), "url").limit(MAX_CENTRES + TRIAL_ROWS).select("embedding").collect()
     points = np.array([r["embedding"] for r in some], dtype="float64")
     points = points[np.sort(np.unique(points, axis=0, return_index=True)[1])]
