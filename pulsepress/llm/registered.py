@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsepress.llm import chat, permutations, topk, urls
-from pulsepress.llm.common import table, usable_vector
+from pulsepress.llm import bpe, chat, packing, permutations, quality, topk, urls
+from pulsepress.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,6 +45,30 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", "rank", "vec_id", "score")
 
 
+@query("op2_quality")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, folder, "labels"))
+    scored = quality.score(docs, model, ["doc_id"])
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int")
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op3_byte_bpe")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = _tokenizer("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(encoded, path))
+
+
 @query("op4_chat_format")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     conversations = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -75,6 +99,13 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), outcomes, RULES, suffixes=TEST_SUFFIXES)
 
 
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    path, docs = _tokenizer("word_bpe_49k.json"), table(spark, folder, "documents")
+    packed = packing.pack_documents(docs, path, content=F.crc32("ids"))
+    return packed.withColumnRenamed("content", "ids_crc32")
+
+
 @query("op8_permutation_index")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
