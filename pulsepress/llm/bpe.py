@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pulsepress.llm.texts import map_texts
 
 #: Encoded chunks and pairs remembered by a task, and the longest chunk remembered.
-MEMORY, CHUNK_LIMIT = 200_000, 64
+MEMORY, CHUNK_LIMIT = 400_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,13 +34,25 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
-
-    def merged(self, data: bytes) -> list[int]:
+        self._halves: dict[int, tuple[int, int] | None] = {}
+        self._pairs: dict[int, bool] = {}
+        # A tree of the tokens read from their last byte: node * 256 + byte leads to a node.
+        self.steps: dict[int, int] = {}
+        self.token_at = [-1]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in reversed(token):
+                key = node << 8 | byte
+                node = self.steps.get(key, 0)
+                if not node:
+                    node = self.steps[key] = len(self.token_at)
+                    self.token_at.append(-1)
+            self.token_at[node] = rank
+
+    def merged(self, data: bytes, parts_left: int = 1) -> list[int]:
         """Tokens after merging the neighbours of least rank, leftmost first, until none merge."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > parts_left:
             ranks = [self.ranks.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
             known = [r for r in ranks if r is not None]
             if not known:
@@ -49,45 +61,109 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[x] for x in parts]
 
-    def whole(self, token: int) -> bool:
-        """Whether merging a token's own bytes gives the token."""
-        if token not in self._whole:
-            self._whole[token] = self.merged(self.bytes[token]) == [token]
-        return self._whole[token]
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens merged last into a token, (-1, -1) for a byte.
+
+        None where merging the token's own bytes does not give the token, so it never occurs.
+        """
+        if token not in self._halves:
+            data = self.bytes[token]
+            two = self.merged(data, 2) if len(data) > 1 else [-1, -1]
+            whole = len(two) == 2 and (len(data) == 1 or self.merged(data) == [token])
+            self._halves[token] = (two[0], two[1]) if whole else None
+        return self._halves[token]
 
     def pair(self, first: int, second: int) -> bool:
         """Whether merging the bytes of two tokens leaves just these two."""
-        known = self._pairs.get((first, second))
+        key = first << 32 | second
+        known = self._pairs.get(key)
         if known is None:
             if len(self._pairs) >= MEMORY:
                 self._pairs.clear()
-            known = self.merged(self.bytes[first] + self.bytes[second]) == [first, second]
-            self._pairs[first, second] = known
+            known = self._pairs[key] = self._stays(first, second)
         return known
 
+    def _stays(self, a: int, b: int) -> bool:
+        """Undo the merges along the seam, latest first; none across may have been due by then.
+
+        ``due`` is the least rank that the state of the seam still had to come: a merge across of
+        a lesser rank would have happened instead. Of equal ranks the left one happens first.
+        """
+        names, ranks = self.bytes, self.ranks
+        due = len(ranks) + max(a, b) + 1
+        while True:
+            across = ranks.get(names[a] + names[b])
+            if across is not None and across < due:
+                return False
+            of_a, of_b = self.halves(a), self.halves(b)
+            if of_a is None or of_b is None:
+                return False
+            if of_a[0] < 0 and of_b[0] < 0:
+                return True
+            if of_b[0] < 0 or (of_a[0] >= 0 and a > b):
+                due, a = a, of_a[1]
+            else:
+                due, b = b + 1, of_b[0]
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
 class PrefixTable:
-    """Bytes of one piece and the last token of each of their prefixes."""
+    """Bytes of one piece and the last token of each of their prefixes.
+
+    The prefixes of a short piece are looked at when they are asked for, which most never are; those
+    of a long one in order, so that no recursion gets deep.
+    """
+
+    SHORT = 200
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b"") -> None:
-        self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
+        self.vocabulary, self.data = vocabulary, b""
+        self.last: list[int | None] = [-1]
         self.append(data)
 
-    def _next(self, end: int) -> int:
-        v, data, last = self.vocabulary, self.data, self.last
-        for start in range(max(0, end - v.longest), end):
-            token = v.ranks.get(data[start:end])
-            if token is not None and v.whole(token) and (start == 0 or v.pair(last[start], token)):
+    def at(self, end: int) -> int:
+        """The last token of the prefix up to ``end``: one that its predecessor stays apart from."""
+        last = self.last
+        if last[end] is not None:
+            return last[end]
+        v, data = self.vocabulary, self.data
+        steps, token_at, pairs = v.steps, v.token_at, v._pairs
+        ending, node, start = [], 0, end
+        while start:
+            node = steps.get(node << 8 | data[start - 1])
+            if node is None:
+                break
+            start -= 1
+            token = token_at[node]
+            if token >= 0:
+                ending.append((start, token))
+        for start, token in reversed(ending):
+            if not start:
+                if v.halves(token):
+                    last[end] = token
+                    return token
+                continue
+            before = last[start]
+            if before is None:
+                before = self.at(start)
+            stays = pairs.get(before << 32 | token)
+            if v.pair(before, token) if stays is None else stays:
+                last[end] = token
                 return token
         raise ValueError("bytes outside the vocabulary")
 
+    def _fill(self, start: int) -> None:
+        if len(self.data) > self.SHORT:
+            for end in range(start, len(self.data) + 1):
+                self.at(end)
+
     def append(self, data: bytes) -> None:
+        known = len(self.last) if len(self.data) > self.SHORT else 1
         self.data += data
-        for end in range(len(self.last), len(self.data) + 1):
-            self.last.append(self._next(end))
+        self.last += [None] * len(data)
+        self._fill(known)
 
     def replace(self, start: int, stop: int, data: bytes) -> None:
         """Put ``data`` in the place of bytes ``start`` to ``stop``.
@@ -96,23 +172,26 @@ class PrefixTable:
         it has agreed with the new one over as many places as the longest token has bytes.
         """
         old, shift = self.last, len(data) - (stop - start)
+        was_long = len(self.data) > self.SHORT
         self.data = self.data[:start] + data + self.data[stop:]
-        self.last = old[: start + 1]
+        self.last = old[: start + 1] + [None] * (len(self.data) - start)
+        if not was_long or len(self.data) <= self.SHORT:
+            self._fill(1)
+            return
         agreed = 0
         for end in range(start + 1, len(self.data) + 1):
-            token = self._next(end)
-            self.last.append(token)
-            was = end - shift
+            token, was = self.at(end), end - shift
             agreed = agreed + 1 if end > start + len(data) and old[was] == token else 0
             if agreed >= self.vocabulary.longest:
-                self.last += old[was + 1 :]
+                self.last[end + 1 :] = old[was + 1 :]
                 return
 
     def ids(self) -> list[int]:
         out, end = [], len(self.data)
         while end:
-            out.append(self.last[end])
-            end -= len(self.vocabulary.bytes[self.last[end]])
+            token = self.at(end)
+            out.append(token)
+            end -= len(self.vocabulary.bytes[token])
         return out[::-1]
 
 

@@ -25,44 +25,76 @@ from pulsepress.llm.texts import map_texts
 CAPACITY = 4096
 #: Put behind the ids of every document.
 END_ID = 1
-#: Chunks of text a task remembers with their ids, and the longest remembered.
-MEMORY, CHUNK_LIMIT = 200_000, 64
+#: Chunks and words a task remembers with their ids, and the longest remembered.
+MEMORY, CHUNK_LIMIT = 400_000, 64
 #: Documents and gaps of a range: one task sorts and sweeps so many.
 RANGE_ROWS = 50_000
 #: str.split() parts text at these, the tokenizer does not.
 UNLIKE = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Below this character lower case and letters are the same to every version of Unicode.
+PLAIN_END = "\u0250"
 
 
 class _Ids:
     """Ids of texts as little-endian 32-bit numbers, words encoded once and remembered.
 
-    For tokenizers that drop white space and never join what it parts.
+    For tokenizers that drop white space and never join what it parts. A chunk between white space
+    goes through the tokenizer's own normalizer, splitter and model; where all of its characters
+    are Latin, lower-casing and the splitter's pattern do the same quicker.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        import json
+
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        with open(path, encoding="utf-8") as lines:
+            form = json.load(lines)
+        steps = [x["type"] for x in form["normalizer"]["normalizers"]], form["pre_tokenizer"]["pretokenizers"]
+        split = steps[1][0]
+        self.quick = steps[0] == ["NFC", "Replace", "Lowercase"] and split.get("invert") and len(steps[1]) == 2
+        self.words = regex.compile(split["pattern"]["Regex"])
+        self.special = tuple(x["content"] for x in form["added_tokens"])
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        self.known_words: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        found = self.known_words.get(word)
+        if found is None:
+            mapped = word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
+            found = b"".join(x.id.to_bytes(4, "little") for x in self.model.tokenize(mapped))
+            if len(word) <= CHUNK_LIMIT:
+                if len(self.known_words) >= MEMORY:
+                    self.known_words.clear()
+                self.known_words[word] = found
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        if not self.quick or max(chunk) >= PLAIN_END or any(x in chunk for x in self.special):
+            return self._whole(chunk)
+        return b"".join(map(self._word, self.words.findall(chunk.lower())))
 
     def __call__(self, text: str) -> bytes:
-        if any(c in text for c in UNLIKE):
-            return self._encode([text])[0]
-        chunks = text.split()
-        new = [c for c in set(chunks) if c not in self.known]
-        if new:
-            short = [c for c in new if len(c) <= CHUNK_LIMIT]
-            if len(self.known) + len(short) > MEMORY:
-                self.known.clear()
-                new = list(set(chunks))
-            ids = dict(zip(new, self._encode(new), strict=True))
-            self.known.update((c, x) for c, x in ids.items() if len(c) <= CHUNK_LIMIT)
-            return b"".join(ids.get(c) or self.known.get(c, b"") for c in chunks)
-        return b"".join(map(self.known.__getitem__, chunks))
+        if any(c in text for c in UNLIKE) or any(x in text for x in self.special):
+            return self._whole(text)
+        known, out = self.known, []
+        for chunk in text.split():
+            ids = known.get(chunk)
+            if ids is None:
+                ids = self._chunk(chunk)
+                if len(chunk) <= CHUNK_LIMIT:
+                    if len(known) >= MEMORY:
+                        known.clear()
+                    known[chunk] = ids
+            out.append(ids)
+        return b"".join(out)
 
 
 PIECE = "array<struct<piece:int,start:bigint,length:bigint,ids:binary>>"

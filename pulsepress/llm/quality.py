@@ -7,6 +7,7 @@ down to one number per bucket; scoring adds those up over a whole text.
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -20,18 +21,25 @@ BUCKETS = 1 << 17
 DIMENSIONS = 8
 #: Labelled documents of each class that train a model, those with the smallest id hashes.
 SAMPLE = 2000
-EPOCHS, RATE, SEED = 12, 4.0, 11
+EPOCHS, RATE, SEED = 8, 4.0, 11
 SIZES = (3, 4)
 #: A document of this score or more is predicted to be good.
 THRESHOLD = 0.7
-MEMORY, WORD_LIMIT = 200_000, 64
+MEMORY, WORD_LIMIT = 400_000, 64
+#: The word that stands for "the same word again", whatever the word.
+AGAIN = "\x00"
 
 
 def buckets_of(word: str) -> list[int]:
     """Buckets of a word and of the character n-grams of the word between marks."""
-    marked = f"<{word}>"
-    grams = [marked] + [marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in grams]
+    marked = f"<{word}>".encode("utf-8", "surrogatepass")
+    crc, last = zlib.crc32, BUCKETS - 1
+    if len(marked) == len(word) + 2:
+        grams = [marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)]
+    else:
+        text = f"<{word}>"
+        grams = [text[i : i + n].encode("utf-8", "surrogatepass") for n in SIZES for i in range(len(text) - n + 1)]
+    return [crc(marked) & last, *[crc(x) & last for x in grams]]
 
 
 @dataclass
@@ -42,23 +50,29 @@ class Model:
     bias: float
 
     def scorer(self):
-        weights, bias, known = self.weights, self.bias, {}
+        weights, bias, known = self.weights.tolist(), self.bias, {}
+        again = [weights[x] for x in buckets_of(AGAIN)]
+        again = (sum(again), len(again))
 
         def score(text: str) -> tuple[float]:
-            total, count = 0.0, 0
+            total, count, last = 0.0, 0, None
             for word in text.split():
                 found = known.get(word)
                 if found is None:
                     buckets = buckets_of(word)
-                    found = (float(weights[buckets].sum()), len(buckets))
+                    found = (sum([weights[x] for x in buckets]), len(buckets))
                     if len(word) <= WORD_LIMIT:
                         if len(known) >= MEMORY:
                             known.clear()
                         known[word] = found
                 total += found[0]
                 count += found[1]
+                if word == last:
+                    total += again[0]
+                    count += again[1]
+                last = word
             odds = bias + (total / count if count else 0.0)
-            return (float(1 / (1 + np.exp(-np.clip(odds, -500, 500)))),)
+            return (1 / (1 + math.exp(-max(-500.0, min(500.0, odds)))),)
 
         return score
 
@@ -70,8 +84,12 @@ def held_out(id: Column) -> Column:
 
 def _counted(text: str) -> tuple[bytes, bytes]:
     found: list[int] = []
+    last = None
     for word in text.split():
         found += buckets_of(word)
+        if word == last:
+            found += buckets_of(AGAIN)
+        last = word
     buckets, counts = np.unique(np.array(found, np.int32), return_counts=True)
     return buckets.astype("<i4").tobytes(), counts.astype("<f4").tobytes()
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsepress.llm import bpe, chat, packing, permutations, quality, topk, urls
+from pulsepress.llm import bpe, chat, packing, permutations, pii, quality, topk, urls
 from pulsepress.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,18 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return packed.withColumnRenamed("content", "ids_crc32")
 
 
+@query("op7_pii")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(table(spark, folder, "documents"), ["doc_id"])
+
+    def count(number: int):
+        return F.size(F.filter("base", lambda x: x["kind"] == number)).cast("long")
+
+    counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    base = F.sha2(pii.described(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, pii.described(F.col("spans")).alias("spans"))
+
+
 @query("op8_permutation_index")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
