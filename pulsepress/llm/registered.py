@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsepress.llm import bpe, chat, packing, permutations, pii, quality, topk, urls
+from pulsepress.llm import bpe, chat, jaccard, packing, permutations, pii, quality, topk, urls
 from pulsepress.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     asked = vectors.filter(F.col("vec_id") % 20 == 0)
     return permutations.nearest(vectors, asked, k=20).select("query_id", "rank", "vec_id", "score")
+
+
+@query("op10_jaccard_join")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, folder, "documents"))
