@@ -3,12 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pulsepress.llm.common import new_folder, stored, table
+from pulsepress.llm import jaccard, packing, pii, quality, repeats
+from pulsepress.llm.common import new_folder, numbered, stored, table
 
-STAGES: list = []
 
-#: No stage but the base patterns can be said in SQL; tests compare with a brute-force version.
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels, does not reject."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the first row, of every group linked by similar shingle sets."""
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col("text"))
+    rows = numbered(whole, new_folder(docs), "rows")
+    first = jaccard.jaccard_components(rows, "row").filter(F.col("row") == F.col("component_id"))
+    return rows.join(first.select("row"), "row", "left_semi").select("doc.*")
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without long strings that occur elsewhere too; documents that lose everything go."""
+    return repeats.cut_repeats(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with the names of their kinds in the place of personal data."""
+    return pii.redact(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their ids and their places in sequences."""
+    import public_tokenizers
+
+    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packed.withColumnRenamed("content", "ids")
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("personal_data", personal_data),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: No stage can be said in SQL; tests compare with brute-force versions.
 ORACLE_SQL = None
 
 

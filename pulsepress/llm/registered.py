@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsepress.llm import bpe, chat, jaccard, packing, permutations, pii, quality, topk, urls
+from pulsepress.llm import bpe, chat, jaccard, packing, permutations, pii, quality, repeats, topk, urls
 from pulsepress.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,18 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return permutations.nearest(vectors, asked, k=20).select("query_id", "rank", "vec_id", "score")
 
 
+@query("op9_suffix_array_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, folder, "documents"), ["doc_id"])
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op10_jaccard_join")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, folder, "documents"))
