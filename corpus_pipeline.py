@@ -19,7 +19,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col("text"))
     rows = numbered(whole, new_folder(docs), "rows")
     first = jaccard.jaccard_components(rows, "row").filter(F.col("row") == F.col("component_id"))
-    return rows.join(first.select("row"), "row", "left_semi").select("doc.*")
+    return rows.hint("merge").join(first.select("row"), "row", "left_semi").select("doc.*")
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

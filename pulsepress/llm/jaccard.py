@@ -5,9 +5,10 @@ size that two linked sets must share: equal subsets are links, no further test i
 meet in inverted lists of the shingles at the front of a common order, in which frequent shingles
 come last. The boundary is the size at which enumerating costs more than scanning lists.
 
-Lists are scanned twice. First each member is compared with a pivot of its list, in work linear in
-the list, which joins near copies however many there are. Then only members that are still in
-different components are compared with each other. All comparisons are exact.
+Lists are scanned more than once. First each member is paired with a pivot of its list, in work
+linear in the list, which joins near copies however many there are. Then only members that are still
+in different components are paired with each other. Pairs are thinned by what their fronts allow at
+most, and compared by their whole sets. Bounds and comparisons are exact, no link is lost.
 """
 
 from __future__ import annotations
@@ -119,44 +120,48 @@ def frequent_shingles(docs: DataFrame, text: str) -> np.ndarray:
     return np.array(rows["shingle"], np.int64)[order]
 
 
-def set_id(shingles: np.ndarray) -> int:
-    """64-bit id of a set's content."""
+def set_hash(shingles: np.ndarray) -> int:
+    """64-bit hash of a set's content."""
     digest = hashlib.blake2b(shingles.astype("<u8").tobytes(), digest_size=8).digest()
     return int.from_bytes(digest, "little", signed=True)
 
 
 def shingle_sets(docs: DataFrame, id: str, text: str, last: np.ndarray) -> DataFrame:
-    """id, text_hash, n, set and the front of the set's order (all of it for a small set).
+    """id, text_hash, n, set, content and the front of the set's order (all of it for a small set).
 
-    Within a task only the first of several equal sets carries its front.
+    ``set`` numbers the different sets of a task, ``content`` is a hash of the set. Within a task only
+    the first of several equal sets carries its front.
     """
     narrow = docs.select(F.col(id), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     by_value = np.argsort(last)
     values, places = last[by_value], by_value + 1
 
     def make():
-        shingles, seen = Shingler(), set()
+        from pyspark import TaskContext
+
+        shingles, seen = Shingler(), {}
+        base = TaskContext.get().partitionId() << 40
 
         def describe(t: str) -> tuple:
             found = shingles(t)
             n = len(found)
             if not n:
-                return 0, None, None
-            key = set_id(found)
-            if key in seen:
-                return n, key, None
-            seen.add(key)
+                return 0, None, None, None
+            content = set_hash(found)
+            if content in seen:
+                return n, seen[content], content, None
+            number = seen[content] = base | len(seen)
             found = found.view(np.int64)
             place = np.zeros(n, np.int64)
             if len(values):
                 at = np.minimum(np.searchsorted(values, found), len(values) - 1)
                 place = np.where(values[at] == found, places[at], 0)
             order = np.lexsort((found, place))
-            return n, key, found[order[: n if n <= MOST_LIGHT else front(n)]]
+            return n, number, content, found[order[: n if n <= MOST_LIGHT else front(n)]]
 
         return describe
 
-    return map_texts(narrow, [id, "text_hash"], "text", make, "n bigint, set bigint, front array<bigint>")
+    return map_texts(narrow, [id, "text_hash"], "text", make, "n bigint, set bigint, content bigint, front array<bigint>")
 
 
 def boundary(sizes: dict[int, int], heavier: int) -> int:
@@ -314,7 +319,13 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(rest)
 
 
-def _verify(key, pairs, sets) -> pa.Table:
+def _kept(pairs: list[tuple[int, int]]) -> pa.Table:
+    columns = list(zip(*pairs, strict=True)) if pairs else [(), ()]
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+
+def _linked(key, pairs, sets):
+    """The pairs whose whole sets are similar enough."""
     content: dict[int, np.ndarray] = {}
     for one, data in zip(sets["set"].to_pylist(), sets["data"].to_pylist(), strict=True):
         content.setdefault(one, np.frombuffer(data, "<u8"))
@@ -325,19 +336,40 @@ def _verify(key, pairs, sets) -> pa.Table:
         shared = int((y[at] == x).sum())
         if shared * (WHOLE + PART) >= PART * (len(x) + len(y)):
             kept.append((a, b))
-    columns = list(zip(*kept, strict=True)) if kept else [(), ()]
-    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+    return _kept(kept)
+
 
+def _possible(key, pairs, sets):
+    """The pairs that may be linked by their fronts: what these share, and what can follow.
 
-def verified(pairs: DataFrame, content: DataFrame, folder: str, name: str) -> DataFrame:
-    """The pairs (a, b) that are linked, by their whole sets; stored.
+    Shingles behind the last one that two fronts share can only be shared if there are enough of
+    them on either side. And of the front that ends first in the order, what the other front does not
+    share is missing from the other set, whose further shingles all come later.
+    """
+    content: dict[int, tuple] = {}
+    for one, n, listed in zip(*(sets[c].to_pylist() for c in ("set", "n", "listed")), strict=True):
+        content.setdefault(one, (n, {x["token"]: x["pos"] for x in listed}))
+    kept = []
+    for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+        (n, x), (m, y) = content[a], content[b]
+        shared = x.keys() & y.keys()
+        if not shared:
+            continue
+        i, j = max(x[t] for t in shared), max(y[t] for t in shared)
+        behind = min(n - 1 - i, m - 1 - j, max(n - front(n), m - front(m)))
+        if len(shared) + behind >= needed(n, m):
+            kept.append((a, b))
+    return _kept(kept)
+
+
+def tested(pairs: DataFrame, content: DataFrame, test, folder: str, name: str) -> DataFrame:
+    """The pairs (a, b) that pass ``test``, which sees the rows of ``content`` of their sets; stored.
 
     Pairs are dealt into tiles by their first set; the pairs of a set that has very many are spread
-    over several tiles. A set travels once to each tile that needs it.
+    over several tiles. The rows of a set travel once to each tile that needs them.
     """
     pairs = stored(pairs, folder, f"{name}_pairs")
-    total = pairs.count()
-    tiles = max(1, -(-total // TILE_PAIRS))
+    tiles = max(1, -(-pairs.count() // TILE_PAIRS))
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > PIVOT_PAIRS)
     dealt = pairs.join(many, "a", "left").select(
         "a",
@@ -351,32 +383,49 @@ def verified(pairs: DataFrame, content: DataFrame, folder: str, name: str) -> Da
     dealt = stored(dealt, folder, f"{name}_dealt")
     to = F.col("tile").alias("to_tile"), F.col("part").alias("to_part")
     wanted = dealt.select(*to, F.explode(F.array("a", "b")).alias("set")).distinct()
-    shipped = wanted.join(content, "set").select("to_tile", "to_part", "set", "data")
+    shipped = wanted.join(content, "set")
     together = dealt.groupBy("tile", "part").cogroup(shipped.groupBy("to_tile", "to_part"))
-    links = together.applyInArrow(_verify, "a bigint, b bigint")
-    return stored(links, folder, f"{name}_links")
+    return stored(together.applyInArrow(test, "a bigint, b bigint"), folder, f"{name}_passed")
 
 
 def set_contents(docs: DataFrame, text: str, sets: DataFrame, wanted: DataFrame) -> DataFrame:
     """``set`` and ``data``, the sorted hashes, of the wanted sets, from one text of each."""
     chosen = sets.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("text_hash").alias("text_hash"))
-    texts = docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(chosen, "text_hash")
+    texts = docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    # Texts are shuffled whatever the size of the wanted part, so that plans are alike at every size.
+    texts = texts.hint("merge").join(chosen, "text_hash")
 
     def make():
         shingles, seen = Shingler(), set()
 
         def once(t: str) -> tuple:
             found = shingles(t)
-            key = set_id(found) if len(found) else 0
-            if key in seen:
-                return 0, None
-            seen.add(key)
-            return key, found.astype("<u8").tobytes()
+            content = set_hash(found)
+            if content in seen:
+                return (None,)
+            seen.add(content)
+            return (found.astype("<u8").tobytes(),)
 
         return once
 
-    rows = map_texts(texts, ["text_hash"], "text", make, "set bigint, data binary")
-    return rows.filter(F.col("data").isNotNull()).select("set", "data")
+    rows = map_texts(texts, ["set"], "text", make, "data binary")
+    return rows.filter(F.col("data").isNotNull())
+
+
+def _cross(lists: DataFrame, roots: DataFrame, folder: str, name: str) -> DataFrame:
+    """Pairs (a < b) of a list whose sets have different roots and may be linked."""
+    known = lists.join(roots.withColumnRenamed("id", "set"), "set", "left")
+    known = stored(known.withColumn("root", F.coalesce("root", "set")), folder, name)
+    mixed = known.groupBy("token").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("k")
+    )
+    mixed = mixed.filter("low <> high").select("token", F.ceil(F.col("k") / LIST_BLOCK).alias("blocks"))
+    pieces = known.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
+    pieces = pieces.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    i, j = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    pieces = pieces.select("token", i, j, "block", "set", "n", "pos", "root")
+    pieces = pieces.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return pieces.mapInArrow(_cross_pairs, "a bigint, b bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -398,31 +447,41 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
     heavier = own.filter(F.col("n") > MOST_LIGHT).agg(F.sum(F.size("front"))).first()[0] or 0
     most = boundary(sizes, heavier)
 
-    links = stored(light_links(sets, most, folder), folder, "light")
-    lists = stored(heavy_lists(sets, most), folder, "lists")
-    content = stored(set_contents(plain, "text", sets, lists.select("set").distinct()), folder, "content")
+    # Equal sets of different tasks: one stands for all.
+    same = own.groupBy("content").agg(F.min("set").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    same = own.select("set", "content").join(same, "content").filter(F.col("set") != F.col("first"))
+    same = stored(same.select("set", "first"), folder, "same")
+    links = light_links(sets, most, folder).unionByName(same.select(F.col("set").alias("a"), F.col("first").alias("b")))
+    links = stored(links, folder, "light")
+
+    listed = stored(heavy_lists(sets, most), folder, "listed")
+    listed = listed.join(same, "set", "left").withColumn("set", F.coalesce("first", "set")).drop("first")
+    to = same.select(F.col("set").alias("pivot"), F.col("first").alias("to"))
+    listed = listed.join(to, "pivot", "left").withColumn("pivot", F.coalesce("to", "pivot")).drop("to")
+    listed = stored(listed.dropDuplicates(["token", "set"]), folder, "lists")
+    lists = listed.select("token", "n", "set", "pos")
+    fronts = lists.groupBy("set", "n").agg(F.collect_list(F.struct("token", "pos")).alias("listed"))  # of one front
+    fronts = stored(fronts, folder, "fronts")
+
+    def ordered(a: str, b: str) -> tuple[Column, Column]:
+        return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+    # What fronts allow, first against pivots, then between what these would leave apart.
     fits = _may_link(F.col("n"), F.col("pos"), F.col("pivot_n"), F.col("pivot_pos"))
-    to_pivot = lists.filter((F.col("set") != F.col("pivot")) & fits)
-    to_pivot = to_pivot.select(F.col("pivot").alias("a"), F.col("set").alias("b")).distinct()
-    first = links.unionByName(verified(to_pivot, content, folder, "pivot"))
-    roots = stored(components(first, f"{folder}/first"), folder, "first_roots")
-
-    known = lists.select("token", "n", "set", "pos").join(roots.withColumnRenamed("id", "set"), "set", "left")
-    known = stored(known.withColumn("root", F.coalesce("root", "set")), folder, "known")
-    mixed = known.groupBy("token").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("k")
-    )
-    mixed = mixed.filter("low <> high").select("token", F.ceil(F.col("k") / LIST_BLOCK).alias("blocks"))
-    pieces = known.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
-    pieces = pieces.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pieces = pieces.select(
-        "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "n", "pos", "root"
-    )
-    pieces = pieces.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    rest = pieces.mapInArrow(_cross_pairs, "a bigint, b bigint").distinct()
-    tried = to_pivot.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = verified(rest.join(tried, ["a", "b"], "left_anti"), content, folder, "cross")
-    roots = components(first.unionByName(second), f"{folder}/second")
+    pairs = listed.filter((F.col("set") != F.col("pivot")) & fits).select(*ordered("pivot", "set")).distinct()
+    pivots = tested(pairs, fronts, _possible, folder, "pivots")
+    guess = components(links.unionByName(pivots), f"{folder}/guess")
+    apart = tested(_cross(lists, guess, folder, "guessed"), fronts, _possible, folder, "apart")
+    candidates = stored(pivots.unionByName(apart).distinct(), folder, "candidates")
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    content = stored(set_contents(plain, "text", sets, wanted), folder, "contents")
+    found = links.unionByName(tested(candidates, content, _linked, folder, "whole"))
+    # Where a candidate was no link, members of what it had joined are paired as well. They all belong
+    # to candidates, so their sets are there.
+    roots = components(found, f"{folder}/found")
+    rest = _cross(lists, roots, folder, "rest").join(candidates, ["a", "b"], "left_anti")
+    rest = tested(rest, fronts, _possible, folder, "more")
+    roots = components(found.unionByName(tested(rest, content, _linked, folder, "last")), f"{folder}/roots")
 
     members = sets.join(roots.withColumnRenamed("id", "set"), "set", "left")
     members = stored(members.select(id, "n", F.coalesce("root", "set").alias("group")), folder, "members")

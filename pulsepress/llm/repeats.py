@@ -127,7 +127,8 @@ def _with_data(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The wanted contexts with their bytes, read from any text of the hash."""
     fields = ["key", "context", "first", "last", "at"]
     per_text = wanted.groupBy("text_hash").agg(F.collect_list(F.struct(*fields)).alias("wanted"))  # of one text
-    joined = texts.join(per_text, "text_hash").select("text_hash", "text", "wanted")
+    # Texts are shuffled whatever the size of the wanted part, so that plans are alike at every size.
+    joined = texts.hint("merge").join(per_text, "text_hash").select("text_hash", "text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -323,7 +324,8 @@ def _joined(docs: DataFrame, keep: list[str], text: str, length: int) -> DataFra
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), whole.alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    return rows.join(repeated_spans(rows.select("text_hash", "text"), length), "text_hash", "left")
+    spans = repeated_spans(rows.select("text_hash", "text"), length)
+    return rows.hint("merge").join(spans, "text_hash", "left")
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", length: int = LENGTH) -> DataFrame:
