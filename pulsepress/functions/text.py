@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from mimetypes import MimeTypes
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,12 +77,14 @@ CONTENT_TYPES = {
     "xml": "text/xml",
     "zip": "application/zip",
 }
+#: The standard table of extensions; the types above go first.
+STANDARD_TYPES = {k.lstrip("."): v for k, v in MimeTypes(filenames=()).types_map[True].items()} | CONTENT_TYPES
 
 
 def content_type(path) -> Column:
     """Content type by file extension, octet stream when it is not known."""
     extension = F.lower(F.regexp_extract(_column(path), r"\.([A-Za-z0-9]+)$", 1))
-    pairs = [F.lit(v) for pair in CONTENT_TYPES.items() for v in pair]
+    pairs = [F.lit(v) for pair in sorted(STANDARD_TYPES.items()) for v in pair]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), extension), F.lit("application/octet-stream"))
 
 

@@ -41,12 +41,16 @@ def new_rows(
 ) -> DataFrame:
     """The first batch row of every key that is not stored.
 
-    ``order`` says which row comes first; without it any one row of a repeated key is taken.
+    ``order`` says which row comes first; without it the least by all other columns, NULLs last.
     """
     return one_per_key(batch, keys, order).join(matching_keys(table, batch, keys), keys, "left_anti")
 
 
 def one_per_key(batch: DataFrame, keys: Sequence[str], order: Sequence[Column] | None) -> DataFrame:
+    """The first row of every key; without an order by all other columns in turn, NULLs last."""
+    if not order:
+        others = [f for f in batch.schema if f.name not in keys and "map<" not in f.dataType.simpleString()]
+        order = [F.col(f"`{f.name}`").asc_nulls_last() for f in others]
     return first_per_key(batch, list(keys), list(order)) if order else batch.dropDuplicates(list(keys))
 
 

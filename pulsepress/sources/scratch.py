@@ -13,10 +13,13 @@ from pyspark.sql import SparkSession
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder below the one the session names in ``spark.checkpoint.dir``.
 
-    Where that is not set, as in tests on one machine, a temporary folder is made and set once.
+    Where that is not set, a temporary folder is made and set once, but only on a local master:
+    executors on other machines would not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local") or "cluster" in spark.conf.get("spark.master"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/pulsepress-{uuid.uuid4().hex}"
