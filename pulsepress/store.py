@@ -7,7 +7,9 @@ touch, retention drops whole days and date filters skip the rest.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -69,30 +71,58 @@ class Tables:
     def replace(self, table: str, rows: DataFrame) -> int:
         """Replace all content, which the rows may be computed from.
 
-        A partitioned table has its days overwritten and the days that are gone dropped. Any other
-        table is written beside the old one and renamed.
+        A table with days goes through ``replace_days``. The rows of any other are written to a place
+        of their own, then the table is pointed there: one change of the catalog, before which the
+        old rows count and after which the new ones do. A run that ends in between leaves at most a
+        table named ``__next_…`` behind, which nothing reads.
         """
         if table in schemas.DAY_PARTITIONED:
-            return self._replace_days(table, rows)
-        fresh, stale = self.name(f"{table}__next"), self.name(f"{table}__old")
-        counted, seen = self._counted(rows.select(*self.read(table).columns))
-        self.spark.sql(f"DROP TABLE IF EXISTS {fresh}")
-        counted.write.format("parquet").saveAsTable(fresh)
-        self.spark.sql(f"DROP TABLE IF EXISTS {stale}")
-        self.spark.sql(f"ALTER TABLE {self.name(table)} RENAME TO {stale}")
-        self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {self.name(table)}")
-        self.spark.sql(f"DROP TABLE {stale}")
-        return seen()
+            return self.replace_days(table, rows, self.days(table))
+        fresh = self._staged(table, rows)
+        written = self.read(fresh).count()  # from the footers
+        old, new = self._location(table), self._location(fresh)
+        self._point(table, new)
+        # The old rows go with the name that no longer stands for the new ones.
+        self._point(fresh, old)
+        self.spark.sql(f"DROP TABLE {self.name(fresh)}")
+        return written
+
+    def replace_days(self, table: str, rows: DataFrame, days: Sequence[str]) -> int:
+        """Put ``rows`` in the place of the given days; other days that they belong to keep their own rows.
 
-    def _replace_days(self, table: str, rows: DataFrame) -> int:
-        before = set(self.days(table))
-        kept = {str(row[schemas.DAY]) for row in rows.select(schemas.DAY).distinct().collect()}
-        written = self.overwrite_days(table, rows)
-        for day in before - kept:
-            if day != NO_DAY or "None" not in kept:
-                self._drop_day(table, day)
+        The rows are evaluated once, into a table of their own, so which days are empty afterwards
+        is known from what is written. Those days are dropped last.
+        """
+        staged = self._staged(table, rows)
+        fresh, filled, days = self.read(staged), set(self.days(staged)), set(days)
+        written = fresh.count()
+        if more := filled - days:
+            others = in_days([None if day == NO_DAY else date.fromisoformat(day) for day in more])
+            fresh = fresh.unionByName(self.read(table).filter(others))
+        if filled:
+            self.overwrite_days(table, fresh)
+        for day in days - filled:
+            self._drop_day(table, day)
+        self.spark.sql(f"DROP TABLE {self.name(staged)}")
         return written
 
+    def _staged(self, table: str, rows: DataFrame) -> str:
+        """A new table with the rows, which are evaluated here and nowhere else."""
+        fresh = f"{table}__next_{uuid.uuid4().hex}"
+        writer = self._balanced(rows.select(*self.read(table).columns)).write.format("parquet")
+        if table in schemas.DAY_PARTITIONED:
+            writer = writer.partitionBy(schemas.DAY)
+        writer.saveAsTable(self.name(fresh))
+        return fresh
+
+    def _location(self, table: str) -> str:
+        described = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name(table)}")
+        return described.filter("col_name = 'Location'").first()["data_type"]
+
+    def _point(self, table: str, location: str) -> None:
+        self.spark.sql(f"ALTER TABLE {self.name(table)} SET LOCATION '{location}'")
+        self.spark.catalog.refreshTable(self.name(table))
+
     def _drop_day(self, table: str, day: str) -> None:
         value = "NULL" if day == NO_DAY else f"DATE '{day}'"
         self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION ({schemas.DAY} = {value})")
@@ -189,9 +219,12 @@ class ArticleStore:
         if not per_day:
             return 0
         if "collected" in changed:
-            # Rows may move to other days, so no single day can be replaced.
-            rows = ingest.update(stored.drop(schemas.DAY), batch, ["url"], nulls=nulls, order=order)
-            self.tables.replace("articles", self._by_day("articles", rows))
+            # Rows may move, so the days they leave are replaced and those they come to are added to.
+            left = [row[schemas.DAY] for row in per_day]
+            days = stored.filter(in_days(left)).drop(schemas.DAY)
+            rows = ingest.update(days, batch, ["url"], nulls=nulls, order=order)
+            names = [NO_DAY if day is None else str(day) for day in left]
+            self.tables.replace_days("articles", self._by_day("articles", rows), names)
         else:
             days = stored.filter(in_days([row[schemas.DAY] for row in per_day]))
             self.tables.overwrite_days("articles", ingest.update(days, batch, ["url"], nulls=nulls, order=order))

@@ -68,6 +68,45 @@ def test_updates(store, fx):
     assert {r["base_url"] for r in store.query_publishers().collect()} == {r["base_url"] for r in fx.publishers.collect()}
 
 
+def test_a_moved_row_rewrites_two_days(store):
+    url = store.query_latest(limit=1, columns=["url"]).first()["url"]
+    where = "regexp_extract(_metadata.file_path, '^(.*)$', 1) AS file"
+    before = {r["file"] for r in store.tables.read("articles").selectExpr(where).distinct().collect()}
+    moved = store.query_latest(urls=[url], columns=["url"])
+    moved = moved.withColumn("collected", F.expr("TIMESTAMP_NTZ '2024-01-03 05:00:00'"))
+    assert store.update_articles(moved) == 1 and store.count_rows("articles") == 200
+    after = {r["file"] for r in store.tables.read("articles").selectExpr(where).distinct().collect()}
+    days = {f.split("collected_day=")[1].split("/")[0] for f in before ^ after}
+    assert len(days) == 2 and "2024-01-03" in days
+    assert store.query_latest(collected=("2024-01-03 04:59:00", "2024-01-03 05:01:00"), urls=[url]).count() == 1
+
+
+@pytest.mark.parametrize("stop", [1, 2, 3])
+def test_replace_keeps_all_rows_when_it_ends_early(store, fx, monkeypatch, stop):
+    """Ended before either change of the catalog or before the old rows go, a replace loses nothing."""
+    tables, stored, calls = store.tables, fx.related.count(), []
+    point = tables._point
+
+    def ends(name, location):
+        calls.append(name)
+        if len(calls) == stop:
+            raise RuntimeError("ended")
+        point(name, location)
+
+    monkeypatch.setattr(tables, "_point", ends)
+    half = tables.read("related").limit(5)
+    try:
+        tables.replace("related", half)
+    except RuntimeError:
+        pass
+    monkeypatch.undo()
+    again = ArticleStore(store.spark, tables.database)
+    assert again.count_rows("related") == (stored if stop == 1 else 5)
+    assert again.tables.replace("related", fx.related) == stored and again.count_rows("related") == stored
+    assert again.tables.replace("related", again.tables.read("related").limit(3)) == 3
+    assert again.store_related(fx.related) == stored - 3
+
+
 def test_embeddings_and_similar(store, fx):
     vectors = fx.articles.filter("embedding IS NOT NULL").select("url", "embedding")
     assert store.update_embeddings(vectors) == 200
