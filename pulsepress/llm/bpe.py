@@ -9,16 +9,25 @@ bytes are appended, and after an edit has to be redone only until it agrees with
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from pulsepress.llm.texts import map_texts
+from pulsepress.llm.texts import in_pieces
 
 #: Encoded chunks and pairs remembered by a task, and the longest chunk remembered.
 MEMORY, CHUNK_LIMIT = 400_000, 64
+#: Kind of array that holds 32-bit ids, and ids decoded before rows are handed back.
+PACKED, PIECE_IDS = "i", 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -228,6 +237,28 @@ class Encoder:
         return self._plain(text)
 
 
+class _Unspaced(Exception):
+    """A chunk with white space at one of its ends."""
+
+
+class _Chunks(dict):
+    """Packed ids of chunks that follow a space; those not known are encoded when they are asked for."""
+
+    def __init__(self, plain: Callable[[str], list[int]]) -> None:
+        super().__init__()
+        self.plain = plain
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise _Unspaced
+        ids = array(PACKED, self.plain(" " + chunk)).tobytes()
+        if len(chunk) < CHUNK_LIMIT:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class SpacedEncoder(Encoder):
     """Faster where the pattern always breaks before a single space between two words.
 
@@ -236,22 +267,22 @@ class SpacedEncoder(Encoder):
     once and remembered. Texts with other white space beside a space go the plain way.
     """
 
-    def encode(self, text: str) -> list[int]:
+    def __init__(self, vocabulary: Vocabulary, pattern: str) -> None:
+        super().__init__(vocabulary, pattern)
+        self._chunks = _Chunks(self._plain)
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit numbers, one behind the other."""
         first, *chunks = text.split(" ")
-        if not first or first[-1].isspace():
-            return self._plain(text)
-        out = self._plain(first)
-        known = self._known
-        for chunk in chunks:
-            ids = known.get(" " + chunk)
-            if ids is None:
-                if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-                    return self._plain(text)
-                ids = self._plain(" " + chunk)
-                if len(chunk) < CHUNK_LIMIT:
-                    self._remember(" " + chunk, ids)
-            out += ids
-        return out
+        if first and not first[-1].isspace():
+            try:
+                return array(PACKED, self._plain(first)).tobytes() + b"".join(map(self._chunks.__getitem__, chunks))
+            except _Unspaced:
+                pass
+        return array(PACKED, self._plain(text)).tobytes()
+
+    def encode(self, text: str) -> list[int]:
+        return array(PACKED, self.packed(text)).tolist()
 
 
 class EditableText:
@@ -290,10 +321,31 @@ class EditableText:
         self.pieces = kept
 
 
+@lru_cache(maxsize=2)
 def _vocabulary_at(path: str) -> Vocabulary:
+    """Read once by a worker process, whose tasks share it."""
     return Vocabulary(read_ranks(path))
 
 
+@lru_cache(maxsize=2)
+def _encoder_at(path: str, pattern: str) -> SpacedEncoder:
+    """With what it remembers, shared by the tasks of a worker process; results do not depend on it."""
+    return SpacedEncoder(_vocabulary_at(path), pattern)
+
+
+@lru_cache(maxsize=2)
+def _tokens_at(path: str) -> pa.Array:
+    """The bytes of every id, NULL where there is none."""
+    tokens = {rank: token for token, rank in read_ranks(path).items()}
+    return pa.array([tokens.get(i) for i in range(max(tokens, default=-1) + 1)], pa.binary())
+
+
+def _lists(packed: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int64)
+    flat = np.frombuffer(b"".join(packed), np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id`` and ``ids`` (array of int) of every row's whole text; NULL is the empty text.
 
@@ -301,12 +353,27 @@ def encode(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: s
     are encoded one by one, without special tokens. Rows are independent: repeated ones repeat, an
     empty text has no ids, a long one is encoded in time proportional to its length.
     """
+    narrow = docs.select(id, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    schema = StructType([narrow.schema.fields[0], StructField("ids", ArrayType(IntegerType()))])
+    own = to_arrow_schema(schema).field(0).type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder_at(path, pattern)
+        for batch in batches:
+            for piece in in_pieces(batch, 1):
+                ids = _lists([encoder.packed(x) for x in piece.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([piece.column(0).cast(own), ids], names=schema.names)
+
+    return narrow.mapInArrow(run, schema)
 
-    def make():
-        encoder = SpacedEncoder(_vocabulary_at(path), pattern)
-        return lambda t: (encoder.encode(t),)
 
-    return map_texts(docs, [id], text, make, "ids array<int>")
+def _decoded(ids: pa.Array, tokens: pa.Array) -> pa.Array:
+    lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    starts = np.cumsum([0, *lengths], dtype=np.int64).astype(np.int32)
+    done = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts), tokens.take(ids.flatten())), b"")
+    if done.null_count:
+        raise ValueError("ids outside the vocabulary")
+    return done
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -314,13 +381,18 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in encoded.schema)}, decoded binary"
     at = encoded.columns.index(ids)
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        vocabulary = _vocabulary_at(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = _tokens_at(path)
         for batch in batches:
-            done = pa.array([vocabulary.decode(x or []) for x in batch.column(at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, done], names=[*batch.schema.names, "decoded"])
+            lengths = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+            ends, start = np.cumsum(lengths, dtype=np.int64), 0
+            while start < batch.num_rows:
+                before = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, before + PIECE_IDS, side="right")))
+                piece = batch.slice(start, stop - start)
+                done = _decoded(piece.column(at), tokens)
+                yield pa.RecordBatch.from_arrays([*piece.columns, done], names=[*piece.schema.names, "decoded"])
+                start = stop
 
     return encoded.mapInArrow(run, schema)
 
