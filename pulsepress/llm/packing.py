@@ -10,7 +10,8 @@ round begins.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pulsepress.llm.texts import map_texts
 CAPACITY = 4096
 #: Put behind the ids of every document.
 END_ID = 1
-#: Chunks and words a task remembers with their ids, and the longest remembered.
+#: Chunks and words a worker process remembers with their ids, and the longest remembered.
 MEMORY, CHUNK_LIMIT = 400_000, 64
 #: Documents and gaps of a range: one task sorts and sweeps so many.
 RANGE_ROWS = 50_000
@@ -35,66 +36,89 @@ UNLIKE = ("\x1c", "\x1d", "\x1e", "\x1f")
 PLAIN_END = "\u0250"
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte: itself where it is visible, else one from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in visible)
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+class _Remembered(dict):
+    """What ``find`` gives for a string; short strings are remembered, up to ``MEMORY`` of them."""
+
+    def __init__(self, find: Callable[[str], bytes]) -> None:
+        self.find = find
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.find(key)
+        if len(key) <= CHUNK_LIMIT:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[key] = found
+        return found
+
+
 class _Ids:
     """Ids of texts as little-endian 32-bit numbers, words encoded once and remembered.
 
     For tokenizers that drop white space and never join what it parts. A chunk between white space
     goes through the tokenizer's own normalizer, splitter and model; where all of its characters
-    are Latin, lower-casing and the splitter's pattern do the same quicker.
+    are Latin, lower-casing and the splitter's pattern do the same quicker. A text with Latin
+    characters only is lower-cased at once.
     """
 
     def __init__(self, path: str) -> None:
         import json
 
         import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         with open(path, encoding="utf-8") as lines:
             form = json.load(lines)
         steps = [x["type"] for x in form["normalizer"]["normalizers"]], form["pre_tokenizer"]["pretokenizers"]
         split = steps[1][0]
         self.quick = steps[0] == ["NFC", "Replace", "Lowercase"] and split.get("invert") and len(steps[1]) == 2
-        self.words = regex.compile(split["pattern"]["Regex"])
+        self.find_words = regex.compile(split["pattern"]["Regex"]).findall
+        self.beyond = regex.compile(f"[{PLAIN_END}-\U0010ffff]").search
+        # Letters in a row are one word.
+        self.whole_letters = r"|[\p{L}]+|" in split["pattern"]["Regex"]
         self.special = tuple(x["content"] for x in form["added_tokens"])
-        self.known: dict[str, bytes] = {}
-        self.known_words: dict[str, bytes] = {}
+        self.characters = byte_characters()
+        self.words = _Remembered(self._word)
+        self.lower_chunks = _Remembered(self._lower_chunk)
+        self.chunks = _Remembered(self._chunk)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        found = self.known_words.get(word)
-        if found is None:
-            mapped = word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
-            found = b"".join(x.id.to_bytes(4, "little") for x in self.model.tokenize(mapped))
-            if len(word) <= CHUNK_LIMIT:
-                if len(self.known_words) >= MEMORY:
-                    self.known_words.clear()
-                self.known_words[word] = found
-        return found
+        mapped = word.encode("utf-8").decode("latin-1").translate(self.characters)
+        return b"".join([x.id.to_bytes(4, "little") for x in self.model.tokenize(mapped)])
+
+    def _lower_chunk(self, chunk: str) -> bytes:
+        if self.whole_letters and chunk.isalpha():
+            return self.words[chunk]
+        return b"".join([self.words[x] for x in self.find_words(chunk)])
 
     def _chunk(self, chunk: str) -> bytes:
-        if not self.quick or max(chunk) >= PLAIN_END or any(x in chunk for x in self.special):
+        if not self.quick or self.beyond(chunk):
             return self._whole(chunk)
-        return b"".join(map(self._word, self.words.findall(chunk.lower())))
+        return self._lower_chunk(chunk.lower())
 
     def __call__(self, text: str) -> bytes:
         if any(c in text for c in UNLIKE) or any(x in text for x in self.special):
             return self._whole(text)
-        known, out = self.known, []
-        for chunk in text.split():
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self._chunk(chunk)
-                if len(chunk) <= CHUNK_LIMIT:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    known[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        if self.quick and not self.beyond(text):
+            return b"".join(map(self.lower_chunks.__getitem__, text.lower().split()))
+        return b"".join(map(self.chunks.__getitem__, text.split()))
+
+
+@lru_cache(maxsize=2)
+def _ids_at(path: str) -> _Ids:
+    """With what it remembers, shared by the tasks of a worker process; results do not depend on it."""
+    return _Ids(path)
 
 
 PIECE = "array<struct<piece:int,start:bigint,length:bigint,ids:binary>>"
@@ -110,7 +134,7 @@ def tokenized(
     """
 
     def make():
-        encode = _Ids(path)
+        encode = _ids_at(path)
 
         def cut(t: str) -> tuple:
             ids = encode(t) + np.array([END_ID], "<u4").tobytes()

@@ -16,7 +16,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def test_packing(rows):
     draw = random.Random(1)
-    texts = [" ".join(draw.choice(("Été", "it's", "word.", "x\x1cy", "漢字", "\u2003a")) for _ in range(draw.randint(0, 300))) for _ in range(120)]
+    texts = [" ".join(draw.choice(("Été", "it's", "word.", "x\x1cy", "漢字", "\u2003a", "\x07b\x7f", "İĿ", "Σας")) for _ in range(draw.randint(0, 300))) for _ in range(120)]
     texts += [None, "", "long word " * 3000, texts[0], texts[0]]
     df = rows("doc_id long, text string, row string, length string", *[(i, t, "r", "l") for i, t in enumerate(texts)])
     got = packing.pack_documents(df, PATH, capacity=512).collect()
