@@ -121,11 +121,12 @@ def contexts(texts: DataFrame, length: int) -> DataFrame:
 
 
 _WITH_DATA = f"{_CONTEXT}, data binary"
+_LOADED = f"{_CONTEXT}, contexts bigint, data binary"
 
 
 def _with_data(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The wanted contexts with their bytes, read from any text of the hash."""
-    fields = ["key", "context", "first", "last", "at"]
+    """The wanted contexts with the number of their anchor's contexts and their bytes, read from any text of the hash."""
+    fields = ["key", "context", "first", "last", "at", "contexts"]
     per_text = wanted.groupBy("text_hash").agg(F.collect_list(F.struct(*fields)).alias("wanted"))  # of one text
     # Texts are shuffled whatever the size of the wanted part, so that plans are alike at every size.
     joined = texts.hint("merge").join(per_text, "text_hash").select("text_hash", "text", "wanted")
@@ -144,9 +145,9 @@ def _with_data(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                         values = [x[c] for c in fields]
                         rows.append((text_hash, *values, data[x["first"] : x["last"] + length]))
                 if rows:
-                    yield _batch(list(zip(*rows, strict=True)), _WITH_DATA)
+                    yield _batch(list(zip(*rows, strict=True)), _LOADED)
 
-    return joined.mapInArrow(run, _WITH_DATA)
+    return joined.mapInArrow(run, _LOADED)
 
 
 _SPAN = "text_hash bigint, start int, stop int"
@@ -257,8 +258,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     # Anchors with several different contexts.
     mixed = groups.groupBy("key").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")
     mixed = stored(mixed, folder, "mixed")
-    wanted = groups.join(mixed, "key").select("key", "context", "one.*")
-    loaded = stored(_with_data(texts, wanted, length), folder, "loaded").join(mixed, "key")
+    wanted = groups.join(mixed, "key").select("key", "context", "one.*", "contexts")
+    loaded = stored(_with_data(texts, wanted, length), folder, "loaded")
     cold = [loaded.filter(F.col("contexts") <= ANCHOR_CONTEXTS).drop("contexts")]
     hot = loaded.filter(F.col("contexts") > ANCHOR_CONTEXTS).drop("contexts").dropDuplicates(["key", "text_hash", "first"])
     for cell in CELLS:
@@ -271,12 +272,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         mixed = groups.groupBy("key").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")
         mixed = stored(mixed, folder, f"mixed{cell}")
         rest = parts.dropDuplicates(["key", "context"]).join(mixed, "key")
-        cold.append(rest.filter(F.col("contexts") <= ANCHOR_CONTEXTS).select(*named.columns, "data"))
+        few = rest.filter(F.col("contexts") <= ANCHOR_CONTEXTS).select(*named.columns, "data")
+        cold.append(stored(few, folder, f"few{cell}"))
         hot = rest.filter(F.col("contexts") > ANCHOR_CONTEXTS)
     together = cold[0].select(*named.columns, "data")
     for rows in cold[1:]:
         together = together.unionByName(rows)
-    together = stored(together, folder, "compared")
     total = together.agg(F.sum(F.length("data"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     dealt = together.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
