@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from pulsepress.llm import jaccard, packing, pii, quality, repeats
 from pulsepress.llm.common import new_folder, numbered, stored, table
 
+#: Passages of so many words are cut where they occur elsewhere too, when they have the bytes of as many
+#: words of three letters with their spaces.
+PASSAGE_WORDS = 51
+PASSAGE_BYTES = 4 * PASSAGE_WORDS - 1
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels, does not reject."""
@@ -23,8 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without long strings that occur elsewhere too; documents that lose everything go."""
-    return repeats.cut_repeats(docs)
+    """Texts without long passages that occur elsewhere too; documents that lose everything go."""
+    return repeats.cut_repeats(docs, length=PASSAGE_BYTES, words=PASSAGE_WORDS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ from pulsepress.llm.texts import in_pieces
 
 LENGTH = 400
 BLOCK = 32
+#: A word, parted from others by ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text in a shard, and most contexts of one anchor that go into one.
 SHARD_BYTES, ANCHOR_CONTEXTS = 2 << 20, 3000
 #: An anchor with more contexts is dealt out by groups of so many string starts, then of fewer.
@@ -343,13 +345,29 @@ def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", length:
     return joined.select("row.*", F.length(data).cast("long").alias("n_bytes"), spans.alias("spans"), kept.alias("kept"))
 
 
-def cut_repeats(docs: DataFrame, text: str = "text", chars: str | None = "n_chars", length: int = LENGTH) -> DataFrame:
+def long_spans(data: Column, spans: Column, words: int) -> Column:
+    """The spans that touch at least ``words`` words or have at least ``LENGTH`` bytes."""
+
+    def long(x: Column) -> Column:
+        size = x["stop"] - x["start"]
+        part = F.substring(data, x["start"] + 1, size).cast("string")
+        return (size >= LENGTH) | (F.regexp_count(part, F.lit(WORD)) >= words)
+
+    return F.filter(spans, long)
+
+
+def cut_repeats(
+    docs: DataFrame, text: str = "text", chars: str | None = "n_chars", length: int = LENGTH, words: int | None = None
+) -> DataFrame:
     """The rows of ``docs`` without repeated strings in ``text``, and ``chars`` counted anew.
 
-    A character that is covered in part stays whole. A document that loses everything goes.
+    A character that is covered in part stays whole. A document that loses everything goes. With
+    ``words``, spans of fewer words, parted by ASCII white space, stay unless they have ``LENGTH`` bytes.
     """
     data = F.col("text").cast("binary")
     joined = _joined(docs, docs.columns, text, length)
+    if words:
+        joined = joined.withColumn("spans", long_spans(data, F.col("spans"), words))
     fitted = joined.withColumn("spans", F.filter(whole_characters(data, F.col("spans")), lambda x: x["start"] < x["stop"]))
     changed = F.col("spans").isNotNull() & (F.size("spans") > 0)
     own = F.col("row").getField(text)

@@ -182,6 +182,23 @@ def test_similar_documents(rows, monkeypatch):
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_pipeline_cuts_passages_of_51_words(spark, rows):
+    draw = random.Random(13)
+
+    def words(n, size):
+        return " ".join("".join(draw.choice("abcdefgh") for _ in range(size)) for _ in range(n))
+
+    passages = [words(51, 3), words(51, 6), words(48, 6), words(1, 420)]
+    own = [(words(30, 7), words(30, 7)) for _ in range(2 * len(passages))]
+    texts = [f"{a} {passages[i // 2]} {b}" for i, (a, b) in enumerate(own)]
+    df = rows("doc_id long, text string, n_chars long", *[(i, t, len(t)) for i, t in enumerate(texts)])
+    got = {x.doc_id: x for x in corpus_pipeline.suffix_array_dedup(spark, df, "").collect()}
+    for i, (a, b) in enumerate(own):
+        left = texts[i] if i // 2 == 2 else a + b
+        assert got[i].text.replace(" ", "") == left.replace(" ", ""), i
+        assert got[i].n_chars == len(got[i].text)
+
+
 def test_pipeline_stages_keep_what_they_should(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet").cache()
