@@ -476,11 +476,15 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     content = stored(set_contents(plain, "text", sets, wanted), folder, "contents")
     found = links.unionByName(tested(candidates, content, _linked, folder, "whole"))
-    # Where a candidate was no link, members of what it had joined are paired as well. They all belong
-    # to candidates, so their sets are there.
+    # Where a candidate was no link, members of what it had joined are paired as well. Those that light
+    # links alone had joined to it belong to no candidate, so their sets are still to be loaded.
     roots = components(found, f"{folder}/found")
     rest = _cross(lists, roots, folder, "rest").join(candidates, ["a", "b"], "left_anti")
     rest = tested(rest, fronts, _possible, folder, "more")
+    further = rest.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(wanted, "set", "left_anti")
+    further = stored(further, folder, "further")
+    if further.limit(1).count():
+        content = content.unionByName(stored(set_contents(plain, "text", sets, further), folder, "further_contents"))
     roots = components(found.unionByName(tested(rest, content, _linked, folder, "last")), f"{folder}/roots")
 
     members = sets.join(roots.withColumnRenamed("id", "set"), "set", "left")

@@ -182,6 +182,32 @@ def test_similar_documents(rows, monkeypatch):
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
 
 
+def _lightly_linked():
+    """Texts c, a1, a2, b: c is linked with a1 and a2, which share their first front shingle with b and no more."""
+    draw, shingles = random.Random(11), jaccard.Shingler()
+
+    def ordered(words):
+        return np.sort(shingles(" ".join(words)).view(np.int64)).tolist()
+
+    while True:
+        c, x, y, more = ([f"w{draw.randrange(10**6)}" for _ in range(n)] for n in (11, 1, 1, 8))
+        for at in range(7):
+            texts = [c, [*c, *x], [*y, *c], [*c[at : at + 5], *more]]
+            first, one, two, other = (ordered(t) for t in texts)
+            if first[0] == one[0] == two[0] == other[0] and not {one[1], two[1], other[1]} & set(first):
+                return [" ".join(t) for t in texts]
+
+
+def test_sets_joined_by_light_links_alone_are_compared(rows, monkeypatch):
+    texts = _lightly_linked()
+    monkeypatch.setattr(jaccard, "boundary", lambda sizes, heavier: 8)
+    df = rows("doc_id long, text string", *enumerate(texts))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(df).collect()}
+    n, root = _components(texts)
+    assert n == [7, 8, 8, 9] and root == [0, 0, 0, 3]
+    assert [got[i] for i in range(4)] == list(zip(n, root, strict=True))
+
+
 def test_pipeline_cuts_passages_of_51_words(spark, rows):
     draw = random.Random(13)
 
