@@ -314,7 +314,7 @@ def _(fx):
 
 @check("a16_assign_clusters", "SELECT url, cluster_id, related FROM clusters")
 def _(fx):
-    return similarity.assign_clusters(similarity.similar_pairs(fx.articles, EPS))
+    return similarity.similar_clusters(fx.articles, EPS)
 
 
 @check(

@@ -13,7 +13,7 @@ from checks.sources import trends_of
 from pulsepress import schemas
 from pulsepress.operators import cleaning, ingest
 from pulsepress.operators.labels import backfill_labels, update_embeddings
-from pulsepress.operators.similarity import assign_clusters, closure, similar_pairs, unmapped
+from pulsepress.operators.similarity import closure, similar_clusters, unmapped
 from pulsepress.plans.trends import mention_totals, related_counts
 
 STORED_SQL = "stored AS (SELECT * FROM articles WHERE kind <> 'post')"
@@ -244,7 +244,7 @@ CLUSTERED_SQL = """clustered AS (SELECT a.url, a.kind, a.collected, c.cluster_id
 
 
 def clustered(fx):
-    clusters = assign_clusters(similar_pairs(fx.articles, EPS)).select("url", "cluster_id")
+    clusters = similar_clusters(fx.articles, EPS).select("url", "cluster_id")
     rows = fx.articles.join(clusters, "url", "left")
     return rows.withColumn("gist", F.when(F.col("restricted_content"), F.lit("gist")))
 

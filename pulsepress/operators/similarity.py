@@ -263,10 +263,16 @@ def related_to(urls: DataFrame, pairs: DataFrame, links: DataFrame) -> DataFrame
 
 
 def new_related(related: DataFrame, articles: DataFrame, eps: float = CLUSTER_EPS, all_pairs: bool = False) -> DataFrame:
-    """Similar pairs that are not stored yet, sought for the unmapped articles or for all of them."""
+    """Similar pairs that are not stored yet, sought for the unmapped articles or for all of them.
+
+    Articles with equal vectors are paired like any others, n(n - 1) rows for n of them, so that counts
+    and lists over the stored pairs are whole.
+    """
     fresh = None if all_pairs else unmapped(articles, related).select("url")
-    pairs = similar_pairs(articles, eps, fresh=fresh).select("url", "related_url")
-    return new_rows(related, pairs, ["url", "related_url"])
+    found = vector_pairs(articles, eps, fresh=fresh)
+    wanted = articles.filter(F.col("embedding").isNotNull() & F.col("categories").isNotNull()) if all_pairs else fresh
+    pairs = related_to(wanted, found, copies(articles))
+    return new_rows(related, pairs if all_pairs else closure(pairs), ["url", "related_url"])
 
 
 def unmapped(articles: DataFrame, related: DataFrame) -> DataFrame:
@@ -285,6 +291,35 @@ def assign_clusters(pairs: DataFrame) -> DataFrame:
     return attach(members, sizes, "cluster_id", how="inner").select("url", "cluster_id", "related")
 
 
+def similar_clusters(articles: DataFrame, eps: float = CLUSTER_EPS, same_categories: bool = True) -> DataFrame:
+    """``assign_clusters`` over all similar pairs, without unfolding articles that share a vector.
+
+    Articles with equal vectors have the same neighbours, so these are counted once for each vector
+    from the number of articles that share it. Their own nearest is the first of the others.
+    """
+    near, links = vector_pairs(articles, eps, same_categories), copies(articles, same_categories)
+    groups = links.groupBy(F.col("first_url").alias("first")).agg(
+        (F.count(F.lit(1)) + 1).alias("copies"), F.min("url").alias("second")
+    )
+    sizes = groups.select(F.col("first").alias("related_url"), "copies")
+    others = attach(near, sizes, "related_url").groupBy(F.col("url").alias("first")).agg(
+        F.sum(F.coalesce("copies", F.lit(1))).alias("others"),
+        F.min(F.struct(F.round("distance", 6).alias("distance"), F.col("related_url").alias("url"))).alias("other"),
+    )
+    firsts = others.join(groups, "first", "full").select(
+        "first", "other", "second", (F.coalesce("others", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("related")
+    )
+    members = firsts.select(F.col("first").alias("url"), "first").union(links.select("url", F.col("first_url").alias("first")))
+    placed = attach(members, firsts.drop("related"), "first", how="inner")
+    copy = F.when(F.col("url") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    own = F.when(F.col("second").isNotNull(), F.struct(F.lit(0.0).alias("distance"), copy.alias("url")))
+    placed = placed.withColumn("centre", F.least(own, F.col("other"))["url"])
+    # The centre is a copy of the article's own vector or the first article of another one.
+    centre_first = F.when(F.col("centre") == F.col("second"), F.col("first")).otherwise(F.col("centre"))
+    placed = placed.select("url", F.col("centre").alias("cluster_id"), centre_first.alias("first"))
+    return attach(placed, firsts.select("first", "related"), "first", how="inner").select("url", "cluster_id", "related")
+
+
 def in_cluster(clusters: DataFrame, url: str) -> DataFrame:
     """The other articles in the cluster of one article."""
     own = clusters.filter((F.col("url") == url) & F.col("cluster_id").isNotNull()).select("cluster_id")

@@ -115,6 +115,22 @@ def test_copies_are_linked_to_the_first_and_unfold_on_demand(spark):
     assert set(pairs(similarity.related_to(some, base, links))) == {p for p in everything if p[0] in ("u3", "u50", "u7")}
 
 
+def test_copies_count_in_stored_pairs_and_clusters(spark, rows):
+    points = vectors(30, seed=2)
+    points += [points[3]] * 6 + [points[15]] * 3
+    df = table(spark, points, lambda i: ["c"])
+    everything = brute(points, 0.6)
+    none = rows("url string, related_url string")
+    assert pairs(similarity.new_related(none, df, 0.6, all_pairs=True)) == sorted(everything)
+    kept = rows("url string, related_url string", *[(f"u{i}", "x") for i in range(len(points)) if i not in (3, 33, 7)])
+    some = {p for p in everything if {"u3", "u33", "u7"} & set(p)}
+    assert pairs(similarity.new_related(kept, df, 0.6)) == sorted(some)
+    at = np.asarray(points, dtype="float32").astype("float64")
+    gaps = [(a, b, float(np.sqrt(((at[int(a[1:])] - at[int(b[1:])]) ** 2).sum()))) for a, b in everything]
+    whole = similarity.assign_clusters(rows("url string, related_url string, distance double", *gaps))
+    assert sorted(similarity.similar_clusters(df, 0.6).collect()) == sorted(whole.collect())
+
+
 def test_clusters(rows):
     links = rows(
         "url string, related_url string, distance double",
