@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +22,9 @@ from pulsepress.schemas import CLUSTER_EPS
 MAX_CENTRES = 1024
 TRIAL_ROWS = 1024
 TILE_ROWS = 8192
+# Approximate search: buckets from the query's that are tried in turn, and candidates for each row of the limit.
+REACHES = (0, 1, 3, 7)
+CANDIDATES = 4
 
 _SLACK = 1e-6
 
@@ -350,10 +351,11 @@ def approximate_nearest(
     metric: str = "l2",
     key: str = "url",
 ) -> DataFrame:
-    """Nearest rows among those that share a random-projection bucket with the query.
+    """Nearest rows among those in random-projection buckets at or near the query's.
 
-    The exact distance is computed for these candidates only. Wider buckets and more hash tables
-    find more of the true neighbours.
+    The exact distance is computed for these candidates only. Buckets further away are taken in until
+    there are ``CANDIDATES`` rows for each row of the limit, at last all rows; without a limit all rows
+    are ranked. Wider buckets and more hash tables find more of the true neighbours.
     """
     vectors = df.filter(F.col("embedding").isNotNull()).withColumn("__v", array_to_vector("embedding"))
     model = BucketedRandomProjectionLSH(
@@ -362,6 +364,12 @@ def approximate_nearest(
     spark = df.sparkSession
     asked = spark.createDataFrame([([float(x) for x in query],)], "embedding array<double>")
     own = model.transform(asked.withColumn("__v", array_to_vector("embedding"))).first()["__h"]
-    same = [vector_to_array(F.col("__h")[i])[0] == F.lit(float(own[i][0])) for i in range(tables)]
-    hits = model.transform(vectors).filter(reduce(or_, same))
+    hashed = model.transform(vectors)
+    gaps = [F.abs(vector_to_array(F.col("__h")[i])[0] - F.lit(float(own[i][0]))) for i in range(tables)]
+    hits = hashed
+    for reach in REACHES if limit else ():
+        some = hashed.filter(F.array_min(F.array(*gaps)) <= reach)
+        if some.limit(CANDIDATES * limit).count() == CANDIDATES * limit:
+            hits = some
+            break
     return nearest_rows(hits.drop("__v", "__h"), query, limit, metric=metric, key=key)

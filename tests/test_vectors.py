@@ -185,5 +185,16 @@ def test_approximate_search_finds_most_neighbours(fx):
     assert found[0] == exact[0] and len(set(found) & set(exact)) >= 18
 
 
+@pytest.mark.parametrize("count, limit", [(50, 10), (400, 10), (5, 10), (400, 0)])
+def test_approximate_search_fills_the_limit(spark, count, limit):
+    points = vectors(count, seed=9, spread=1.0)
+    df = table(spark, points)
+    query = [float(x) for x in points[0] + 0.1]
+    exact = [r["url"] for r in search.nearest_rows(df, query, limit, metric="l2").collect()]
+    found = [r["url"] for r in similarity.approximate_nearest(df, query, limit, bucket=0.2, tables=2).collect()]
+    assert len(found) == len(set(found)) == min(limit or count, count)
+    assert len(set(found) & set(exact)) >= 0.5 * len(exact) and found[0] == exact[0]
+
+
 def test_similar_to_needs_an_embedding(fx):
     assert search.similar_to(fx.articles, "doc://none") is None
