@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pulsepress.functions.vectors import as_matrix, distances
 from pulsepress.operators.ingest import one_per_key, update
+from pulsepress.operators.joins import attach
 from pulsepress.schemas import NEAREST_LABELS
 
 # Labels that travel with every task, and articles that meet one block of a larger label table.
@@ -32,20 +33,31 @@ def add_nearest_labels(
     """Articles with their ``n`` closest labels by cosine distance, closest first, ties by label.
 
     A label table of at most ``block`` rows travels with the tasks, and no row is shuffled. A
-    larger one is cut into blocks; every block meets blocks of articles in tasks of fixed size, and
-    the best of each are merged per article. NULL without an embedding.
+    larger one is cut into blocks; every block meets blocks of different embeddings in tasks of fixed
+    size, and the best of each are merged per embedding, so that every row gets its own labels. NULL
+    without an embedding of the labels' length, no labels where no distance is defined.
     """
     reference = labels.filter(F.col("embedding").isNotNull()).select(F.col(label).alias("label"), "embedding")
     some = reference.orderBy("label").limit(block + 1).collect()
     if len(some) <= block:
         return articles.withColumn(name, _label_column(some, n)(F.col("embedding")))
-    found = _labels_in_blocks(articles, reference, n, block, article_block)
-    return articles.join(found.withColumnRenamed("nearest", name), "url", "left")
+    length = len(some[0]["embedding"])
+    keyed = articles.withColumn("__key", _key())
+    found = _labels_in_blocks(keyed, reference, length, n, block, article_block)
+    joined = attach(keyed, found.withColumnRenamed("nearest", "__nearest"), "__key")
+    nearest = F.coalesce("__nearest", F.array().cast(_NEAREST))
+    return joined.withColumn(name, F.when(F.size("embedding") == length, nearest)).drop("__key", "__nearest")
+
+
+def _key() -> Column:
+    """Stands for an embedding; rows may share a url, so labels are merged by what they follow from."""
+    return F.sha2(F.col("embedding").cast("string"), 256)
 
 
 def _nearest(measured: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, distance) of the n smallest entries of every row, ties by column number."""
-    measured = np.where(np.isnan(measured), np.inf, measured)
+    # Products of different shapes differ in their last bits, which must not decide between labels.
+    measured = np.where(np.isnan(measured), np.inf, np.round(measured, 12) + 0.0)
     last = min(n, measured.shape[1]) - 1
     cut = np.partition(measured, last, axis=1)[:, last]
     rows, columns = np.nonzero((measured <= cut[:, None]) & np.isfinite(measured))
@@ -75,41 +87,42 @@ def _label_column(some: list, n: int):
     return pick
 
 
-def _labels_in_blocks(articles: DataFrame, reference: DataFrame, n: int, block: int, article_block: int) -> DataFrame:
-    vectors = articles.filter(F.col("embedding").isNotNull()).select("url", "embedding")
+def _labels_in_blocks(
+    keyed: DataFrame, reference: DataFrame, length: int, n: int, block: int, article_block: int
+) -> DataFrame:
+    vectors = keyed.filter(F.size("embedding") == length).select("__key", "embedding").dropDuplicates(["__key"])
     label_blocks = 2 * -(-reference.count() // block)
     article_blocks = max(1, -(-vectors.count() // article_block))
 
     def every(count: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    left = vectors.withColumn("ab", F.pmod(F.xxhash64("url"), F.lit(article_blocks)).cast("int"))
+    left = vectors.withColumn("ab", F.pmod(F.xxhash64("__key"), F.lit(article_blocks)).cast("int"))
     right = reference.withColumn("lb", F.pmod(F.xxhash64("label"), F.lit(label_blocks)).cast("int"))
     left, right = left.withColumn("lb", every(label_blocks)), right.withColumn("ab", every(article_blocks))
 
     def compare(some: pa.Table, block_labels: pa.Table) -> pa.Table:
         block_labels = block_labels.sort_by("label")
-        urls, names, gaps = [], [], []
+        keys, names, gaps = [], [], []
         if some.num_rows and block_labels.num_rows:
             reference_vectors = block_labels["embedding"].combine_chunks()
-            length = len(reference_vectors[0])
             which, matrix = as_matrix(reference_vectors, length)
             positions, own = as_matrix(some["embedding"].combine_chunks(), length)
             rows, columns, gaps = _nearest(distances(own, matrix, "cosine"), n)
-            urls = some["url"].take(pa.array(positions[rows]))
+            keys = some["__key"].take(pa.array(positions[rows]))
             names = block_labels["label"].take(pa.array(which[columns]))
         return pa.table(
-            {"url": _text(urls), "label": _text(names), "distance": pa.array(gaps, pa.float64())}
+            {"__key": _text(keys), "label": _text(names), "distance": pa.array(gaps, pa.float64())}
         )
 
     best = (
         left.groupBy("ab", "lb")
         .cogroup(right.groupBy("ab", "lb"))
-        .applyInArrow(compare, "url string, label string, distance double")
+        .applyInArrow(compare, "__key string, label string, distance double")
     )
-    # At most n rows per article and label block reach this merge.
-    merged = best.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("distance", "label"))).alias("nearest"))
-    return merged.select("url", F.slice("nearest", 1, n).alias("nearest"))
+    # At most n rows per embedding and label block reach this merge.
+    merged = best.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("distance", "label"))).alias("nearest"))
+    return merged.select("__key", F.slice("nearest", 1, n).alias("nearest"))
 
 
 def _text(values) -> pa.Array:

@@ -178,6 +178,26 @@ def test_labels_in_blocks_equal_labels_at_once(spark):
         assert [label for label, _ in at_once[name]] == best
 
 
+def test_labels_do_not_depend_on_the_size_of_their_table(rows, fx):
+    articles = rows(
+        SCHEMA, ("same", [1.0, 0.0], None), ("same", [0.0, 1.0], None), ("same", [1.0, 0.0], None),
+        ("zero", [0.0, 0.0], None), ("none", None, None), ("long", [1.0, 0.0, 0.0], None),
+    )
+    reference = rows("label string, embedding array<float>", ("x", [2.0, 0.1]), ("y", [0.1, 2.0]), ("z", [1.0, 1.0]), ("0", [0.0, 0.0]))
+
+    def found(df, reference, label, block):
+        got = labels.add_nearest_labels(df, reference, label, n=2, block=block).collect()
+        return sorted((r["url"], str(r["nearest"] and [(n["label"], round(n["distance"], 9)) for n in r["nearest"]])) for r in got)
+
+    names = {r["url"]: r["nearest"] for r in labels.add_nearest_labels(articles, reference, "label", n=2, block=1).collect()}
+    assert names["zero"] == [] and names["none"] is None and names["long"] is None
+    at_once = found(articles, reference, "label", 4096)
+    assert len(at_once) == 6 and [x.count("(") for _, x in at_once if _ == "same"] == [2, 2, 2]
+    assert found(articles, reference, "label", 1) == found(articles, reference, "label", 3) == at_once
+    articles = fx.articles.select("url", "embedding")
+    assert found(articles, fx.categories_ref, "category", 1) == found(articles, fx.categories_ref, "category", 4096)
+
+
 def test_approximate_search_finds_most_neighbours(fx):
     exact = [r["url"] for r in search.nearest_rows(fx.articles, fx.query_vector, 20, metric="l2").collect()]
     near = similarity.approximate_nearest(fx.articles, fx.query_vector, 20, bucket=1.0, tables=6)
