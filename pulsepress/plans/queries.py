@@ -75,7 +75,10 @@ def query_aggregated(
     columns: Sequence[str] | None = None,
     **filters,
 ) -> DataFrame:
-    """Filtered articles with trend numbers, related urls and publisher details, newest first."""
+    """Filtered articles with trend numbers, related urls and publisher details, newest first.
+
+    Limit and offset count articles; an article whose related urls come in parts has all of its rows.
+    """
     wanted = list(
         columns or [*_columns_of(articles), *TREND_COLUMNS, "related_urls", "related_part", *PUBLISHER_COLUMNS]
     )
@@ -84,7 +87,10 @@ def query_aggregated(
         # Conditions may name any column of the view, so it is built in full before the filter.
         view = aggregated_view(articles, trends, related, publishers)
         measured = _measure(_filtered(view, filters), embedding, distance)
-        return page(measured, order, limit, offset).select(*_output(wanted, embedding))
+        if limit or offset:
+            keys = measured.select("url", "created", *(["distance"] if embedding else [])).distinct()
+            measured = measured.join(page(keys, order, limit, offset).select("url"), "url", "left_semi")
+        return measured.orderBy(*order, F.col("related_part")).select(*_output(wanted, embedding))
     base = articles.join(trends.select("url", *TREND_COLUMNS), "url", "left")
     top = _page(_measure(_filtered(base, filters), embedding, distance), wanted, order, limit, offset)
     rows = add_publishers(top, publishers) if any(c in PUBLISHER_COLUMNS for c in wanted) else top

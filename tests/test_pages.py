@@ -2,7 +2,7 @@
 
 import pytest
 
-from pulsepress.plans import queries
+from pulsepress.plans import queries, trends, views
 from pulsepress.plans.trends import trend_aggregate
 
 
@@ -36,6 +36,23 @@ def test_page_is_a_slice_of_the_whole(tables, fx, name, columns):
         assert page.collect() == whole.collect()[5:12]
 
 
+@pytest.mark.parametrize("conditions", [None, ["kind = 'news'"]])
+def test_pages_count_articles_with_lists_in_parts(tables, fx, monkeypatch, conditions):
+    for module in (queries, views):
+        monkeypatch.setattr(module, "related_lists", lambda related: trends.related_lists(related, limit=4))
+    columns = ["url", "related_urls", "related_part"]
+    for more in ({}, {"embedding": fx.query_vector}):
+        options = {"columns": columns, "conditions": conditions, **more}
+        whole = CALLS["aggregated"](tables, **options).collect()
+        urls = list(dict.fromkeys(r["url"] for r in whole))
+        assert len(urls) < len(whole)
+        for rows in (1000, 3):  # the page is looked up, or all is read at once
+            monkeypatch.setattr(queries, "PAGE_ROWS", rows)
+            got = CALLS["aggregated"](tables, limit=12, offset=5, **options).collect()
+            assert got == [r for r in whole if r["url"] in urls[5:17]]
+        assert CALLS["aggregated"](tables, offset=5, **options).collect() == [r for r in whole if r["url"] in urls[5:]]
+
+
 def test_large_columns_are_read_for_the_page_only(tables):
     page = queries.query_trending(tables["articles"], tables["trends"], limit=4, columns=["url", "content"])
     plan = page._jdf.queryExecution().executedPlan().toString()
