@@ -32,7 +32,8 @@ def pivot_sample(vectors: DataFrame, id: str, vector: str, pivots: int = PIVOTS)
     sample = vectors.select(vector).distinct().orderBy(F.xxhash64(vector), vector).limit(pivots)
     rows = [x[0] for x in sample.collect()]
     size = max((len(x) for x in rows), default=0)
-    return np.array([x for x in rows if len(x) == size], np.float64).reshape(-1, size)
+    same = [x for x in rows if len(x) == size]
+    return np.array(same, np.float64).reshape(len(same), size)
 
 
 def places(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -125,7 +126,7 @@ def nearest(
     Nearness is the inner product of the original vectors in double precision. Every usable row is
     indexed; in each shard the ``share`` of rows with the least footrule distance (ties included)
     is ranked again. Vectors that are NULL, all zero, or hold NULL or non-finite components take no
-    part, nor do NULL ids, nor vectors of another length than the pivots'. Repeated rows (same id
+    part, nor do NULL ids; vectors meet those of their own length. Repeated rows (same id
     and vector) count once; rows with the query's id count as its own. Ties go to the smaller id.
     """
     folder = new_folder(vectors)
@@ -135,21 +136,24 @@ def nearest(
         return df.filter(F.col("id").isNotNull() & usable_vector(F.col("vector"), zero=False)).dropDuplicates()
 
     rows = stored(plain(vectors), folder, "rows")
-    fitted = pivot_sample(rows, "id", "vector", min(pivots, 256))
-    size = F.size("vector") == fitted.shape[1]
-    rows = rows.filter(size)
-    asked = stored(plain(queries).filter(size).withColumn("query", F.monotonically_increasing_id()), folder, "queries")
-    shards = max(1, -(-rows.count() // shard_rows))
-    tiles = max(1, -(-asked.count() // tile_queries))
-    index = stored(build_index(rows, fitted, shards), folder, "index")
-
-    left = asked.withColumn("tile", F.pmod(F.xxhash64("query"), F.lit(tiles))).select("*", copied(shards).alias("shard"))
-    right = index.select("*", copied(tiles).alias("tile"))
-    lists = (
-        left.groupBy("tile", "shard")
-        .cogroup(right.groupBy("tile", "shard"))
-        .applyInArrow(_search(fitted, k, share), "query long, query_id long, vec_id long, score double, shard long")
-    )
+    size = F.size("vector")
+    asked = stored(plain(queries).withColumn("query", F.monotonically_increasing_id()), folder, "queries")
+    lists, most = None, 1
+    # An index for each length of vectors.
+    for length in sorted(x[0] for x in rows.select(size).distinct().collect()) or [0]:
+        own, like = rows.filter(size == length), asked.filter(size == length)
+        fitted = pivot_sample(own, "id", "vector", min(pivots, 256))
+        shards = max(1, -(-own.count() // shard_rows))
+        tiles = max(1, -(-like.count() // tile_queries))
+        index = stored(build_index(own, fitted, shards), folder, f"index{length}")
+        left = like.withColumn("tile", F.pmod(F.xxhash64("query"), F.lit(tiles))).select("*", copied(shards).alias("shard"))
+        right = index.select("*", copied(tiles).alias("tile"))
+        found = (
+            left.groupBy("tile", "shard")
+            .cogroup(right.groupBy("tile", "shard"))
+            .applyInArrow(_search(fitted, k, share), "query long, query_id long, vec_id long, score double, shard long")
+        )
+        lists, most = (found if lists is None else lists.unionByName(found)), max(most, shards)
     order = [F.col("score").desc(), F.col("vec_id")]
-    best = top_by_tree(lists, ["query"], order, k, "shard", shards)
+    best = top_by_tree(lists, ["query"], order, k, "shard", most)
     return best.select("query", "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

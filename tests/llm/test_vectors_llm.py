@@ -63,3 +63,26 @@ def test_copies_of_a_vector_are_found_by_smaller_id(rows):
     df = rows("vec_id long, embedding array<double>", *[(i, [1.0, 2.0]) for i in range(50)])
     found = permutations.nearest(df, df.filter(F.col("vec_id") == 40), k=3).orderBy("rank").collect()
     assert [x.vec_id for x in found] == [0, 1, 2]
+
+
+def test_permutations_of_several_lengths(rows):
+    draw = np.random.default_rng(5)
+    points = [(i, [float(x) for x in draw.normal(size=4)]) for i in range(40)] + [(40, [1.0] * 5), (41, [2.0] * 5)]
+    df = rows("vec_id long, embedding array<float>", *points)
+    found = permutations.nearest(df, df, k=3).collect()
+    assert {x.query_id for x in found} == set(range(42)) and len(found) == 40 * 3 + 2
+    assert sorted((x.query_id, x.vec_id) for x in found if x.query_id >= 40) == [(40, 41), (41, 40)]
+
+
+def test_recall_where_the_share_binds(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = {}
+    for x in permutations.nearest(df, df.filter("vec_id % 10 = 0"), k=20).collect():
+        got.setdefault(x.query_id, set()).add(x.vec_id)
+    rows = df.collect()
+    ids, vectors, recall = np.array([x.vec_id for x in rows]), np.array([x.embedding for x in rows], np.float64), []
+    for id, found in got.items():
+        score = np.where(ids == id, -np.inf, vectors @ vectors[ids == id][0])
+        recall.append(len(found & set(ids[np.lexsort((ids, -score))[:20]].tolist())) / 20)
+    assert len(ids) * permutations.SHARE > 200 and len(recall) == 200
+    assert np.mean(recall) > 0.94 and min(recall) >= 0.7
