@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsepress.llm import bpe, chat, jaccard, packing, permutations, pii, quality, repeats, topk, urls
+from pulsepress.llm import alignment, bpe, chat, jaccard, packing, permutations, pii, quality, repeats, topk, urls
 from pulsepress.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,13 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_jaccard_join")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
+@query("op11_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    files = _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model")
+    aligned = alignment.align(table(spark, folder, "documents"), *files, public_tokenizers.PATTERN, ["doc_id"])
+    columns = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    return aligned.select("doc_id", *columns)
