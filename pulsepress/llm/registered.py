@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsepress.llm import alignment, bpe, chat, jaccard, packing, permutations, pii, quality, repeats, topk, urls
+from pulsepress.llm import alignment, bpe, chat, jaccard, packing, periods, permutations, pii, quality, repeats, topk, urls
 from pulsepress.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,36 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     aligned = alignment.align(table(spark, folder, "documents"), *files, public_tokenizers.PATTERN, ["doc_id"])
     columns = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
     return aligned.select("doc_id", *columns)
+
+
+def looped(text: Column, number: Column) -> Column:
+    """The words of ``text``, in one of ten by its ``number`` with the rest from some word on made periodic."""
+    words = F.regexp_extract_all(text, F.lit(repeats.WORD), F.lit(0))
+    n, g = F.size(words), F.floor(number / 10)
+    head = (g % n).cast("int")
+    period = (1 + F.floor((n - head) / (3 + g % 8))).cast("int")
+    times = F.ceil((n - head) / period).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, head + 1, period), times))
+    made = F.array_join(F.concat(F.slice(words, 1, head), F.slice(again, 1, n - head)), " ")
+    return F.when((number % 10 == 0) & (n > 0), made).otherwise(text)
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    docs = docs.select("doc_id", looped(F.col("text"), F.crc32(F.col("doc_id").cast("string"))).alias("text"))
+    found = periods.periodic_runs(docs, ["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    start, length, period = -longest["col2"], longest["length"], -longest["col3"]
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
