@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsepress.llm import alignment, bpe, chat, jaccard, packing, periods, permutations, pii, quality, repeats, topk, urls
+from pulsepress.llm import alignment, bpe, chat, jaccard, novelty, packing, periods, permutations, pii, quality, repeats, topk, urls
 from pulsepress.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,6 +152,26 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return aligned.select("doc_id", *columns)
 
 
+@query("op12_secret_scan")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = novelty.find_secrets(table(spark, folder, "documents"), ["doc_id"])
+    added = len(novelty.KINDS) - 1
+    base = F.filter("spans", lambda x: x["kind"] < added)
+
+    def count(test: Callable[[Column], Column]) -> Column:
+        return F.size(F.filter("spans", test)).cast("long")
+
+    kinds = enumerate(novelty.KINDS[:added])
+    return found.select(
+        "doc_id",
+        *[count(lambda x, i=i: x["kind"] == i).alias(f"n_{kind}") for i, kind in kinds],
+        F.sha2(novelty.described(base).cast("binary"), 256).alias("base_sha256"),
+        novelty.described(F.col("spans")).alias("spans"),
+        count(lambda x: x["kind"] == added).alias("n_novel"),
+        count(lambda x: (x["kind"] < added) & (x["share"] >= novelty.NOVEL)).alias("n_confirmed"),
+    )
+
+
 def looped(text: Column, number: Column) -> Column:
     """The words of ``text``, in one of ten by its ``number`` with the rest from some word on made periodic."""
     words = F.regexp_extract_all(text, F.lit(repeats.WORD), F.lit(0))
