@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsepress.llm.common import new_folder, stored
+from pulsepress.llm.common import shuffle_partitions, top_by_tree
 from pulsepress.llm.texts import in_pieces, map_texts
 
 KINDS = ("assign", "access", "hex", "novel")
@@ -145,12 +145,17 @@ def identifiers(docs: DataFrame, text: str = "text") -> DataFrame:
 def dictionary_of(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> bytes:
     """The ``size`` identifiers that spell most characters in all documents, most common last.
 
-    Not more than ``size`` short strings come to the driver. Identifiers have letters and underscores
-    only, so that what holds digits never explains another document's secret.
+    Lists of ``size`` are merged in a tree, and no more than ``size`` short strings come to the driver.
+    Identifiers have letters and underscores only, so that what holds digits never explains another
+    document's secret.
     """
+    fan_in = 16
+    groups = fan_in * shuffle_partitions(docs)
     spelled = (F.col("docs") * F.length("identifier")).alias("spelled")
-    rows = identifiers(docs, text).filter("docs > 1").select("identifier", spelled)
-    top = rows.orderBy(F.desc("spelled"), "identifier").limit(size).collect()
+    part = F.pmod(F.xxhash64("identifier"), F.lit(groups)).alias("part")
+    rows = identifiers(docs, text).filter("docs > 1").select("identifier", spelled, part, F.lit(0).alias("all"))
+    order = [F.desc("spelled"), F.asc("identifier")]
+    top = top_by_tree(rows, ["all"], order, size, "part", groups, fan_in).orderBy("rank").collect()
     return " ".join(x["identifier"] for x in reversed(top)).encode()
 
 
