@@ -56,12 +56,12 @@ def _(fx):
     return drop_orphans(fx.related, fx.articles.filter("kind = 'news'"))
 
 
-SNAPSHOT_OUT = "m.chatter_url, m.url, strftime(m.collected, '%Y-%m-%d %H:%M:%S.%f') AS collected, m.likes, m.comments"
+SNAPSHOT_OUT = "chatter_url, url, strftime(collected, '%Y-%m-%d %H:%M:%S.%f') AS collected, likes, comments"
 
 
 @check(
     "j5_snapshots_at_maxima",
-    f"SELECT {SNAPSHOT_OUT} FROM mentions m LEFT JOIN post_maxima x ON m.chatter_url = x.chatter_url WHERE m.likes = x.likes AND m.comments = x.comments",
+    f"SELECT {SNAPSHOT_OUT} FROM snapshots WHERE likes = most_likes AND comments = most_comments",
 )
 def _(fx):
     return tr.snapshots_at_maxima(fx.mentions).select("chatter_url", "url", moment("collected"), "likes", "comments")
@@ -69,7 +69,7 @@ def _(fx):
 
 @check(
     "j6_counted_snapshots",
-    f"SELECT {SNAPSHOT_OUT} FROM mentions m LEFT JOIN post_first_seen f ON m.chatter_url = f.chatter_url WHERE m.collected = f.collected",
+    f"SELECT {SNAPSHOT_OUT} FROM peaks WHERE collected = peak",
 )
 def _(fx):
     return tr.counted_snapshots(fx.mentions).select("chatter_url", "url", moment("collected"), "likes", "comments")
@@ -77,7 +77,7 @@ def _(fx):
 
 @check(
     "j7_trend_stats",
-    "SELECT url, likes, comments, subscribers, shares, related, strftime(updated, '%Y-%m-%d') AS updated FROM trend_stats",
+    "SELECT url, likes, comments, subscribers, shares, related, strftime(updated, '%Y-%m-%d') AS updated FROM article_numbers",
 )
 def _(fx):
     return tr.trend_stats(fx.articles, fx.mentions, fx.related).withColumn("updated", day("updated"))
@@ -150,14 +150,14 @@ def _(fx):
     return count_rows(fx.articles, ["kind = 'news'", "created > TIMESTAMP_NTZ '2024-01-10 00:00:00'"])
 
 
-@check("a2_post_maxima", "SELECT chatter_url, likes, comments FROM post_maxima")
+@check("a2_post_maxima", "SELECT DISTINCT chatter_url, most_likes AS likes, most_comments AS comments FROM snapshots")
 def _(fx):
     return tr.post_maxima(fx.mentions)
 
 
 @check(
     "a3_first_at_maxima",
-    "SELECT chatter_url, strftime(collected, '%Y-%m-%d %H:%M:%S.%f') AS collected FROM post_first_seen WHERE collected IS NOT NULL",
+    "SELECT DISTINCT chatter_url, strftime(peak, '%Y-%m-%d %H:%M:%S.%f') AS collected FROM peaks WHERE peak IS NOT NULL",
 )
 def _(fx):
     return tr.first_at_maxima(fx.mentions).select("chatter_url", moment("collected"))
@@ -165,18 +165,18 @@ def _(fx):
 
 @check(
     "a4_mention_totals",
-    "SELECT url, strftime(updated, '%Y-%m-%d') AS updated, likes, comments, subscribers, shares FROM mention_totals",
+    "SELECT url, strftime(updated, '%Y-%m-%d') AS updated, likes, comments, subscribers, shares FROM url_signals WHERE shares > 0",
 )
 def _(fx):
     return tr.mention_totals(fx.mentions).withColumn("updated", day("updated"))
 
 
-@check("a4_mention_totals_summed", "SELECT url, likes, comments, subscribers, summed_shares AS shares FROM mention_totals")
+@check("a4_mention_totals_summed", "SELECT url, likes, comments, subscribers, summed_shares AS shares FROM url_signals WHERE shares > 0")
 def _(fx):
     return tr.mention_totals(fx.mentions, shares="sum").drop("updated")
 
 
-@check("a5_related_counts", "SELECT url, related FROM related_counts")
+@check("a5_related_counts", "SELECT url, related FROM url_signals WHERE related > 0")
 def _(fx):
     return tr.related_counts(fx.related)
 
@@ -203,8 +203,9 @@ def _(fx):
 
 @check(
     "a8_trend_aggregate_summed_shares",
-    """SELECT url, likes, comments, summed_shares AS shares, related, round(CAST(100 * related + 50 * comments + 10 * summed_shares + likes AS DOUBLE)
-       / (DATE '2024-02-01' + 2 - updated), 6) AS trend_score FROM trend_stats WHERE greatest(likes, comments, summed_shares, related) > 0""",
+    """SELECT url, likes, comments, summed_shares AS shares, related, round((likes + 10 * summed_shares + 50 * comments + 100 * related)::DOUBLE
+       / date_diff('day', updated, DATE '2024-02-03'), 6) AS trend_score FROM article_numbers
+       WHERE likes > 0 OR comments > 0 OR summed_shares > 0 OR related > 0""",
 )
 def _(fx):
     rows = tr.trend_aggregate(fx.articles, fx.mentions, fx.related, AS_OF, shares="sum")
@@ -319,8 +320,8 @@ def _(fx):
 
 @check(
     "f1_trend_score_whole",
-    """SELECT url, CAST((100 * related + 50 * comments + 10 * shares + likes) // (DATE '2024-02-01' + 2 - updated) AS DOUBLE) AS trend_score
-       FROM trend_stats WHERE greatest(likes, comments, shares, related) > 0""",
+    """SELECT url, ((likes + 10 * shares + 50 * comments + 100 * related) // date_diff('day', updated, DATE '2024-02-03'))::DOUBLE AS trend_score
+       FROM trends""",
 )
 def _(fx):
     return tr.trend_aggregate(fx.articles, fx.mentions, fx.related, AS_OF, whole_scores=True).select("url", "trend_score")
@@ -328,8 +329,8 @@ def _(fx):
 
 @check(
     "f2_updated_day",
-    """SELECT a.url, strftime(greatest(CAST(a.created AS DATE), coalesce(t.updated, CAST(a.created AS DATE))), '%Y-%m-%d') AS updated,
-       coalesce(t.likes, 0) AS likes FROM articles a LEFT JOIN mention_totals t ON a.url = t.url""",
+    """SELECT url, strftime(max(CASE WHEN s.updated > created::DATE THEN s.updated ELSE created::DATE END), '%Y-%m-%d') AS updated,
+       max(ifnull(likes, 0)) AS likes FROM articles LEFT JOIN url_signals s USING (url) GROUP BY url""",
 )
 def _(fx):
     rows = fx.articles.select("url", "created").join(tr.mention_totals(fx.mentions), "url", "left")

@@ -400,7 +400,7 @@ def _(fx):
     return rows.select("url", "author", joined(F.array_sort("entities"), "entities"))
 
 
-@check("u1_union_active", "SELECT url FROM active_urls")
+@check("u1_union_active", "SELECT DISTINCT url FROM signals")
 def _(fx):
     return mention_totals(fx.mentions).select("url").union(related_counts(fx.related).select("url")).distinct()
 

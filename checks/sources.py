@@ -184,14 +184,13 @@ def _(fx):
     "s7_store_trending",
     """WITH kept_articles AS (SELECT * FROM articles WHERE collected >= DATE '2024-01-10'),
        kept_mentions AS (SELECT * FROM mentions WHERE collected >= DATE '2024-01-10'),
-       top AS (SELECT chatter_url, max(likes) AS likes, max(comments) AS comments FROM kept_mentions GROUP BY chatter_url),
-       seen AS (SELECT m.chatter_url, min(m.collected) AS collected FROM kept_mentions m JOIN top x USING (chatter_url, likes, comments) GROUP BY m.chatter_url),
-       sums AS (SELECT m.url, CAST(sum(likes) AS BIGINT) AS likes, CAST(sum(comments) AS BIGINT) AS comments, count(*) AS shares FROM kept_mentions m
-         JOIN seen s ON s.chatter_url = m.chatter_url AND s.collected = m.collected GROUP BY m.url)
-       SELECT a.url, coalesce(s.likes, 0) AS likes, coalesce(s.comments, 0) AS comments, coalesce(s.shares, 0) AS shares,
-         coalesce(r.related, 0) AS related, p.site_name FROM kept_articles a
-       LEFT JOIN sums s ON s.url = a.url LEFT JOIN related_counts r ON r.url = a.url LEFT JOIN publishers p ON p.source = a.source
-       WHERE greatest(coalesce(s.likes, 0), coalesce(s.comments, 0), coalesce(s.shares, 0), coalesce(r.related, 0)) > 0""",
+       ranked AS (SELECT *, max(likes) OVER post AS l, max(comments) OVER post AS c FROM kept_mentions WINDOW post AS (PARTITION BY chatter_url)),
+       timed AS (SELECT *, min(collected) FILTER (likes = l AND comments = c) OVER (PARTITION BY chatter_url) AS full_at FROM ranked),
+       sums AS (SELECT url, sum(likes)::BIGINT AS likes, sum(comments)::BIGINT AS comments, count(*) AS shares FROM timed WHERE collected = full_at GROUP BY url),
+       pairs_of AS (SELECT url, count(*) AS related FROM related GROUP BY url)
+       SELECT url, ifnull(likes, 0) AS likes, ifnull(comments, 0) AS comments, ifnull(shares, 0) AS shares, ifnull(related, 0) AS related, site_name
+       FROM kept_articles LEFT JOIN sums USING (url) LEFT JOIN pairs_of USING (url) LEFT JOIN publishers USING (source)
+       WHERE likes > 0 OR comments > 0 OR shares > 0 OR related > 0""",
 )
 def _(fx):
     import uuid

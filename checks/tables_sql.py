@@ -43,31 +43,32 @@ SELECT concat('sent', CAST(e.label AS VARCHAR)) AS sentiment, e.embedding
 FROM embeddings e JOIN (SELECT label, max(vec_id) AS vec_id FROM embeddings WHERE label < 5 GROUP BY label) m ON m.vec_id = e.vec_id""",
     "query_vector": """
 SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1""",
-    "post_maxima": """
-SELECT chatter_url, max(likes) AS likes, max(comments) AS comments FROM mentions GROUP BY chatter_url""",
-    "post_first_seen": """
-SELECT m.chatter_url, min(m.collected) AS collected
-FROM mentions m JOIN post_maxima x ON m.chatter_url = x.chatter_url AND m.likes = x.likes AND m.comments = x.comments
-GROUP BY m.chatter_url""",
-    "mention_totals": """
-SELECT m.url, CAST(max(m.collected) AS DATE) AS updated, CAST(sum(likes) AS BIGINT) AS likes,
-  CAST(sum(comments) AS BIGINT) AS comments, CAST(sum(subscribers) AS BIGINT) AS subscribers,
-  count(m.chatter_url) AS shares, CAST(sum(shares) AS BIGINT) AS summed_shares
-FROM mentions m JOIN post_first_seen f ON m.chatter_url = f.chatter_url AND m.collected = f.collected
-GROUP BY m.url""",
-    "related_counts": "SELECT url, count(*) AS related FROM related GROUP BY url",
-    "active_urls": "SELECT url FROM mention_totals UNION SELECT url FROM related_counts",
-    "trend_stats": """
-SELECT a.url, coalesce(t.likes, 0) AS likes, coalesce(t.comments, 0) AS comments,
-  coalesce(t.subscribers, 0) AS subscribers, coalesce(t.shares, 0) AS shares,
-  coalesce(t.summed_shares, 0) AS summed_shares, coalesce(r.related, 0) AS related,
-  greatest(CAST(b.created AS DATE), coalesce(t.updated, CAST(b.created AS DATE))) AS updated
-FROM active_urls a JOIN articles b ON a.url = b.url
-LEFT JOIN mention_totals t ON t.url = a.url LEFT JOIN related_counts r ON r.url = a.url""",
+    # A snapshot beside the highest counts that its post ever has.
+    "snapshots": """
+SELECT m.*, max(likes) OVER post AS most_likes, max(comments) OVER post AS most_comments
+FROM mentions m WINDOW post AS (PARTITION BY chatter_url)""",
+    # When a post first had both, beside each of its snapshots.
+    "peaks": """
+SELECT s.*, min(collected) FILTER (WHERE likes = most_likes AND comments = most_comments) OVER (PARTITION BY chatter_url) AS peak
+FROM snapshots s""",
+    # What speaks for an article: a post at its peak, or a related article.
+    "signals": """
+SELECT url, 'post' AS signal, collected, likes, comments, subscribers, shares FROM peaks WHERE collected = peak
+UNION ALL SELECT url, 'pair', NULL, NULL, NULL, NULL, NULL FROM related""",
+    "url_signals": """
+SELECT url, max(collected)::DATE AS updated, count(*) FILTER (signal = 'post') AS shares, count(*) FILTER (signal = 'pair') AS related,
+  sum(likes)::BIGINT AS likes, sum(comments)::BIGINT AS comments, sum(subscribers)::BIGINT AS subscribers,
+  sum(shares)::BIGINT AS summed_shares
+FROM signals GROUP BY url""",
+    "article_numbers": """
+SELECT url, ifnull(likes, 0) AS likes, ifnull(comments, 0) AS comments, ifnull(subscribers, 0) AS subscribers, shares,
+  ifnull(summed_shares, 0) AS summed_shares, related,
+  CASE WHEN updated > created::DATE THEN updated ELSE created::DATE END AS updated
+FROM url_signals JOIN articles USING (url)""",
     "trends": """
-SELECT url, likes, comments, subscribers, shares, related, updated,
-  CAST(100 * related + 50 * comments + 10 * shares + likes AS DOUBLE) / (DATE '2024-02-01' + 2 - updated) AS trend_score
-FROM trend_stats WHERE greatest(likes, comments, shares, related) > 0""",
+SELECT * EXCLUDE (summed_shares, age), (likes + 10 * shares + 50 * comments + 100 * related)::DOUBLE / age AS trend_score
+FROM (SELECT *, date_diff('day', updated, DATE '2024-02-03') AS age FROM article_numbers)
+WHERE likes > 0 OR comments > 0 OR shares > 0 OR related > 0""",
     "related_lists": """
 SELECT url, list_sort(array_agg(related_url)) AS related_urls FROM related GROUP BY url""",
     "trending": """
