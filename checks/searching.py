@@ -9,6 +9,7 @@ from checks.sources import trends_of
 from pulsepress.functions.vectors import distance
 from pulsepress.operators import ordering, search, similarity
 from pulsepress.operators.labels import add_nearest_labels
+from pulsepress.operators.text_index import indexed_search, search_scores
 from pulsepress.plans import queries as q
 
 Q = "(SELECT q FROM query_vector)"
@@ -134,18 +135,35 @@ TEXT_SQL = f"""weights AS (SELECT *, {', '.join(f"CAST({WEIGHT.replace('{t}', t)
 
 
 @check("x1_text_search", f"WITH {TEXT_SQL} SELECT url, round(search_score, 6) AS search_score FROM found")
+def _(fx):
+    return search_scores(fx.text_index, TERMS).select("url", rounded("search_score"))
+
+
+@check("x1_text_search_scan", f"WITH {TEXT_SQL} SELECT url, round(search_score, 6) AS search_score FROM found")
 def _(fx):
     rows = search.text_search(fx.articles, TERMS)
     return rows.select("url", rounded("search_score"))
 
 
+@check(
+    "x1_postings",
+    """WITH words AS (SELECT url, unnest(tags) AS term, 3.0 AS w FROM tagged
+         UNION ALL SELECT url, unnest(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+')), 2.0 FROM articles
+         UNION ALL SELECT url, unnest(regexp_extract_all(lower(summary), '[\\p{L}\\p{N}]+')), 1.0 FROM articles)
+       SELECT term, count(DISTINCT url) AS articles, sum(w)::DOUBLE AS weight FROM words GROUP BY term""",
+)
+def _(fx):
+    rows = fx.text_index.filter("term <> ''").groupBy("term")
+    return rows.agg(F.count("url").alias("articles"), F.sum("weight").alias("weight"))
+
+
 @check(
     "x1_text_search_filtered",
     f"""WITH {TEXT_SQL} SELECT url, source, round(search_score, 6) AS search_score FROM (SELECT *, row_number() OVER (PARTITION BY source
         ORDER BY search_score DESC, url) AS rn FROM found WHERE kind = 'news') WHERE rn = 1""",
 )
 def _(fx):
-    hits = search.text_search(fx.articles.filter("kind = 'news'"), TERMS, rank_from=fx.articles)
+    hits = indexed_search(fx.text_index, fx.articles.filter("kind = 'news'"), TERMS)
     rows = search.first_of_each(hits, "source", search.by_search_score())
     return rows.select("url", "source", rounded("search_score"))
 
@@ -156,9 +174,10 @@ def _(fx):
         ORDER BY found.search_score DESC, url LIMIT 10""",
 )
 def _(fx):
-    hits = search.text_search(fx.articles, TERMS.split()).drop("embedding")
-    top = ordering.page(hits, search.by_search_score(), limit=10)
-    return top.select("url", "title", "content", rounded("search_score"))
+    # The ten are found among scores alone; no more than ten articles are read in full.
+    top = ordering.page(search_scores(fx.text_index, TERMS.split()), search.by_search_score(), limit=10)
+    rows = fx.articles.join(F.broadcast(top), "url").orderBy(*search.by_search_score())
+    return rows.select("url", "title", "content", rounded("search_score"))
 
 
 @check("x3_sample", "SELECT url, kind FROM articles WHERE kind <> 'news' ORDER BY md5(concat_ws('#', url, '7')), url LIMIT 25")

@@ -62,3 +62,32 @@ def distance(embedding, query: Sequence[float], metric: str = "cosine") -> Colum
 
     # Otherwise a filter on the distance would be moved below it and measure every vector twice.
     return to_query.asNondeterministic()(F.col(embedding) if isinstance(embedding, str) else embedding)
+
+
+def distance_between(left, right, metric: str = "cosine") -> Column:
+    """Distance of two embedding columns, row by row, in double precision; NULL as in ``distance``."""
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
+
+    @F.arrow_udf("double")
+    def of_rows(a: pa.Array, b: pa.Array) -> pa.Array:
+        size = pc.list_value_length(a)
+        fits = pc.fill_null(pc.equal(size, pc.list_value_length(b)), False).to_numpy(zero_copy_only=False)
+        result = np.full(len(a), np.nan)
+        sizes = size.to_numpy(zero_copy_only=False)
+        for length in np.unique(sizes[fits]).astype(int).tolist():
+            rows = np.flatnonzero(fits & (sizes == length))
+            x, y = (as_matrix(v.take(pa.array(rows)), length)[1] for v in (a, b))
+            dots, own, other = ((p * q).sum(1) for p, q in ((x, y), (x, x), (y, y)))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                result[rows] = {
+                    "dot": lambda: 1.0 - dots,
+                    "cosine": lambda: 1.0 - dots / np.sqrt(own * other),
+                    "l2": lambda: np.sqrt(((x - y) ** 2).sum(1)),
+                }[metric]()
+        return pa.array(result, mask=np.isnan(result))
+
+    def column(x) -> Column:
+        return F.col(x) if isinstance(x, str) else x
+
+    return of_rows.asNondeterministic()(column(left), column(right))

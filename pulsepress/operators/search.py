@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pulsepress.functions.dates import seconds
 from pulsepress.functions.scores import min_max
 from pulsepress.functions.text import tag_tokens, tags_text
-from pulsepress.functions.vectors import distance
+from pulsepress.functions.vectors import distance, distance_between
 from pulsepress.operators.joins import first_per_key
 from pulsepress.operators.ordering import nearest, page
 
@@ -83,23 +83,30 @@ def similar_to(
     limit: int = 0,
     offset: int = 0,
     condition: Column | None = None,
-) -> DataFrame | None:
-    """Articles near a stored one that share a tag with it; None when it has no embedding or tags.
+) -> DataFrame:
+    """Articles near a stored one that share a tag with it; none when it has no embedding or tags.
 
-    The one stored row is looked up first, as the search starts from its values.
+    The stored row is one, as the url is the key of the table, so it goes to every task.
     """
     seed = (
         articles.filter((F.col("url") == url) & F.col("embedding").isNotNull())
-        .select("embedding", tag_tokens().alias("tags"))
-        .first()
+        .select(F.col("embedding").alias("__seed"), tag_tokens().alias("__tags"))
+        .limit(1)
     )
-    if seed is None or not seed["tags"]:
-        return None
-    shared = F.arrays_overlap(tag_tokens(), F.array(*[F.lit(t) for t in dict.fromkeys(seed["tags"])]))
-    others = articles.filter((F.col("url") != url) & shared)
+    others = articles.filter(F.col("url") != url)
     if condition is not None:
         others = others.filter(condition)
-    return nearest_rows(others, seed["embedding"], limit, offset, max_distance)
+    shared = others.join(F.broadcast(seed), F.arrays_overlap(tag_tokens(), F.col("__tags")))
+    measured = shared.withColumn("distance", distance_between("embedding", "__seed")).drop("__seed", "__tags")
+    if max_distance is not None:
+        measured = measured.filter(F.col("distance") <= max_distance)
+    return page(measured, nearest(F.col("url")), limit, offset)
+
+
+def query_terms(query: str | Sequence[str]) -> list[str]:
+    """The different words of a query, lower-cased, in order."""
+    text = query if isinstance(query, str) else " ".join(query)
+    return list(dict.fromkeys(re.findall(r"[^\W_]+", text.lower())))
 
 
 def text_search(articles: DataFrame, query: str | Sequence[str], rank_from: DataFrame | None = None) -> DataFrame:
@@ -109,8 +116,7 @@ def text_search(articles: DataFrame, query: str | Sequence[str], rank_from: Data
     weighted number of occurrences. Rarity is counted over ``rank_from`` (default: the articles
     given). Each article is scored where it is read; only the counts per term are shuffled.
     """
-    text = query if isinstance(query, str) else " ".join(query)
-    terms = list(dict.fromkeys(re.findall(r"[^\W_]+", text.lower())))
+    terms = query_terms(query)
     if not terms:
         return articles.filter(F.lit(False)).withColumn("search_score", F.lit(0.0))
     alone = r"(?<![\p{L}\p{N}])(?:%s)(?![\p{L}\p{N}])" % "|".join(terms)

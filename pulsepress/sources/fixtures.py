@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsepress.functions.dates import timestamp
-
+from pulsepress.operators.text_index import BUCKET, POSTINGS, postings
+from pulsepress.schemas import DAY
+from pulsepress.sources.scratch import scratch_folder
 
 RAW = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
@@ -17,6 +19,9 @@ RAW = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
 }
 
+#: Word indexes by application and folder.
+_indexes: dict[tuple[str, str], str] = {}
+
 
 class Fixtures:
     """Lazy article tables over one folder of test tables."""
@@ -105,6 +110,16 @@ class Fixtures:
             _document_url(F.col("vec_id")).alias("url"), _document_url(F.col("other")).alias("related_url")
         )
 
+    @property
+    def text_index(self) -> DataFrame:
+        """The word index of the articles, written once for a folder and session, as on ingest."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _indexes:
+            path = scratch_folder(self.spark)
+            postings(self.articles).write.partitionBy(DAY, BUCKET).parquet(path)
+            _indexes[key] = path
+        return self.spark.read.schema(POSTINGS).parquet(_indexes[key])
+
     @cached_property
     def categories_ref(self) -> DataFrame:
         return self._label_vectors(F.min_by("embedding", "vec_id"), "cat", "category")

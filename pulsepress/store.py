@@ -7,22 +7,26 @@ touch, retention drops whole days and date filters skip the rest.
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from datetime import date
+from functools import cached_property
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pulsepress import schemas
 from pulsepress.functions import dates
-from pulsepress.operators import ingest, labels, search, similarity
-from pulsepress.operators.filters import in_days
+from pulsepress.operators import ingest, labels, search, similarity, text_index
+from pulsepress.operators.filters import article_filter, in_days
 from pulsepress.operators.joins import matching_keys
+from pulsepress.operators.ordering import page
 from pulsepress.plans import queries
-from pulsepress.plans.trends import trend_aggregate
+from pulsepress.plans.trends import mention_rollup, trend_aggregate
 from pulsepress.plans.views import register_views
-from pulsepress.sources import files
+from pulsepress.sources import files, folders
 from pulsepress.sources.scratch import session_settings
 
 
@@ -30,6 +34,10 @@ from pulsepress.sources.scratch import session_settings
 NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 
 
+def _in_named_days(names: Iterable[str]) -> Column:
+    return in_days([None if day == NO_DAY else date.fromisoformat(day) for day in names])
+
+
 class Tables:
     """Catalog tables of one database: appending, replacing and reading them."""
 
@@ -38,15 +46,18 @@ class Tables:
         self.database = database
         where = f" LOCATION '{location}'" if location else ""
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{where}")
+        self.recover()
 
     def name(self, table: str) -> str:
         return f"{self.database}.{table}"
 
-    def create(self, table: str, schema, partition: str | None = None) -> None:
+    def create(self, table: str, schema, partition: str | None = None, folders_by: Sequence[str] = ()) -> None:
+        """Make a table when it is absent, by days or by columns of its own."""
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
         if partition:
             columns += f", {partition} DATE"
-        by = f" PARTITIONED BY ({partition})" if partition else ""
+        parts = [partition] if partition else list(folders_by)
+        by = f" PARTITIONED BY ({', '.join(parts)})" if parts else ""
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name(table)} ({columns}) USING parquet{by}")
 
     def exists(self, table: str) -> bool:
@@ -55,15 +66,17 @@ class Tables:
     def read(self, table: str) -> DataFrame:
         return self.spark.table(self.name(table))
 
-    def append(self, table: str, rows: DataFrame) -> int:
+    def append(self, table: str, rows: DataFrame, balanced: bool = False) -> int:
         """Add rows by column name and return how many, counted while they are written."""
-        counted, seen = self._counted(self._balanced(rows.select(*self.read(table).columns)))
+        rows = rows.select(*self.read(table).columns)
+        counted, seen = self._counted(rows if balanced else self._balanced(rows))
         counted.write.insertInto(self.name(table))
         return seen()
 
-    def overwrite_days(self, table: str, rows: DataFrame) -> int:
-        """Replace the days that occur in the rows."""
-        counted, seen = self._counted(self._balanced(rows.select(*self.read(table).columns)))
+    def overwrite_days(self, table: str, rows: DataFrame, balanced: bool = False) -> int:
+        """Replace the days (folders) that occur in the rows."""
+        rows = rows.select(*self.read(table).columns)
+        counted, seen = self._counted(rows if balanced else self._balanced(rows))
         with session_settings(self.spark, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
             counted.write.insertInto(self.name(table), overwrite=True)
         return seen()
@@ -71,49 +84,97 @@ class Tables:
     def replace(self, table: str, rows: DataFrame) -> int:
         """Replace all content, which the rows may be computed from.
 
-        A table with days goes through ``replace_days``. The rows of any other are written to a place
-        of their own, then the table is pointed there: one change of the catalog, before which the
-        old rows count and after which the new ones do. A run that ends in between leaves at most a
-        table named ``__next_…`` behind, which nothing reads.
+        A table with days goes through ``replace_days``. The rows of any other are written to a folder
+        of their own, a version. The table's location in the catalog alone says which version is live,
+        so one change of the catalog replaces them. Older versions, and those that a run ended early
+        never made live, stay until ``vacuum``: who reads one can finish.
         """
         if table in schemas.DAY_PARTITIONED:
             return self.replace_days(table, rows, self.days(table))
-        fresh = self._staged(table, rows)
-        written = self.read(fresh).count()  # from the footers
-        old, new = self._location(table), self._location(fresh)
-        self._point(table, new)
-        # The old rows go with the name that no longer stands for the new ones.
-        self._point(fresh, old)
-        self.spark.sql(f"DROP TABLE {self.name(fresh)}")
+        version = self._staged(table, rows)
+        written = self.spark.read.schema(self.read(table).schema).parquet(version).count()  # from the footers
+        self._point(table, version)
         return written
 
     def replace_days(self, table: str, rows: DataFrame, days: Sequence[str]) -> int:
         """Put ``rows`` in the place of the given days; other days that they belong to keep their own rows.
 
-        The rows are evaluated once, into a table of their own, so which days are empty afterwards
-        is known from what is written. Those days are dropped last.
+        The rows are evaluated once, into a folder that then holds all that the days touched will
+        have. A note beside it names the days. From then on the change is certain: a run that ends
+        early is finished by ``recover``, by the same steps over the same rows.
         """
-        staged = self._staged(table, rows)
-        fresh, filled, days = self.read(staged), set(self.days(staged)), set(days)
-        written = fresh.count()
-        if more := filled - days:
-            others = in_days([None if day == NO_DAY else date.fromisoformat(day) for day in more])
-            fresh = fresh.unionByName(self.read(table).filter(others))
-        if filled:
-            self.overwrite_days(table, fresh)
-        for day in days - filled:
-            self._drop_day(table, day)
-        self.spark.sql(f"DROP TABLE {self.name(staged)}")
+        staged, layout = self._staged(table, rows), self.read(table).schema
+        fresh = self.spark.read.schema(layout).parquet(staged)
+        written, filled = fresh.count(), self._days_of(fresh)
+        if more := filled - set(days):
+            self._write(self.read(table).filter(_in_named_days(more)), staged, schemas.DAY, "append")
+        self._note({"table": table, "staged": staged, "empty": sorted(set(days) - filled)})
+        self.recover()
         return written
 
+    def recover(self) -> int:
+        """Finish the changes that are noted, and return how many there were."""
+        notes = sorted(path for path, _ in folders.children(self.spark, self._notes) if path.endswith(".json"))
+        for path in notes:
+            self._apply(json.loads(folders.read_text(self.spark, path)))
+            folders.remove(self.spark, path)
+        return len(notes)
+
+    def _apply(self, note: dict) -> None:
+        table = note["table"]
+        rows = self.spark.read.schema(self.read(table).schema).parquet(note["staged"])
+        self.overwrite_days(table, rows)
+        for day in note["empty"]:
+            self._drop_day(table, day)
+
+    def _note(self, note: dict) -> None:
+        folders.write_text(self.spark, f"{self._notes}/{time.time_ns():020d}-{uuid.uuid4().hex}.json", json.dumps(note))
+
+    @cached_property
+    def _folder(self) -> str:
+        return self.spark.catalog.getDatabase(self.database).locationUri.rstrip("/")
+
+    @property
+    def _notes(self) -> str:
+        return f"{self._folder}/changes.notes"
+
+    def _versions(self, table: str) -> str:
+        return f"{self._folder}/{table}.versions"
+
     def _staged(self, table: str, rows: DataFrame) -> str:
-        """A new table with the rows, which are evaluated here and nowhere else."""
-        fresh = f"{table}__next_{uuid.uuid4().hex}"
-        writer = self._balanced(rows.select(*self.read(table).columns)).write.format("parquet")
-        if table in schemas.DAY_PARTITIONED:
-            writer = writer.partitionBy(schemas.DAY)
-        writer.saveAsTable(self.name(fresh))
-        return fresh
+        """A new folder with the rows, which are evaluated here and nowhere else."""
+        path = f"{self._versions(table)}/{uuid.uuid4().hex}"
+        self._write(self._balanced(rows.select(*self.read(table).columns)), path, schemas.DAY)
+        return path
+
+    @staticmethod
+    def _write(rows: DataFrame, path: str, day: str, mode: str = "errorifexists") -> None:
+        writer = rows.write.mode(mode)
+        (writer.partitionBy(day) if day in rows.columns else writer).parquet(path)
+
+    def once(self, rows: DataFrame) -> tuple[DataFrame, str]:
+        """The rows, evaluated and written once, and the folder they are in."""
+        path = f"{self._folder}/batches.versions/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path), path
+
+    def vacuum(self, hours: float = 24) -> int:
+        """Remove versions that are not live and were last changed so long ago; returns how many.
+
+        Nothing that a note names goes. ``hours`` has to be longer than any read or write takes.
+        """
+        noted = [path for path, _ in folders.children(self.spark, self._notes) if path.endswith(".json")]
+        used = [json.loads(folders.read_text(self.spark, path))["staged"] for path in noted]
+        used += [self._location(t.name) for t in self.spark.catalog.listTables(self.database) if t.tableType == "MANAGED"]
+        old = time.time() - 3600 * hours
+        removed = 0
+        for group, _ in folders.children(self.spark, self._folder):
+            if not group.endswith(".versions"):
+                continue
+            for path, changed in folders.children(self.spark, group):
+                if changed <= old and not any(folders.same(self.spark, path, x) for x in used):
+                    removed += folders.remove(self.spark, path)
+        return removed
 
     def _location(self, table: str) -> str:
         described = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name(table)}")
@@ -127,11 +188,28 @@ class Tables:
         value = "NULL" if day == NO_DAY else f"DATE '{day}'"
         self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION ({schemas.DAY} = {value})")
 
+    @staticmethod
+    def _days_of(rows: DataFrame) -> set[str]:
+        """The different days of rows, by name; they are folders, so few."""
+        found = rows.select(schemas.DAY).distinct().collect()
+        return {NO_DAY if row[0] is None else str(row[0]) for row in found}
+
     def days(self, table: str) -> list[str]:
         """The stored days; one entry per day, so the list stays short."""
         rows = self.spark.sql(f"SHOW PARTITIONS {self.name(table)}").collect()
         return [row["partition"].split("=", 1)[1] for row in rows]
 
+    def drop_folders_of(self, table: str, days: Iterable[str]) -> None:
+        """Drop all folders of some days of a table whose first folders are days."""
+        wanted = set(days)
+        for row in self.spark.sql(f"SHOW PARTITIONS {self.name(table)}").collect() if wanted else ():
+            parts = dict(x.split("=", 1) for x in row["partition"].split("/"))
+            if parts.pop(schemas.DAY) in wanted:
+                day = row["partition"].split("/")[0].split("=", 1)[1]
+                value = "NULL" if day == NO_DAY else f"DATE '{day}'"
+                rest = "".join(f", {name} = {x}" for name, x in parts.items())
+                self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION ({schemas.DAY} = {value}{rest})")
+
     def drop_days(self, table: str, before: str) -> int:
         """Drop every day before a date; rows without a day stay. No data is read."""
         old = [d for d in self.days(table) if d != NO_DAY and d < before]
@@ -177,6 +255,86 @@ class ArticleStore:
 
     # Ingest
 
+    # Word index
+
+    def build_text_index(self) -> int:
+        """Index the words of all articles; from then on every change of articles changes the index too."""
+        columns = [f for f in text_index.POSTINGS if f.name not in (schemas.DAY, text_index.BUCKET)]
+        layout = [*columns, text_index.POSTINGS[schemas.DAY], text_index.POSTINGS[text_index.BUCKET]]
+        self.tables.create("postings", layout, folders_by=(schemas.DAY, text_index.BUCKET))
+        return self.refresh_text_index()
+
+    def refresh_text_index(self) -> int:
+        """Index the days whose number of articles is not the one indexed, and return how many.
+
+        So the index catches up when a run ended between a change of the articles and that of the index.
+        """
+        stored = self.tables.read("articles").filter("url IS NOT NULL").groupBy(schemas.DAY).agg(F.count(F.lit(1)).alias("n"))
+        indexed = text_index.articles_per_day(self.tables.read("postings"))
+        same_day = stored[schemas.DAY].eqNullSafe(indexed[schemas.DAY])
+        both = stored.join(indexed, same_day, "full").filter(~F.col("n").eqNullSafe(F.col("articles")))
+        days = both.select(F.coalesce(stored[schemas.DAY], indexed[schemas.DAY])).collect()
+        self._index_days([row[0] for row in days])
+        return len(days)
+
+    @property
+    def _indexed(self) -> bool:
+        return self.tables.exists("postings")
+
+    def _index_days(self, days: Sequence[date | None]) -> None:
+        """Index some days anew. A day without articles loses its folders."""
+        days = set(days)
+        if not days:
+            return
+        articles = self.tables.read("articles").filter(in_days(days))
+        rows, folder = self.tables.once(text_index.postings(articles))
+        try:
+            left = {row[0] for row in rows.filter(F.col("term") == text_index.ALL).select(schemas.DAY).distinct().collect()}
+            self.tables.overwrite_days("postings", rows, balanced=True)
+            self.tables.drop_folders_of("postings", [NO_DAY if d is None else str(d) for d in days - left])
+        finally:
+            folders.remove(self.spark, folder)
+
+    def search_text(
+        self, query: str | Sequence[str], limit: int = 10, offset: int = 0, columns: Sequence[str] | None = None, **filters
+    ) -> DataFrame:
+        """Articles with any word of the query, best first, with ``search_score``; filters as in ``query_latest``.
+
+        With an index only the folders of the query's words are read, and articles of no others.
+        """
+        articles = self.tables.read("articles")
+        wanted = list(columns or schemas.ARTICLES.fieldNames())
+        rows = articles.filter(article_filter(**filters))
+        if self._indexed:
+            hits = text_index.indexed_search(self.tables.read("postings"), rows, query)
+        else:
+            hits = search.text_search(rows, query, rank_from=articles)
+        return page(hits, search.by_search_score(), limit, offset).select(*wanted, "search_score")
+
+    # Further searches and counts
+
+    def similar_to(self, url: str, distance: float | None = None, limit: int = 10, offset: int = 0) -> DataFrame:
+        """Articles near a stored one that share a tag with it; none when it has no embedding or tags."""
+        return search.similar_to(self.table("articles"), url, distance, limit, offset)
+
+    def tag_counts(self, field: str, exclude: Sequence[str] = (), limit: int = 0, offset: int = 0, **filters) -> DataFrame:
+        """How many of the filtered articles carry each element of an array field, most frequent first."""
+        return search.tag_counts(self.table("articles").filter(article_filter(**filters)), field, exclude, limit, offset)
+
+    def sample(self, size: int, seed: int = 0, **filters) -> DataFrame:
+        """A random sample of the filtered articles, the same for the same seed."""
+        return search.sample(self.table("articles").filter(article_filter(**filters)), size, seed)
+
+    def clusters(self, eps: float = schemas.CLUSTER_EPS) -> DataFrame:
+        """``url``, ``cluster_id`` and ``related`` of the articles that have similar ones."""
+        return similarity.similar_clusters(self.table("articles"), eps)
+
+    def mention_rollup(self, as_of=None, days_ago: int = 0, urls: Sequence[str] | None = None) -> DataFrame:
+        """Totals of the highest counts of each post, per article."""
+        return mention_rollup(self.table("mentions"), as_of or dates.now_utc(), days_ago, urls)
+
+    # Batches
+
     def deduplicate(self, name: str, batch: DataFrame) -> DataFrame:
         return ingest.deduplicate(self.table(name), batch, schemas.KEYS.get(name, []))
 
@@ -212,22 +370,33 @@ class ArticleStore:
     ) -> int:
         """Update stored articles and return how many matched."""
         changed = [c for c in (columns or batch.columns) if c in schemas.ARTICLES.fieldNames()]
-        batch = batch.select("url", *[c for c in changed if c != "url"])
+        batch, folder = self.tables.once(batch.select("url", *[c for c in changed if c != "url"]))
+        try:
+            return self._update_days(batch, changed, nulls, order)
+        finally:
+            folders.remove(self.spark, folder)
+
+    def _update_days(self, batch: DataFrame, changed: Sequence[str], nulls: str, order) -> int:
         stored = self.tables.read("articles")
         touched = stored.join(matching_keys(stored, batch, ["url"]), "url", "left_semi")
         per_day = touched.groupBy(schemas.DAY).agg(F.count(F.lit(1)).alias("rows")).collect()
         if not per_day:
             return 0
+        left = [row[schemas.DAY] for row in per_day]
         if "collected" in changed:
             # Rows may move, so the days they leave are replaced and those they come to are added to.
-            left = [row[schemas.DAY] for row in per_day]
             days = stored.filter(in_days(left)).drop(schemas.DAY)
             rows = ingest.update(days, batch, ["url"], nulls=nulls, order=order)
             names = [NO_DAY if day is None else str(day) for day in left]
             self.tables.replace_days("articles", self._by_day("articles", rows), names)
+            if self._indexed:
+                now = self.tables.read("articles").join(matching_keys(self.tables.read("articles"), batch, ["url"]), "url", "left_semi")
+                self._index_days([*left, *(row[0] for row in now.select(schemas.DAY).distinct().collect())])
         else:
-            days = stored.filter(in_days([row[schemas.DAY] for row in per_day]))
+            days = stored.filter(in_days(left))
             self.tables.overwrite_days("articles", ingest.update(days, batch, ["url"], nulls=nulls, order=order))
+            if self._indexed and {"title", "summary", "regions", "entities", "categories"} & set(changed):
+                self._index_days(left)
         return sum(row["rows"] for row in per_day)
 
     def update_embeddings(self, batch: DataFrame, order=None) -> int:
@@ -255,7 +424,17 @@ class ArticleStore:
 
     def _insert(self, name: str, batch: DataFrame, order) -> int:
         fresh = ingest.new_rows(self.table(name), batch, schemas.KEYS[name], order)
-        return self.tables.append(name, self._by_day(name, ingest.align(fresh, schemas.TABLES[name])))
+        rows = self._by_day(name, ingest.align(fresh, schemas.TABLES[name]))
+        if name != "articles" or not self._indexed:
+            return self.tables.append(name, rows)
+        # Written once, as the index reads the new rows too.
+        rows, folder = self.tables.once(rows)
+        try:
+            stored = self.tables.append(name, rows)
+            self.tables.append("postings", text_index.postings(rows), balanced=True)
+        finally:
+            folders.remove(self.spark, folder)
+        return stored
 
     def _by_day(self, name: str, rows: DataFrame) -> DataFrame:
         """With the day column of a partitioned table."""
@@ -308,14 +487,17 @@ class ArticleStore:
     # Maintenance
 
     def optimize(self, as_of=None, window: str = schemas.RETENTION_WINDOW) -> None:
-        """Drop what is older than the window, recompute the trends, remove orphaned related pairs."""
+        """Drop what is older than the window, recompute the trends, remove orphaned related pairs and old versions."""
         as_of = as_of or dates.now_utc()
         start = self.spark.range(1).select(dates.window_start(as_of, window).cast("string").alias("d")).first()["d"]
         for table in schemas.DAY_PARTITIONED:
             self.tables.drop_days(table, start)
+        if self._indexed:
+            self.refresh_text_index()
         articles, related = self.table("articles"), self.tables.read("related")
         self.tables.replace("trends", trend_aggregate(articles, self.table("mentions"), related, as_of))
         self.tables.replace("related", ingest.drop_orphans(related, articles))
+        self.tables.vacuum()
 
     def cleanup(self, min_files: int = 16) -> int:
         """Rewrite days of at least ``min_files`` files into few files; returns how many days."""
