@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from checks.registry import FAR, check, day, joined, moment, rounded
 from checks.sources import trends_of
 from pulsepress.functions.vectors import distance
-from pulsepress.operators import ordering, search, similarity
+from pulsepress.operators import ordering, search, similarity, vector_index
 from pulsepress.operators.labels import add_nearest_labels
 from pulsepress.operators.text_index import indexed_search, search_scores
 from pulsepress.plans import queries as q
+from pulsepress.sources.scratch import scratch_folder
 
 Q = "(SELECT q FROM query_vector)"
 
@@ -123,6 +125,24 @@ def _(fx):
     return near.select("url", rounded("distance"))
 
 
+@check(
+    "v10_nearest_in_cells",
+    f"""WITH centres AS (SELECT embedding::DOUBLE[] AS centre, row_number() OVER (ORDER BY category) - 1 AS cell FROM categories_ref),
+       placed AS (SELECT a.url, a.embedding::DOUBLE[] AS e, (SELECT cell FROM centres ORDER BY list_distance(centre, a.embedding::DOUBLE[]), cell LIMIT 1) AS cell
+         FROM articles a WHERE a.embedding IS NOT NULL),
+       near AS (SELECT cell FROM centres ORDER BY list_distance(centre, {Q}), cell LIMIT 4)
+       SELECT url, round(list_distance(e, {Q}), 6) AS distance FROM placed WHERE cell IN (SELECT cell FROM near)
+       ORDER BY list_distance(e, {Q}), url LIMIT 15""",
+)
+def _(fx):
+    centres = [r["embedding"] for r in fx.categories_ref.orderBy("category").collect()]
+    cells = vector_index.Cells(np.array(centres, "float64"), probe=4)
+    path = scratch_folder(fx.spark)
+    vector_index.indexed(fx.articles.select("url", "embedding"), cells).write.partitionBy(vector_index.CELL).parquet(path)
+    near = vector_index.nearest_in_cells(fx.spark.read.parquet(path), cells, fx.query_vector, 15)
+    return near.select("url", rounded("distance"))
+
+
 TERMS = "anea the retion 4"
 WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
 WEIGHT = " + ".join(

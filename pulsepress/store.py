@@ -14,15 +14,18 @@ from collections.abc import Iterable, Sequence
 from datetime import date
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsepress import schemas
 from pulsepress.functions import dates
-from pulsepress.operators import ingest, labels, search, similarity, text_index
+from pulsepress.operators import ingest, labels, search, similarity, text_index, vector_index
 from pulsepress.operators.filters import article_filter, in_days
 from pulsepress.operators.joins import matching_keys
 from pulsepress.operators.ordering import page
+from pulsepress.operators.vector_index import Cells
 from pulsepress.plans import queries
 from pulsepress.plans.trends import mention_rollup, trend_aggregate
 from pulsepress.plans.views import register_views
@@ -536,13 +539,60 @@ class VectorItemStore:
         """Create or overwrite a static table."""
         rows.write.format("parquet").mode("overwrite").saveAsTable(self.tables.name(table))
 
+    # Index
+
+    def build_index(self, table: str, metric: str = "l2", **options) -> Cells:
+        """Train cells and deal the stored items to them; from then on new items are dealt as well."""
+        id_column = self.id_columns[table]
+        items = self.tables.read(table).select(id_column, "embedding")
+        cells = vector_index.train_cells(items, id_column, metric=metric, **options)
+        layout = [*schemas.vector_items(id_column).fields[:2], T.StructField(vector_index.CELL, T.IntegerType())]
+        name = self._index(table)
+        if self.tables.exists(name):
+            self.tables.spark.sql(f"DROP TABLE {self.tables.name(name)}")
+        self.tables.create(name, T.StructType(layout), folders_by=[vector_index.CELL])
+        self.tables.append(name, vector_index.indexed(items, cells), balanced=True)
+        centres = [(i, x.tolist(), cells.probe, metric) for i, x in enumerate(cells.centres)]
+        self.set_table(f"{table}_cells", self.tables.spark.createDataFrame(centres, self._CELLS))
+        return self.cells(table)
+
+    _CELLS = "cell int, centre array<double>, probe int, metric string"
+
+    def _index(self, table: str) -> str:
+        return f"{table}_by_cell"
+
+    def cells(self, table: str) -> Cells:
+        """The stored cells of a table with their numbers of rows."""
+        rows = self.tables.read(f"{table}_cells").orderBy("cell").collect()
+        cells = Cells(np.array([r["centre"] for r in rows]).reshape(len(rows), -1), rows[0]["probe"] if rows else 0)
+        return vector_index.cell_rows(self.tables.read(self._index(table)), cells)
+
+    def search_cells(
+        self, table: str, embedding: Sequence[float], limit: int, cells: Cells | None = None, metric: str = "l2", probe: int | None = None
+    ) -> DataFrame:
+        """The nearest items among the cells near the query, with ``_distance``; see ``build_index``."""
+        found = vector_index.nearest_in_cells(
+            self.tables.read(self._index(table)), cells or self.cells(table), embedding, limit, metric, probe, self.id_columns[table]
+        )
+        return found.withColumnRenamed("distance", "_distance")
+
     def store(self, table: str, items: DataFrame, as_of=None, order=None) -> int:
         """Add items with a new id, stamped with one moment per batch; returns how many."""
         id_column = self.id_columns[table]
         schema = schemas.vector_items(id_column)
         moment = dates.as_datetime(as_of or dates.now_utc()).replace(microsecond=0).isoformat(sep=" ") + "+00:00"
         fresh = ingest.new_rows(self.tables.read(table), items, [id_column], order)
-        return self.tables.append(table, ingest.align(fresh.withColumn("ts", F.lit(moment).cast("timestamp")), schema))
+        rows = ingest.align(fresh.withColumn("ts", F.lit(moment).cast("timestamp")), schema)
+        if not self.tables.exists(self._index(table)):
+            return self.tables.append(table, rows)
+        rows, folder = self.tables.once(rows)
+        try:
+            stored = self.tables.append(table, rows)
+            placed = vector_index.indexed(rows.select(id_column, "embedding"), self.cells(table))
+            self.tables.append(self._index(table), placed, balanced=True)
+        finally:
+            folders.remove(self.tables.spark, folder)
+        return stored
 
     def search(self, table: str, embedding: Sequence[float], metric: str = "l2", **options) -> DataFrame:
         options["id_column"] = self.id_columns[table]
