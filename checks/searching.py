@@ -240,6 +240,16 @@ def _(fx):
     return ordering.page(fx.articles, ordering.latest(), offset=40).select("url", moment("created"))
 
 
+@check(
+    "o5_deep_page",
+    """WITH placed AS (SELECT url, row_number() OVER (ORDER BY created DESC, url) AS n, count(*) OVER () AS total FROM articles)
+       SELECT url FROM placed WHERE n > total * 9 // 10""",
+)
+def _(fx):
+    rows = fx.articles.select("url", "created")
+    return ordering.range_page(rows, ordering.latest(), offset=rows.count() * 9 // 10).select("url")
+
+
 @check("o5_limit_and_offset", PAGE + "articles ORDER BY articles.created DESC, url LIMIT 20 OFFSET 40")
 def _(fx):
     return ordering.page(fx.articles, ordering.latest(), limit=20, offset=40).select("url", moment("created"))

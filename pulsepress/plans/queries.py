@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from pulsepress.functions.dates import as_datetime
 from pulsepress.operators.filters import all_of, article_filter, between, in_days, keep_keys, match_fields
-from pulsepress.operators.ordering import latest, nearest, page, trending
+from pulsepress.operators.ordering import latest, nearest, page, range_page, trending
 from pulsepress.operators.search import within_distance
 from pulsepress.plans.trends import related_lists
-from pulsepress.plans.views import add_publishers, aggregated_view, trending_view
+from pulsepress.plans.views import aggregated_view, trending_view
 from pulsepress.schemas import DAY, HEAVY_COLUMNS, PUBLISHER_COLUMNS, TREND_COLUMNS
 
 # Largest page whose urls are looked up; beyond it a query reads all its columns at once.
@@ -93,13 +93,17 @@ def query_aggregated(
         return measured.orderBy(*order, F.col("related_part")).select(*_output(wanted, embedding))
     base = articles.join(trends.select("url", *TREND_COLUMNS), "url", "left")
     top = _page(_measure(_filtered(base, filters), embedding, distance), wanted, order, limit, offset)
-    rows = add_publishers(top, publishers) if any(c in PUBLISHER_COLUMNS for c in wanted) else top
-    rows = _add_large(rows, articles, wanted)
+    rows = _add_large(top, articles, wanted)
+    if any(c in PUBLISHER_COLUMNS for c in wanted):
+        # The page asks for few publishers, so the table of publishers stays where it is.
+        names = top.select("source").distinct()
+        asked = publishers.join(F.broadcast(names), "source", "left_semi").select("source", *PUBLISHER_COLUMNS)
+        rows = rows.join(asked, "source", "left")
     if not {"related_urls", "related_part"} & set(wanted):
         return rows.repartition(1).sortWithinPartitions(*order).select(*_output(wanted, embedding))
     # Sorting by ranges reads its input twice, and lists of many parts may be too large for one task.
     lists = related_lists(related.join(F.broadcast(top.select("url")), "url", "left_semi"))
-    rows = rows.persist().join(lists, "url", "left").orderBy(*order, F.col("related_part"))
+    rows = rows.join(lists, "url", "left").orderBy(*order, F.col("related_part"))
     return rows.select(*_output(wanted, embedding))
 
 
@@ -114,9 +118,10 @@ def query_mentions(mentions, collected=None, sources=None, conditions=None, limi
     rows = _filtered(mentions, {"collected": collected, "sources": sources, "conditions": conditions})
     plain = _columns_of(mentions)
     if limit or offset:
-        # Snapshots have no key, so their position in the table stands in for it.
-        rows = rows.withColumn("__row", F.monotonically_increasing_id())
-        rows = page(rows, [F.col("collected"), F.col("chatter_url"), F.col("__row")], limit, offset, key="__row")
+        # Snapshots have no key: all their columns order them, so that what is left alike is alike.
+        first = ["collected", "chatter_url"]
+        order = [F.col(c) for c in [*first, *(c for c in plain if c not in first)]]
+        rows = range_page(rows.select(*plain), order, limit, offset)
     return rows.select(*(columns or plain))
 
 
@@ -187,22 +192,27 @@ _PAGE_COLUMNS = ("url", "source", "created", "updated", "trend_score", "distance
 
 
 def _page(rows: DataFrame, wanted, order, limit, offset) -> DataFrame:
-    """The page without large columns, kept in memory, as the later steps read it more than once."""
+    """The page without large columns, found here and now, as a local table of at most ``limit`` rows.
+
+    Its plan runs once, whatever is joined to the page later, and the page stays the one that was
+    found when rows are stored afterwards. Nothing stays cached.
+    """
     narrow = [c for c in rows.columns if c in _PAGE_COLUMNS or (c in wanted and c not in HEAVY_COLUMNS)]
-    return page(rows.select(*narrow), order, limit, offset).persist()
+    top = page(rows.select(*narrow), order, limit, offset)
+    return rows.sparkSession.createDataFrame(top.toArrow(), top.schema)
 
 
 def _add_large(rows: DataFrame, articles: DataFrame, wanted) -> DataFrame:
     """The page with its large columns.
 
-    The urls of a page are few, so they are looked up and become a filter that parquet applies to
-    its statistics and pages; days limit the folders.
+    The urls of a page are few, so they become a filter that parquet applies to its statistics and
+    pages; days limit the folders. A join alone would read the large columns of all articles.
     """
     large = [c for c in HEAVY_COLUMNS if c in wanted]
     if not large:
         return rows
     days = [DAY] if DAY in rows.columns else []
-    keys = rows.select("url", *days).distinct().collect()
+    keys = rows.select("url", *days).collect()
     found = articles.filter(F.col("url").isin([k["url"] for k in keys]))
     if days:
         found = found.filter(in_days({k[DAY] for k in keys}))

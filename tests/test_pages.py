@@ -1,7 +1,9 @@
 """Pages of the query functions against the same rows read at once."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from pulsepress.operators import ordering
 from pulsepress.plans import queries, trends, views
 from pulsepress.plans.trends import trend_aggregate
 
@@ -70,3 +72,38 @@ def test_conditions_see_every_column_of_the_view(tables):
     rows = CALLS["aggregated"](tables, conditions=["size(related_urls) > 3", "site_name = 'SRC9'"], limit=3)
     got = rows.collect()
     assert got and all(len(r["related_urls"]) > 3 and r["site_name"] == "SRC9" for r in got)
+
+
+@pytest.mark.parametrize(("limit", "offset"), [(0, 180), (30, 175), (150, 20), (0, 1), (500, 0), (10, 500), (1, 199)])
+def test_large_pages_are_cut_from_ranges(spark, fx, monkeypatch, limit, offset):
+    monkeypatch.setattr(ordering, "TOP_ROWS", 10)
+    rows = fx.articles.select("url", "created")
+    whole = [r["url"] for r in rows.orderBy(*ordering.latest()).collect()]
+    cut = ordering.page(rows, ordering.latest(), limit, offset)
+    assert [r["url"] for r in cut.collect()] == whole[offset : offset + limit if limit else None]
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    if offset < len(whole):
+        assert "__range" in plan.split("PartitionFilters")[1]
+
+
+def test_equal_rows_count_one_by_one(rows, monkeypatch):
+    monkeypatch.setattr(ordering, "TOP_ROWS", 0)
+    schema = "chatter_url string, url string, source string, collected timestamp_ntz, likes long"
+    same = [("p", "u", None, None, 1)] * 30 + [("q", "u", "s", None, None)] * 3
+    df = rows(schema, *same)
+    for limit, offset in ((0, 5), (4, 28), (100, 0), (0, 33)):
+        got = [tuple(r) for r in queries.query_mentions(df, limit=limit, offset=offset).collect()]
+        assert got == same[offset : offset + limit if limit else None]
+    assert ordering.range_page(df.limit(0), [F.col("url")], 0, 1).count() == 0
+
+
+def test_a_page_keeps_its_rows_when_articles_are_added(spark, fx, tmp_path):
+    path = str(tmp_path / "articles")
+    fx.articles.filter("kind = 'news'").write.parquet(path)
+    stored = spark.read.parquet(path)
+    first = queries.query_latest(stored, limit=6, columns=["url", "content"])
+    before = [r["url"] for r in stored.orderBy(*ordering.latest()).limit(6).select("url").collect()]
+    fx.articles.filter("kind = 'blog'").write.mode("append").parquet(path)
+    assert [r["url"] for r in first.collect()] == before
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
