@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks.registry import AS_OF, check, day, joined, moment, rounded
 from pulsepress import schemas
@@ -78,6 +79,46 @@ def _(fx):
     return plain_mentions(load_csv(fx.spark, path, schemas.MENTIONS))
 
 
+@check(
+    "s3_load_csv_lists",
+    """SELECT url, array_to_string(list_transform(entities, lambda x: concat('<', x, '|">')), ';') AS entities, len(categories) AS n_categories,
+       CASE WHEN sentiments IS NULL THEN -1 ELSE 0 END AS n_sentiments FROM articles""",
+)
+def _(fx):
+    marked = F.transform("entities", lambda x: F.concat(F.lit("<"), x, F.lit('|">')))
+    none = F.array().cast("array<string>")
+    rows = fx.articles.withColumn("entities", marked).withColumn("sentiments", F.when(F.col("sentiments").isNotNull(), none))
+    path, columns = scratch_folder(fx.spark), ["url", "entities", "categories", "sentiments"]
+    save_csv(rows.select(*columns), path)
+    layout = T.StructType([schemas.ARTICLES[c] for c in columns])
+    back = load_csv(fx.spark, path, layout)
+    size = F.when(F.col("sentiments").isNull(), -1).otherwise(F.size("sentiments")).alias("n_sentiments")
+    known = F.when(F.col("categories").isNotNull(), F.size("categories").cast("bigint")).alias("n_categories")
+    return back.select("url", F.array_join("entities", ";").alias("entities"), known, size)
+
+
+@check(
+    "i22_store_rejects",
+    """WITH lines AS (SELECT CAST(substr(url, 7) AS BIGINT) AS id FROM articles),
+       told AS (SELECT CASE WHEN id % 7 = 0 THEN 'url|broken line' WHEN id % 7 = 1 THEN 'url' ELSE 'stored' END AS what FROM lines)
+       SELECT what, count(*) AS n FROM told GROUP BY what""",
+)
+def _(fx):
+    import uuid
+
+    from pulsepress import ArticleStore
+
+    lines = fx.articles.select(F.expr("CAST(substr(url, 7) AS BIGINT) % 7").alias("k"), "url", "title", "created", "regions")
+    whole = F.to_json(F.struct(F.when(F.col("k") != 1, F.col("url")).alias("url"), "title", "regions"))
+    path = scratch_folder(fx.spark)
+    lines.select(F.when(F.col("k") == 0, F.lit('{"url": "doc://cut", "ti')).otherwise(whole).alias("value")).write.text(path)
+    store = ArticleStore(fx.spark, f"press_{uuid.uuid4().hex[:8]}", scratch_folder(fx.spark))
+    store.load("articles", path, "json", AS_OF)
+    refused = store.rejects("articles").select(joined("problems", "what"))
+    kept = store.table("articles").select(F.lit("stored").alias("what"))
+    return refused.unionByName(kept).groupBy("what").agg(F.count(F.lit(1)).alias("n"))
+
+
 @check(
     "s4_lake_table",
     """SELECT url, likes, comments, subscribers, shares, related, strftime(updated, '%Y-%m-%d') AS updated,

@@ -65,11 +65,16 @@ def clean_mentions(batch: DataFrame) -> DataFrame:
     return rows.filter(_given("chatter_url", "url") & reduce(or_, signals))
 
 
-def cast_to(batch: DataFrame, table: str) -> DataFrame:
-    """Columns of the table by ``try_cast``, with ``problems`` naming the fields that do not fit.
+#: Text of a line that a reader could not parse; other rows have NULL there.
+BROKEN = "__broken"
+
+
+def checked(batch: DataFrame, table: str) -> DataFrame:
+    """The batch with the table's columns by ``try_cast``, and ``problems`` naming the fields that do not fit.
 
     A field does not fit when a value cannot be cast, a required value is missing or empty, or a
-    count is outside the unsigned 32-bit range.
+    count is outside the unsigned 32-bit range. A line that could not be read is a problem of its own.
+    Columns that the table lacks stay as they are, those that the batch lacks are NULL.
     """
     schema = schemas.TABLES[table]
     values, checks = [], []
@@ -86,7 +91,27 @@ def cast_to(batch: DataFrame, table: str) -> DataFrame:
         if isinstance(field.dataType, T.LongType):
             wrong.append(F.coalesce(cast, F.lit(0)).between(0, schemas.MAX_COUNT) == F.lit(False))
         checks.append(F.when(reduce(or_, wrong), F.lit(field.name)))
-    return batch.select(*values, F.array_compact(F.array(*checks)).alias("problems"))
+    if BROKEN in batch.columns:
+        checks.append(F.when(F.col(BROKEN).isNotNull(), F.lit("broken line")))
+    own = set(schema.fieldNames())
+    extra = [F.col(f"`{f.name}`") for f in batch.schema if f.name not in own and f.dataType != T.NullType()]
+    return batch.select(*values, *extra, F.array_compact(F.array(*checks)).alias("problems"))
+
+
+def cast_to(batch: DataFrame, table: str) -> DataFrame:
+    """The columns of the table and ``problems``, as ``checked`` has them."""
+    return checked(batch, table).select(*schemas.TABLES[table].fieldNames(), "problems")
+
+
+def rejects(bad: DataFrame, table: str, as_of) -> DataFrame:
+    """Rows with problems in the layout of ``schemas.REJECTS``: what was given, as JSON, and why it was refused."""
+    given = [c for c in bad.columns if c != "problems"]
+    return bad.select(
+        F.lit(table).alias("target"),
+        timestamp(as_of).alias("at"),
+        "problems",
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in given])).alias("content"),
+    )
 
 
 def split_valid(batch: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:

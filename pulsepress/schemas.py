@@ -90,6 +90,9 @@ TABLES = {
     "sentiments_ref": SENTIMENTS_REF,
 }
 
+#: Rows that did not fit their table: which one, when, the fields, and the row as JSON.
+REJECTS = _table("", target=T.StringType(), at=T.TimestampNTZType(), problems=_STRINGS, content=T.StringType())
+
 KEYS = {"articles": ["url"], "publishers": ["source"], "related": ["url", "related_url"]}
 
 # Large tables are laid out by the day a row was collected, so that date filters and retention

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import pyarrow.fs as pafs
@@ -27,23 +28,40 @@ def load_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return align(spark.read.parquet(path), schema)
 
 
-def load_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A batch from one JSON object per line; nothing is inferred."""
-    return spark.read.schema(_nullable(schema)).json(path)
+def load_json(spark: SparkSession, path: str, schema: T.StructType, broken: str | None = None) -> DataFrame:
+    """A batch from one JSON object per line; nothing is inferred.
 
+    ``broken`` names a further column for the text of lines that are no such object or hold a value
+    of another type; without it what can be read of them is kept and the rest is NULL.
+    """
+    return _reader(spark, _nullable(schema), broken).json(path)
+
+
+def load_csv(
+    spark: SparkSession, path: str, schema: T.StructType, broken: str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """A batch from CSV files with a header. Lists are JSON, or plain text with ``|`` between elements.
 
-def load_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A batch from CSV files with a header; lists are written as text with ``|`` between elements."""
+    With ``multi_line`` a text may hold line ends, and a file is read by one task; without, large files
+    are split. ``broken`` as in ``load_json``.
+    """
     flat = T.StructType(
         [T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.ArrayType) else f.dataType) for f in schema]
     )
-    raw = spark.read.schema(flat).csv(path, header=True, multiLine=True, escape='"')
-    return raw.select(*[_from_csv(f) for f in schema])
+    raw = _reader(spark, flat, broken).csv(path, header=True, multiLine=multi_line, escape='"')
+    return raw.select(*[_from_csv(f) for f in schema], *([broken] if broken else []))
+
+
+def _reader(spark: SparkSession, schema: T.StructType, broken: str | None):
+    if not broken:
+        return spark.read.schema(schema)
+    whole = T.StructType([*schema, T.StructField(broken, T.StringType())])
+    return spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", broken)
 
 
 def save_csv(df: DataFrame, path: str) -> None:
     flat = [
-        F.array_join(F.col(f.name).cast("array<string>"), _CSV_LISTS).alias(f.name)
+        F.to_json(F.col(f.name), {"ignoreNullFields": "false"}).alias(f.name)
         if isinstance(f.dataType, T.ArrayType)
         else F.col(f.name)
         for f in df.schema
@@ -58,7 +76,9 @@ def save_json(df: DataFrame, path: str) -> None:
 
 def _from_csv(field: T.StructField) -> Column:
     if isinstance(field.dataType, T.ArrayType):
-        return F.split(F.col(field.name), r"\|").cast(field.dataType).alias(field.name)
+        text = F.col(field.name)
+        plain = F.split(text, re.escape(_CSV_LISTS)).cast(field.dataType)
+        return F.when(text.startswith("["), F.from_json(text, field.dataType)).otherwise(plain).alias(field.name)
     return F.col(field.name)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from pulsepress import schemas
 from pulsepress.functions import dates
-from pulsepress.operators import ingest, labels, search, similarity, text_index, vector_index
+from pulsepress.operators import cleaning, ingest, labels, search, similarity, text_index, vector_index
 from pulsepress.operators.filters import article_filter, in_days
 from pulsepress.operators.joins import matching_keys
 from pulsepress.operators.ordering import page
@@ -161,6 +161,11 @@ class Tables:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path), path
 
+    def observed(self, rows: DataFrame, **counts: Column):
+        """The rows, and a function that gives counts taken while they are written."""
+        seen = Observation()
+        return rows.observe(seen, *[x.alias(name) for name, x in counts.items()]), lambda: seen.get
+
     def vacuum(self, hours: float = 24) -> int:
         """Remove versions that are not live and were last changed so long ago; returns how many.
 
@@ -243,6 +248,7 @@ class ArticleStore:
         self.tables = Tables(spark, database, location)
         for table, schema in schemas.TABLES.items():
             self.tables.create(table, schema, schemas.DAY if table in schemas.DAY_PARTITIONED else None)
+        self.tables.create("rejects", schemas.REJECTS)
 
     def table(self, name: str) -> DataFrame:
         """A stored table with its own columns only."""
@@ -342,31 +348,60 @@ class ArticleStore:
         return ingest.deduplicate(self.table(name), batch, schemas.KEYS.get(name, []))
 
     def store_articles(self, batch: DataFrame, as_of=None, order=None) -> int:
-        rows = ingest.stamp(batch, as_of or dates.now_utc(), "created", "collected")
-        return self._insert("articles", rows, order)
+        as_of = as_of or dates.now_utc()
+        return self._insert("articles", ingest.stamp(batch, as_of, "created", "collected"), order, as_of)
 
     def store_publishers(self, batch: DataFrame, as_of=None, order=None) -> int:
-        return self._insert("publishers", ingest.stamp(batch, as_of or dates.now_utc(), "collected"), order)
-
-    def load(self, name: str, path: str, file_format: str = "parquet", as_of=None) -> int:
-        """Store the rows of parquet, json or csv files in a table, like a batch."""
-        readers = {"parquet": files.load_parquet, "json": files.load_json, "csv": files.load_csv}
-        batch = readers[file_format](self.spark, path, schemas.TABLES[name])
-        if name == "related":
-            return self.store_related(batch)
+        as_of = as_of or dates.now_utc()
+        return self._insert("publishers", ingest.stamp(batch, as_of, "collected"), order, as_of)
+
+    def load(self, name: str, path: str, file_format: str = "parquet", as_of=None, **options) -> int:
+        """Store the rows of parquet, json or csv files in a table, like a batch.
+
+        Lines that cannot be read, or hold values of another type, go to ``rejects`` with their text.
+        """
+        if file_format == "parquet":
+            batch = self.spark.read.parquet(path)
+        else:
+            readers = {"json": files.load_json, "csv": files.load_csv}
+            batch = readers[file_format](self.spark, path, schemas.TABLES[name], cleaning.BROKEN, **options)
         stores = {
             "articles": self.store_articles,
             "publishers": self.store_publishers,
             "mentions": self.store_mentions,
+            "related": self.store_related,
         }
         return stores[name](batch, as_of)
 
-    def store_related(self, batch: DataFrame, order=None) -> int:
-        return self._insert("related", batch, order)
+    def rejects(self, name: str | None = None) -> DataFrame:
+        """Rows that were not stored: ``target``, ``at``, ``problems`` and ``content``, the row as JSON."""
+        rows = self.tables.read("rejects")
+        return rows.filter(F.col("target") == name) if name else rows
+
+    def _accepted(self, name: str, batch: DataFrame, as_of) -> tuple[DataFrame, str]:
+        """The rows of a batch that fit a table, written once, and their folder; the others become rejects.
+
+        The batch is checked, written and its rejects are counted in one pass.
+        """
+        bad = F.size("problems") > 0
+        rows, counts = self.tables.observed(cleaning.checked(batch, name), bad=F.count_if(bad))
+        rows, folder = self.tables.once(rows)
+        if counts()["bad"]:
+            self.tables.append("rejects", cleaning.rejects(rows.filter(bad), name, as_of))
+        return rows.filter(~bad).drop("problems", cleaning.BROKEN), folder
+
+    def store_related(self, batch: DataFrame, as_of=None, order=None) -> int:
+        return self._insert("related", batch, order, as_of or dates.now_utc())
 
     def store_mentions(self, batch: DataFrame, as_of=None) -> int:
-        rows = ingest.mention_rows(batch, as_of or dates.now_utc())
-        return self.tables.append("mentions", self._by_day("mentions", rows))
+        as_of = as_of or dates.now_utc()
+        # Counts that the batch does not have start at 0.
+        batch = batch.withColumns({c: F.lit(0) for c in schemas.COUNT_COLUMNS if c not in batch.columns})
+        rows, folder = self._accepted("mentions", ingest.stamp(batch, as_of, "collected"), as_of)
+        try:
+            return self.tables.append("mentions", self._by_day("mentions", ingest.mention_rows(rows, as_of)))
+        finally:
+            folders.remove(self.spark, folder)
 
     def update_articles(
         self, batch: DataFrame, columns: Sequence[str] | None = None, nulls: str = "set", order=None
@@ -425,19 +460,23 @@ class ArticleStore:
         rows = similarity.new_related(self.tables.read("related"), self.table("articles"), eps)
         return self.tables.append("related", rows)
 
-    def _insert(self, name: str, batch: DataFrame, order) -> int:
-        fresh = ingest.new_rows(self.table(name), batch, schemas.KEYS[name], order)
-        rows = self._by_day(name, ingest.align(fresh, schemas.TABLES[name]))
-        if name != "articles" or not self._indexed:
-            return self.tables.append(name, rows)
-        # Written once, as the index reads the new rows too.
-        rows, folder = self.tables.once(rows)
+    def _insert(self, name: str, batch: DataFrame, order, as_of) -> int:
+        batch, folder = self._accepted(name, batch, as_of)
+        made = [folder]
         try:
+            fresh = ingest.new_rows(self.table(name), batch, schemas.KEYS[name], order)
+            rows = self._by_day(name, ingest.align(fresh, schemas.TABLES[name]))
+            if name != "articles" or not self._indexed:
+                return self.tables.append(name, rows)
+            # Written once, as the index reads the new rows too.
+            rows, folder = self.tables.once(rows)
+            made.append(folder)
             stored = self.tables.append(name, rows)
             self.tables.append("postings", text_index.postings(rows), balanced=True)
+            return stored
         finally:
-            folders.remove(self.spark, folder)
-        return stored
+            for folder in made:
+                folders.remove(self.spark, folder)
 
     def _by_day(self, name: str, rows: DataFrame) -> DataFrame:
         """With the day column of a partitioned table."""
