@@ -201,6 +201,14 @@ def _(fx):
     return trend_rows(trends_of(fx))
 
 
+@check("a8_trends_from_states", f"SELECT {TREND_OUT} FROM trends")
+def _(fx):
+    # Each day's state is made from that day alone; states are then merged.
+    late = F.col("collected") >= F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'")
+    states = tr.post_states(fx.mentions.filter(~late)).unionByName(tr.post_states(fx.mentions.filter(late)))
+    return trend_rows(tr.trends_from_states(fx.articles, states, fx.related, AS_OF))
+
+
 @check(
     "a8_trend_aggregate_summed_shares",
     """SELECT url, likes, comments, summed_shares AS shares, related, round((likes + 10 * summed_shares + 50 * comments + 100 * related)::DOUBLE

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsepress.functions.dates import days_before
 from pulsepress.functions.scores import has_signal, or_zero, trend_score, updated_day
 from pulsepress.operators.joins import lists_in_parts
-from pulsepress.schemas import TRENDS
+from pulsepress.schemas import COUNT_COLUMNS, DAY, POST_STATES, TRENDS
 
 
 def post_maxima(mentions: DataFrame) -> DataFrame:
@@ -75,17 +75,23 @@ def active_urls(mentions: DataFrame, related: DataFrame, shares: str = "count")
     return mention_totals(mentions, shares).select("url").union(related_counts(related).select("url")).distinct()
 
 
+def _share(shares: str) -> Column:
+    return {"count": F.when(F.col("chatter_url").isNotNull(), 1).otherwise(0), "sum": F.col("shares")}[shares]
+
+
 def trend_stats(articles: DataFrame, mentions: DataFrame, related: DataFrame, shares: str = "count") -> DataFrame:
     """Trend numbers before scoring, for stored articles that are active.
 
     Snapshots and related pairs are summed per url in one aggregation, which also finds the active
     urls, and the join with the articles reuses its partitioning.
     """
+    posts = counted_snapshots(mentions).withColumn("shares", _share(shares))
+    return _stats(articles, posts, related)
+
+
+def _stats(articles: DataFrame, posts: DataFrame, related: DataFrame) -> DataFrame:
     none = F.lit(0).cast("bigint")
-    share = {"count": F.when(F.col("chatter_url").isNotNull(), 1).otherwise(0), "sum": F.col("shares")}[shares]
-    posts = counted_snapshots(mentions).select(
-        "url", "collected", "likes", "comments", "subscribers", share.alias("shares"), none.alias("related")
-    )
+    posts = posts.select("url", "collected", "likes", "comments", "subscribers", "shares", none.alias("related"))
     pairs = related.select(
         "url",
         F.lit(None).cast("timestamp_ntz").alias("collected"),
@@ -101,6 +107,62 @@ def trend_stats(articles: DataFrame, mentions: DataFrame, related: DataFrame, sh
     )
 
 
+def post_states(mentions: DataFrame) -> DataFrame:
+    """What the trend numbers need of every day's snapshots, so that days can be merged; see ``POST_STATES``.
+
+    For each day and post: its highest counts of the day and, where one snapshot holds both, the sums by
+    article of the snapshots taken when that first was so. Higher counts on another day undo a peak, but no
+    earlier snapshot can become one, so nothing else of a day is ever needed. Each day has a row without
+    a post for the number of its snapshots.
+    """
+    rows = mentions.withColumn(DAY, F.to_date("collected")) if DAY not in mentions.columns else mentions
+    both = F.col("likes") + F.col("comments")
+    snapshot = F.struct((-both).alias("minus_both"), "collected")
+    per_post = rows.groupBy(DAY, "chatter_url").agg(
+        F.max("likes").alias("most_likes"),
+        F.max("comments").alias("most_comments"),
+        F.min(F.when(both.isNotNull() & F.col("collected").isNotNull(), snapshot)).alias("first"),
+        F.count(F.lit(1)).alias("snapshots"),
+    )
+    wanted = F.col("most_likes") + F.col("most_comments")
+    peak = F.when(-F.col("first.minus_both") == wanted, F.col("first.collected")).alias("collected")
+    posts = per_post.select(DAY, "chatter_url", "most_likes", "most_comments", "snapshots", peak)
+    # On post and time, like the counted snapshots, so that a busy post spreads.
+    there = rows.groupBy("chatter_url", "collected", "url").agg(
+        *[F.sum(c).alias(c) for c in COUNT_COLUMNS], F.count("chatter_url").alias("posts")
+    )
+    states = posts.join(there, ["chatter_url", "collected"], "left").drop("snapshots")
+    per_day = posts.groupBy(DAY).agg(F.sum("snapshots").alias("posts"))
+    return states.unionByName(per_day, allowMissingColumns=True).select(*POST_STATES.fieldNames())
+
+
+def snapshots_per_day(states: DataFrame) -> DataFrame:
+    """How many snapshots the states of every day were made from."""
+    return states.filter(F.col("chatter_url").isNull() & F.col("most_likes").isNull()).groupBy(DAY).agg(
+        F.sum("posts").alias("snapshots")
+    )
+
+
+def counted_posts(states: DataFrame, shares: str = "count") -> DataFrame:
+    """Sums by article of the snapshots at the peaks that all days together leave, like ``counted_snapshots``."""
+    of_posts = states.filter(F.col("chatter_url").isNotNull())
+    both = F.col("most_likes") + F.col("most_comments")
+    peak = F.when(both.isNotNull() & F.col("collected").isNotNull(), F.struct((-both).alias("minus_both"), "collected"))
+    merged = of_posts.groupBy("chatter_url").agg(
+        (F.max("most_likes") + F.max("most_comments")).alias("wanted"), F.min(peak).alias("first")
+    )
+    first = merged.filter(-F.col("first.minus_both") == F.col("wanted")).select("chatter_url", "first.collected")
+    posts = of_posts.filter(F.col("url").isNotNull()).join(first, ["chatter_url", "collected"])
+    return posts.withColumn("shares", F.col("posts") if shares == "count" else F.col("shares"))
+
+
+def trends_from_states(
+    articles: DataFrame, states: DataFrame, related: DataFrame, as_of, shares: str = "count", whole_scores: bool = False
+) -> DataFrame:
+    """The trend table from the states of days instead of the snapshots; the same rows as ``trend_aggregate``."""
+    return _scored(_stats(articles, counted_posts(states, shares), related), as_of, whole_scores)
+
+
 def trend_aggregate(
     articles: DataFrame,
     mentions: DataFrame,
@@ -110,8 +172,11 @@ def trend_aggregate(
     whole_scores: bool = False,
 ) -> DataFrame:
     """The trend table: one row per stored article with at least one scored signal."""
-    stats = trend_stats(articles, mentions, related, shares).filter(has_signal())
-    scored = stats.withColumn("trend_score", trend_score(as_of, "updated", whole_scores))
+    return _scored(trend_stats(articles, mentions, related, shares), as_of, whole_scores)
+
+
+def _scored(stats: DataFrame, as_of, whole_scores: bool) -> DataFrame:
+    scored = stats.filter(has_signal()).withColumn("trend_score", trend_score(as_of, "updated", whole_scores))
     return scored.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TRENDS])
 
 

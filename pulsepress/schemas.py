@@ -116,3 +116,19 @@ MAX_WORDS = 32767
 CLEANUP_DAYS = 7
 GENERATED_KIND = "AI Generated"
 BLOCKED_AUTHORS = ["[no-author]", "noreply", "hidden", "admin", "isbpostadmin", "unknown", "anonymous"]
+
+#: A day's posts at their peaks: highest counts of the day, and sums by article at the peak's time.
+POST_STATES = _table(
+    "",
+    chatter_url=T.StringType(),
+    url=T.StringType(),
+    collected=T.TimestampNTZType(),
+    likes=T.LongType(),
+    comments=T.LongType(),
+    subscribers=T.LongType(),
+    shares=T.LongType(),
+    posts=T.LongType(),
+    most_likes=T.LongType(),
+    most_comments=T.LongType(),
+    **{DAY: T.DateType()},
+)

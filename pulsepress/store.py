@@ -27,7 +27,7 @@ from pulsepress.operators.joins import matching_keys
 from pulsepress.operators.ordering import page
 from pulsepress.operators.vector_index import Cells
 from pulsepress.plans import queries
-from pulsepress.plans.trends import mention_rollup, trend_aggregate
+from pulsepress.plans.trends import mention_rollup, post_states, snapshots_per_day, trends_from_states
 from pulsepress.plans.views import register_views
 from pulsepress.sources import files, folders
 from pulsepress.sources.scratch import session_settings
@@ -249,6 +249,7 @@ class ArticleStore:
         for table, schema in schemas.TABLES.items():
             self.tables.create(table, schema, schemas.DAY if table in schemas.DAY_PARTITIONED else None)
         self.tables.create("rejects", schemas.REJECTS)
+        self.tables.create("post_states", schemas.POST_STATES.fields[:-1], schemas.DAY)
 
     def table(self, name: str) -> DataFrame:
         """A stored table with its own columns only."""
@@ -537,10 +538,28 @@ class ArticleStore:
         if self._indexed:
             self.refresh_text_index()
         articles, related = self.table("articles"), self.tables.read("related")
-        self.tables.replace("trends", trend_aggregate(articles, self.table("mentions"), related, as_of))
+        self.refresh_states()
+        self.tables.replace("trends", trends_from_states(articles, self.tables.read("post_states"), related, as_of))
         self.tables.replace("related", ingest.drop_orphans(related, articles))
         self.tables.vacuum()
 
+    def refresh_states(self) -> int:
+        """Bring the states of posts up to date and return how many days were read for it.
+
+        A day is read again when its number of snapshots is not the one its state was made from, so
+        late snapshots count. Numbers of rows come from the files' footers.
+        """
+        states = self.tables.read("post_states")
+        stored = self.tables.read("mentions").groupBy(schemas.DAY).agg(F.count(F.lit(1)).alias("n"))
+        known = snapshots_per_day(states)
+        both = stored.join(known, stored[schemas.DAY].eqNullSafe(known[schemas.DAY]), "full")
+        stale = both.filter(~F.col("n").eqNullSafe(F.col("snapshots")))
+        days = [row[0] for row in stale.select(F.coalesce(stored[schemas.DAY], known[schemas.DAY])).collect()]
+        if days:
+            names = [NO_DAY if day is None else str(day) for day in days]
+            self.tables.replace_days("post_states", post_states(self.tables.read("mentions").filter(in_days(days))), names)
+        return len(days)
+
     def cleanup(self, min_files: int = 16) -> int:
         """Rewrite days of at least ``min_files`` files into few files; returns how many days."""
         rewritten = 0
