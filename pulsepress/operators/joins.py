@@ -90,6 +90,19 @@ def lists_in_parts(
     )
 
 
+def lists_per_key(df: DataFrame, key: str, value: str, name: str, limit: int = LIST_LIMIT) -> DataFrame:
+    """One row per key with the sorted list of its values, NULL where there are more than ``limit``.
+
+    Keys with so many values are found first, by counts that are combined before the shuffle, and
+    their values never come together; ``lists_in_parts`` has them.
+    """
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    many = counts.filter(F.col("__n") > limit).select(key)
+    few = df.select(key, value).join(small_or_shuffled(many), key, "left_anti")
+    lists = few.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias(name))
+    return lists.unionByName(many.withColumn(name, F.lit(None).cast(lists.schema[name].dataType)))
+
+
 def first_per_key(df: DataFrame, keys: list, order: list[Column]) -> DataFrame:
     """The first row of every key by the given order, NULL keys forming one key.
 

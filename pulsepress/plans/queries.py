@@ -16,7 +16,7 @@ from pulsepress.functions.dates import as_datetime
 from pulsepress.operators.filters import all_of, article_filter, between, in_days, keep_keys, match_fields
 from pulsepress.operators.ordering import latest, nearest, page, range_page, trending
 from pulsepress.operators.search import within_distance
-from pulsepress.plans.trends import related_lists
+from pulsepress.plans.trends import related_of
 from pulsepress.plans.views import aggregated_view, trending_view
 from pulsepress.schemas import DAY, HEAVY_COLUMNS, PUBLISHER_COLUMNS, TREND_COLUMNS
 
@@ -75,22 +75,14 @@ def query_aggregated(
     columns: Sequence[str] | None = None,
     **filters,
 ) -> DataFrame:
-    """Filtered articles with trend numbers, related urls and publisher details, newest first.
-
-    Limit and offset count articles; an article whose related urls come in parts has all of its rows.
-    """
-    wanted = list(
-        columns or [*_columns_of(articles), *TREND_COLUMNS, "related_urls", "related_part", *PUBLISHER_COLUMNS]
-    )
+    """Filtered articles with trend numbers, related urls and publisher details, newest first, one row each."""
+    wanted = list(columns or [*_columns_of(articles), *TREND_COLUMNS, "related_urls", *PUBLISHER_COLUMNS])
     order = _order(latest(), embedding)
     if not 0 < limit <= PAGE_ROWS or filters.get("conditions"):
         # Conditions may name any column of the view, so it is built in full before the filter.
         view = aggregated_view(articles, trends, related, publishers)
         measured = _measure(_filtered(view, filters), embedding, distance)
-        if limit or offset:
-            keys = measured.select("url", "created", *(["distance"] if embedding else [])).distinct()
-            measured = measured.join(page(keys, order, limit, offset).select("url"), "url", "left_semi")
-        return measured.orderBy(*order, F.col("related_part")).select(*_output(wanted, embedding))
+        return page(measured, order, limit, offset).select(*_output(wanted, embedding))
     base = articles.join(trends.select("url", *TREND_COLUMNS), "url", "left")
     top = _page(_measure(_filtered(base, filters), embedding, distance), wanted, order, limit, offset)
     rows = _add_large(top, articles, wanted)
@@ -99,12 +91,10 @@ def query_aggregated(
         names = top.select("source").distinct()
         asked = publishers.join(F.broadcast(names), "source", "left_semi").select("source", *PUBLISHER_COLUMNS)
         rows = rows.join(asked, "source", "left")
-    if not {"related_urls", "related_part"} & set(wanted):
-        return rows.repartition(1).sortWithinPartitions(*order).select(*_output(wanted, embedding))
-    # Sorting by ranges reads its input twice, and lists of many parts may be too large for one task.
-    lists = related_lists(related.join(F.broadcast(top.select("url")), "url", "left_semi"))
-    rows = rows.join(lists, "url", "left").orderBy(*order, F.col("related_part"))
-    return rows.select(*_output(wanted, embedding))
+    if "related_urls" in wanted:
+        lists = related_of(related.join(F.broadcast(top.select("url")), "url", "left_semi"))
+        rows = rows.join(lists, "url", "left")
+    return rows.repartition(1).sortWithinPartitions(*order).select(*_output(wanted, embedding))
 
 
 def query_publishers(publishers, collected=None, sources=None, conditions=None, limit=0, offset=0, columns=None):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsepress.functions.dates import days_before
 from pulsepress.functions.scores import has_signal, or_zero, trend_score, updated_day
-from pulsepress.operators.joins import lists_in_parts
+from pulsepress.operators.joins import lists_in_parts, lists_per_key
 from pulsepress.schemas import COUNT_COLUMNS, DAY, POST_STATES, TRENDS
 
 
@@ -70,6 +70,11 @@ def related_lists(related: DataFrame, **options) -> DataFrame:
     return lists_in_parts(related, "url", "related_url", "related_urls", part="related_part", **options)
 
 
+def related_of(related: DataFrame, **options) -> DataFrame:
+    """One row for every article: its sorted related urls, NULL where they are too many for one row."""
+    return lists_per_key(related, "url", "related_url", "related_urls", **options)
+
+
 def active_urls(mentions: DataFrame, related: DataFrame, shares: str = "count") -> DataFrame:
     """Urls with counted posts or related articles, each once."""
     return mention_totals(mentions, shares).select("url").union(related_counts(related).select("url")).distinct()

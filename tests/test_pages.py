@@ -39,20 +39,25 @@ def test_page_is_a_slice_of_the_whole(tables, fx, name, columns):
 
 
 @pytest.mark.parametrize("conditions", [None, ["kind = 'news'"]])
-def test_pages_count_articles_with_lists_in_parts(tables, fx, monkeypatch, conditions):
+def test_every_article_has_one_row(tables, fx, monkeypatch, conditions):
     for module in (queries, views):
-        monkeypatch.setattr(module, "related_lists", lambda related: trends.related_lists(related, limit=4))
-    columns = ["url", "related_urls", "related_part"]
+        monkeypatch.setattr(module, "related_of", lambda related: trends.related_of(related, limit=4))
+    columns = ["url", "related_urls", "related"]
     for more in ({}, {"embedding": fx.query_vector}):
         options = {"columns": columns, "conditions": conditions, **more}
         whole = CALLS["aggregated"](tables, **options).collect()
-        urls = list(dict.fromkeys(r["url"] for r in whole))
-        assert len(urls) < len(whole)
+        assert len({r["url"] for r in whole}) == len(whole)
         for rows in (1000, 3):  # the page is looked up, or all is read at once
             monkeypatch.setattr(queries, "PAGE_ROWS", rows)
-            got = CALLS["aggregated"](tables, limit=12, offset=5, **options).collect()
-            assert got == [r for r in whole if r["url"] in urls[5:17]]
-        assert CALLS["aggregated"](tables, offset=5, **options).collect() == [r for r in whole if r["url"] in urls[5:]]
+            assert CALLS["aggregated"](tables, limit=12, offset=5, **options).collect() == whole[5:17]
+        assert CALLS["aggregated"](tables, offset=5, **options).collect() == whole[5:]
+    # What does not fit a row is counted there and whole in the parts.
+    parts = {}
+    for r in trends.related_lists(tables["related"], limit=4).collect():
+        parts.setdefault(r["url"], []).extend(r["related_urls"])
+    long = [r for r in whole if r["related"] and r["related_urls"] is None]
+    assert long and all(r["related"] == len(parts[r["url"]]) > 4 for r in long)
+    assert all(sorted(parts[r["url"]]) == r["related_urls"] for r in whole if r["related_urls"] is not None)
 
 
 def test_large_columns_are_read_for_the_page_only(tables):

@@ -128,7 +128,7 @@ def test_optimize_and_trends(store):
     assert rows.columns == ["url", "related_urls", "site_name", "distance"]
     got = [r["distance"] for r in rows.collect()]
     assert len(got) == 5 and got == sorted(got)
-    assert store.query_aggregated(limit=3).columns[-6:] == ["related_part", *schemas.PUBLISHER_COLUMNS]
+    assert store.query_aggregated(limit=3).columns[-6:] == ["related_urls", *schemas.PUBLISHER_COLUMNS]
     assert store.query_aggregated_mentions(limit=2).count() == 2
     counted = store.query("SELECT count(*) AS n FROM trending_articles WHERE kind = ?", ["news"]).first()["n"]
     assert counted == store.query_trending(kind="news").count()
