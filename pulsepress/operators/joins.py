@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT = 32 * 1024 * 1024
-PAGE_BROADCAST_ROWS = 100_000
+# Pieces of a heavy key to a task's share of rows.
+FINE = 8
 LIST_LIMIT = 100_000
 
 
@@ -38,28 +42,50 @@ def matching_keys(table: DataFrame, batch: DataFrame, keys: list[str]) -> DataFr
     return table.select(*keys).distinct().join(wanted, keys, "left_semi")
 
 
+def heavy_keys(facts: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
+    """Keys with more rows than a task should read, with ``__salts``, the pieces to cut them into.
+
+    A task's share is the number of rows over ``parts`` (default: the shuffle partitions), so no more
+    than ``parts`` keys are heavy. Pieces are ``FINE`` to a share, as their places are drawn by hash and
+    several may meet. NULL counts as a key. Rows are counted before the shuffle.
+    """
+    parts = parts or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    share = facts.agg(F.ceil(F.count(F.lit(1)) / F.lit(parts))).scalar()
+    return counts.filter(F.col("__n") > share).select(*keys, F.ceil(FINE * F.col("__n") / share).cast("int").alias("__salts"))
+
+
 def attach(
     facts: DataFrame,
     lookup: DataFrame,
     keys: str | list[str],
     spread: str | list[str] = "url",
     how: str = "left",
-    salts: int = 16,
     limit: int = BROADCAST_LIMIT,
+    parts: int | None = None,
 ) -> DataFrame:
     """Join a lookup table with one row per key to facts whose keys may be very uneven.
 
-    A lookup of checked size is broadcast. A larger one is copied ``salts`` times and each fact row
-    takes one copy by the hash of its ``spread`` columns, so a hot key is shared by that many tasks.
-    The copies need a shuffle of their own, which also lets Spark split what is still uneven; a
-    lookup that comes straight from an aggregation would not.
+    A lookup of checked size is broadcast. For a larger one the rows of every key are counted first,
+    from the key columns alone. Heavy keys, fewer than there are partitions, get as many salts as their
+    rows need: their lookup rows are copied so often and each of their fact rows takes one copy by the
+    hash of its ``spread`` columns. All other keys are joined as they are.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if fits_broadcast(lookup, limit):
         return facts.join(F.broadcast(lookup), keys, how)
     spread = [spread] if isinstance(spread, str) else list(spread)
-    salted = facts.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    heavy = heavy_keys(facts, keys, parts)
+
+    def with_salts(rows: DataFrame) -> DataFrame:
+        marked = heavy.select(*[F.col(k).alias(f"__{k}") for k in keys], "__salts")
+        same = reduce(and_, [rows[k].eqNullSafe(marked[f"__{k}"]) for k in keys])
+        return rows.join(F.broadcast(marked), same, "left").drop(*[f"__{k}" for k in keys])
+
+    own = F.pmod(F.xxhash64(*spread), F.col("__salts")).cast("int")
+    salted = with_salts(facts).withColumn("__salt", F.coalesce(own, F.lit(0))).drop("__salts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1))
+    copies = with_salts(lookup).withColumn("__salt", every).drop("__salts")
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
