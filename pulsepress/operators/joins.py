@@ -61,20 +61,30 @@ def attach(
     keys: str | list[str],
     spread: str | list[str] = "url",
     how: str = "left",
+    salts: int = 16,
     limit: int = BROADCAST_LIMIT,
+    measured: bool = False,
     parts: int | None = None,
 ) -> DataFrame:
     """Join a lookup table with one row per key to facts whose keys may be very uneven.
 
-    A lookup of checked size is broadcast. For a larger one the rows of every key are counted first,
-    from the key columns alone. Heavy keys, fewer than there are partitions, get as many salts as their
-    rows need: their lookup rows are copied so often and each of their fact rows takes one copy by the
-    hash of its ``spread`` columns. All other keys are joined as they are.
+    A lookup of checked size is broadcast. A larger one is copied ``salts`` times and each fact row
+    takes one copy by the hash of its ``spread`` columns, so a hot key is shared by that many tasks.
+    The copies need a shuffle of their own, which also lets Spark split what is still uneven; a
+    lookup that comes straight from an aggregation would not.
+
+    With ``measured``, for facts that are stored and cheap to read, the rows of every key are counted
+    first, from the key columns alone. Heavy keys, fewer than there are partitions, get as many salts as
+    their rows need, all other keys are joined as they are. Computed facts would be computed again.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if fits_broadcast(lookup, limit):
         return facts.join(F.broadcast(lookup), keys, how)
     spread = [spread] if isinstance(spread, str) else list(spread)
+    if not measured:
+        salted = facts.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+        copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
     heavy = heavy_keys(facts, keys, parts)
 
     def with_salts(rows: DataFrame) -> DataFrame:
