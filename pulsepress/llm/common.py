@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pulsepress.sources.folders import children, remove
 from pulsepress.sources.scratch import scratch_folder
 
 
@@ -25,8 +28,42 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Lists that note the folders made while they are in force.
+_NOTED: ContextVar[tuple[list[str], ...]] = ContextVar("_NOTED", default=())
+
+
 def new_folder(df: DataFrame) -> str:
-    return scratch_folder(df.sparkSession)
+    folder = scratch_folder(df.sparkSession)
+    for made in _NOTED.get():
+        made.append(folder)
+    return folder
+
+
+@contextmanager
+def folders_made() -> Iterator[list[str]]:
+    """The folders that operators make within the block, to be removed once their result is stored elsewhere."""
+    made: list[str] = []
+    token = _NOTED.set((*_NOTED.get(), made))
+    try:
+        yield made
+    finally:
+        _NOTED.reset(token)
+
+
+def drop(spark: SparkSession, folder: str, *names: str) -> None:
+    """Remove tables that ``stored`` wrote below ``folder``, without names the folder.
+
+    What is still to be read of them must be stored elsewhere by then.
+    """
+    for path in [f"{folder}/{name}" for name in names] or [folder]:
+        remove(spark, path)
+
+
+def drop_others(spark: SparkSession, folder: str, *names: str) -> None:
+    """Remove everything below ``folder`` but the tables named."""
+    for path, _ in children(spark, folder):
+        if path.rstrip("/").rsplit("/", 1)[-1] not in names:
+            remove(spark, path)
 
 
 def numbered(df: DataFrame, folder: str, name: str, row: str = "row") -> DataFrame:

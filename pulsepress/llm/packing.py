@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pulsepress.llm.common import new_folder, shuffle_partitions, stored
+from pulsepress.llm.common import drop, new_folder, shuffle_partitions, stored
 from pulsepress.llm.texts import map_texts
 
 CAPACITY = 4096
@@ -260,6 +260,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id: str = "row", length: s
         ordered = elements.repartitionByRange(ranges, "size", "is_gap", "id")
         ordered = ordered.sortWithinPartitions("size", "is_gap", "id")
         swept = stored(ordered.mapInArrow(_sweep, _SWEPT), folder, f"swept{rounds}")
+        drop(spark, folder, f"swept{rounds - 1}")
         left = swept.filter(F.col("rank").isNotNull())
         per_range = left.groupBy("range").agg(
             F.sum(F.col("is_gap").cast("long")).alias("gaps"), F.sum((~F.col("is_gap")).cast("long")).alias("documents")
@@ -283,7 +284,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id: str = "row", length: s
         bins = stored(
             bins.unionByName(taken).groupBy("id").agg(F.sum("size").alias("size")), folder, f"bins{rounds}"
         )
+        drop(spark, folder, f"bins{rounds - 1}")
         rounds += 1
+    drop(spark, folder, f"swept{rounds - 1}", f"bins{rounds - 1}")
     whole = narrow.filter(F.col("size") >= capacity).select("id", (-1 - F.col("id")).alias("bin"), "size", F.lit(0).alias("round"))
     everything = whole
     for done in placed:

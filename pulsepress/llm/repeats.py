@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsepress.llm.common import new_folder, stored
+from pulsepress.llm.common import drop_others, new_folder, stored
 from pulsepress.llm.suffixes import common_prefixes, suffix_array
 from pulsepress.llm.texts import in_pieces
 
@@ -291,7 +291,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     every = every.distinct().repartition("text_hash").sortWithinPartitions("text_hash", "start")
     merged = every.mapInArrow(_merged, _SPAN)
     listed = merged.groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    return stored(listed, folder, "spans")
+    found = stored(listed, folder, "spans")
+    drop_others(texts.sparkSession, folder, "spans")
+    return found
 
 
 def without_spans(data: Column, spans: Column) -> Column:
