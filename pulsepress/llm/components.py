@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsepress.llm.common import stored
+from pulsepress.llm.common import drop, drop_others, stored
 
 
 def components(links: DataFrame, folder: str, a: str = "a", b: str = "b") -> DataFrame:
     """``id`` and ``root`` of everything that is linked; the root is the smallest id reachable.
 
     Every round points each node to the least root among its neighbours', then shortens the
-    pointers; a path of n links takes about log n rounds. The state is stored after each round.
+    pointers; a path of n links takes about log n rounds. The state is stored after each round, and
+    the round before is removed; of ``folder`` only the last state stays.
     """
+    spark = links.sparkSession
     pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = stored(both, folder, "links")
@@ -34,5 +36,7 @@ def components(links: DataFrame, folder: str, a: str = "a", b: str = "b") -> Dat
         moved = seen.join(jump, "root").select("id", F.col("next").alias("root"), (F.col("next") != F.col("was")).alias("new"))
         moved = stored(moved, folder, f"roots{turn}")
         roots = moved.select("id", "root")
+        drop(spark, folder, f"seen{turn}", f"roots{turn - 1}")
         if not moved.filter("new").limit(1).count():
+            drop_others(spark, folder, f"roots{turn}")
             return roots

@@ -6,8 +6,9 @@ meet in inverted lists of the shingles at the front of a common order, in which
 come last. The boundary is the size at which enumerating costs more than scanning lists.
 
 Lists are scanned more than once. First each member is paired with a pivot of its list, in work
-linear in the list, which joins near copies however many there are. Then only members that are still
-in different components are paired with each other. Pairs are thinned by what their fronts allow at
+linear in the list. Pairs that their fronts allow make guessed components; members of different guesses
+are paired with each other. Where whole sets break a guess up, its parts are joined again by random
+pairs, a few of each set, and only what is then still apart is paired in full. Pairs are thinned by what their fronts allow at
 most, and compared by their whole sets. Bounds and comparisons are exact, no link is lost.
 """
 
@@ -15,16 +16,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsepress.llm.common import new_folder, stored
+from pulsepress.llm.common import drop, drop_others, new_folder, stored
 from pulsepress.llm.components import components
 from pulsepress.llm.texts import map_texts
 
@@ -41,6 +42,8 @@ MOST_FREQUENT, SAMPLE, FREQUENT = 200_000, 16, 4
 #: Rows of a list compared in one piece, pairs of one pivot in one task, pairs in one task.
 LIST_BLOCK, PIVOT_PAIRS, TILE_PAIRS = 4096, 2000, 2000
 MEMORY, WORD_LIMIT = 400_000, 64
+#: Partners of a set in one random order. Orders go on while more than one of so many pairs is a link.
+NEIGHBOURS, LEAST_SHARE = 4, 10
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -385,7 +388,9 @@ def tested(pairs: DataFrame, content: DataFrame, test, folder: str, name: str) -
     wanted = dealt.select(*to, F.explode(F.array("a", "b")).alias("set")).distinct()
     shipped = wanted.join(content, "set")
     together = dealt.groupBy("tile", "part").cogroup(shipped.groupBy("to_tile", "to_part"))
-    return stored(together.applyInArrow(test, "a bigint, b bigint"), folder, f"{name}_passed")
+    passed = stored(together.applyInArrow(test, "a bigint, b bigint"), folder, f"{name}_passed")
+    drop(pairs.sparkSession, folder, f"{name}_pairs", f"{name}_dealt")
+    return passed
 
 
 def set_contents(docs: DataFrame, text: str, sets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -412,15 +417,24 @@ def set_contents(docs: DataFrame, text: str, sets: DataFrame, wanted: DataFrame)
     return rows.filter(F.col("data").isNotNull())
 
 
-def _cross(lists: DataFrame, roots: DataFrame, folder: str, name: str) -> DataFrame:
-    """Pairs (a < b) of a list whose sets have different roots and may be linked."""
+def _rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists with the root of each set, which is the set itself where it is linked with none."""
     known = lists.join(roots.withColumnRenamed("id", "set"), "set", "left")
-    known = stored(known.withColumn("root", F.coalesce("root", "set")), folder, name)
-    mixed = known.groupBy("token").agg(
+    return known.select("token", "n", "set", "pos", F.coalesce("root", "set").alias("root"))
+
+
+def _mixed(known: DataFrame) -> DataFrame:
+    """The lists that hold sets of different roots, with their lengths ``k``."""
+    ends = known.groupBy("token").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("k")
     )
-    mixed = mixed.filter("low <> high").select("token", F.ceil(F.col("k") / LIST_BLOCK).alias("blocks"))
-    pieces = known.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
+    return known.join(ends.filter("low <> high").select("token", "k"), "token")
+
+
+def _cross(mixed: DataFrame) -> DataFrame:
+    """Pairs (a < b) of a list whose sets have different roots and may be linked."""
+    pieces = mixed.withColumn("blocks", F.ceil(F.col("k") / LIST_BLOCK))
+    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
     pieces = pieces.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     i, j = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     pieces = pieces.select("token", i, j, "block", "set", "n", "pos", "root")
@@ -428,6 +442,37 @@ def _cross(lists: DataFrame, roots: DataFrame, folder: str, name: str) -> DataFr
     return pieces.mapInArrow(_cross_pairs, "a bigint, b bigint").distinct()
 
 
+def _neighbours(mixed: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a < b) of sets of different roots that are close in a random order, and may be linked.
+
+    The order is of the turn and the same for all lists, so that the lists two sets share give one pair.
+    Long lists are ordered in pieces.
+    """
+    place = F.xxhash64("set", F.lit(turn))
+    rows = mixed.withColumn("place", place)
+    rows = rows.withColumn("piece", F.pmod("place", F.ceil(F.col("k") / LIST_BLOCK)))
+    order = Window.partitionBy("token", "piece").orderBy("place", "set")
+    own = F.struct("set", "n", "pos", "root")
+    others = F.array(*[F.lead(own, i).over(order) for i in range(1, NEIGHBOURS + 1)])
+    pairs = rows.withColumn("others", others).select("set", "n", "pos", "root", F.explode("others").alias("y"))
+    fits = _may_link(F.col("n"), F.col("pos"), F.col("y.n"), F.col("y.pos")) & (F.col("root") != F.col("y.root"))
+    return pairs.filter(fits).select(F.least("set", "y.set").alias("a"), F.greatest("set", "y.set").alias("b")).distinct()
+
+
+def _joined(roots: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
+    """The roots after further links, found from the links between components alone; stored."""
+    of = roots.withColumnRenamed("root", "to")
+    pairs = links.join(of.withColumnRenamed("id", "a"), "a", "left").withColumn("a", F.coalesce("to", "a")).drop("to")
+    pairs = pairs.join(of.withColumnRenamed("id", "b"), "b", "left").withColumn("b", F.coalesce("to", "b")).drop("to")
+    moved = components(pairs.select("a", "b").distinct(), f"{folder}/{name}_moved")
+    after = roots.join(moved.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left")
+    after = after.select("id", F.coalesce("to", "root").alias("root"))
+    fresh = moved.join(roots.select("id"), "id", "left_anti").select("id", "root")
+    joined = stored(after.unionByName(fresh), folder, name)
+    drop(roots.sparkSession, folder, f"{name}_moved")
+    return joined
+
+
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's ``id`` with n_shingles and component_id.
 
@@ -438,7 +483,7 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
     and ids are rows each; a NULL id is never the smallest, a component of NULL ids alone has NULL.
     Shingles and sets are compared by 64-bit hashes.
     """
-    folder = new_folder(docs)
+    folder, spark = new_folder(docs), docs.sparkSession
     plain = docs.select(F.col(id), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sets = stored(shingle_sets(plain, id, "text", frequent_shingles(plain, "text")), folder, "sets")
     own = sets.filter(F.col("front").isNotNull())
@@ -453,12 +498,14 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
     same = stored(same.select("set", "first"), folder, "same")
     links = light_links(sets, most, folder).unionByName(same.select(F.col("set").alias("a"), F.col("first").alias("b")))
     links = stored(links, folder, "light")
+    drop(spark, folder, "subsets")
 
     listed = stored(heavy_lists(sets, most), folder, "listed")
     listed = listed.join(same, "set", "left").withColumn("set", F.coalesce("first", "set")).drop("first")
     to = same.select(F.col("set").alias("pivot"), F.col("first").alias("to"))
     listed = listed.join(to, "pivot", "left").withColumn("pivot", F.coalesce("to", "pivot")).drop("to")
     listed = stored(listed.dropDuplicates(["token", "set"]), folder, "lists")
+    drop(spark, folder, "listed", "same")
     lists = listed.select("token", "n", "set", "pos")
     fronts = lists.groupBy("set", "n").agg(F.collect_list(F.struct("token", "pos")).alias("listed"))  # of one front
     fronts = stored(fronts, folder, "fronts")
@@ -471,26 +518,51 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
     pairs = listed.filter((F.col("set") != F.col("pivot")) & fits).select(*ordered("pivot", "set")).distinct()
     pivots = tested(pairs, fronts, _possible, folder, "pivots")
     guess = components(links.unionByName(pivots), f"{folder}/guess")
-    apart = tested(_cross(lists, guess, folder, "guessed"), fronts, _possible, folder, "apart")
+    guessed = stored(_rooted(lists, guess), folder, "guessed")
+    apart = tested(_cross(_mixed(guessed)), fronts, _possible, folder, "apart")
     candidates = stored(pivots.unionByName(apart).distinct(), folder, "candidates")
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    drop(spark, folder, "lists", "pivots_passed", "apart_passed")
+    wanted = stored(candidates.select(F.explode(F.array("a", "b")).alias("set")).distinct(), folder, "wanted")
     content = stored(set_contents(plain, "text", sets, wanted), folder, "contents")
     found = links.unionByName(tested(candidates, content, _linked, folder, "whole"))
-    # Where a candidate was no link, members of what it had joined are paired as well. Those that light
-    # links alone had joined to it belong to no candidate, so their sets are still to be loaded.
     roots = components(found, f"{folder}/found")
-    rest = _cross(lists, roots, folder, "rest").join(candidates, ["a", "b"], "left_anti")
+
+    # Where a candidate was no link, a guessed component may fall apart. All pairs between different guesses
+    # have been tested; what is left are pairs within the lists of such a guess.
+    after = guess.join(roots.withColumnRenamed("root", "now"), "id", "left")
+    after = after.groupBy("root").agg(F.min(F.coalesce("now", "id")).alias("low"), F.max(F.coalesce("now", "id")).alias("high"))
+    within = guessed.join(after.filter("low <> high").select("root"), "root", "left_semi")
+    within = stored(within.select(F.xxhash64("token", "root").alias("token"), "n", "set", "pos"), folder, "within")
+    drop(spark, folder, "guessed", "guess")
+    # Most of the parts are joined again by few random pairs of each set, however many copies there are.
+    for turn in count():
+        left = stored(_mixed(_rooted(within, roots)), folder, f"left{turn}")
+        pairs = _neighbours(left, turn).join(candidates, ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            pairs = pairs.join(wanted.withColumnRenamed("set", end), end, "left_semi")
+        pairs = tested(pairs.select("a", "b"), fronts, _possible, folder, f"near{turn}")
+        passed = tested(pairs, content, _linked, folder, f"linked{turn}")
+        roots = _joined(roots, passed, folder, f"roots{turn}")
+        drop(spark, folder, "within", f"left{turn - 1}", "found", f"roots{turn - 1}")
+        within = left.select("token", "n", "set", "pos")
+        if passed.count() * LEAST_SHARE <= pairs.count():
+            break
+    # Members of parts that are still apart are paired as well. Those that light links alone had joined
+    # belong to no candidate, so their sets are still to be loaded.
+    left = stored(_mixed(_rooted(within, roots)), folder, "left")
+    rest = _cross(left).join(candidates, ["a", "b"], "left_anti")
     rest = tested(rest, fronts, _possible, folder, "more")
     further = rest.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(wanted, "set", "left_anti")
     further = stored(further, folder, "further")
     if further.limit(1).count():
         content = content.unionByName(stored(set_contents(plain, "text", sets, further), folder, "further_contents"))
-    roots = components(found.unionByName(tested(rest, content, _linked, folder, "last")), f"{folder}/roots")
+    roots = _joined(roots, tested(rest, content, _linked, folder, "last"), folder, "roots")
 
     members = sets.join(roots.withColumnRenamed("id", "set"), "set", "left")
     members = stored(members.select(id, "n", F.coalesce("root", "set").alias("group")), folder, "members")
     least = members.filter(F.col("n") > 0).groupBy("group").agg(F.min(id).alias("component_id"))
     least = stored(least, folder, "least")
+    drop_others(spark, folder, "members", "least")
     found = members.join(least, "group", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id))
     return found.select(id, F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -208,6 +208,25 @@ def test_sets_joined_by_light_links_alone_are_compared(rows, monkeypatch):
     assert [got[i] for i in range(4)] == list(zip(n, root, strict=True))
 
 
+def test_links_of_near_copies_grow_with_their_number(rows, monkeypatch):
+    draw = random.Random(17)
+    base = [f"b{i}" for i in range(400)]
+    texts = [_near(draw, base, 5) for _ in range(400)]
+    seen, real = {}, jaccard.tested
+
+    def counted(pairs, content, test, folder, name):
+        passed = real(pairs, content, test, folder, name)
+        seen[name] = passed.count()
+        return passed
+
+    monkeypatch.setattr(jaccard, "tested", counted)
+    got = jaccard.jaccard_components(rows("doc_id long, text string", *enumerate(texts))).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == list(enumerate(_components(texts)[1]))
+    # A few pairs of each document pass or are tested, where over 10,000 of all pairs would pass.
+    assert sum(k for name, k in seen.items() if name == "whole" or name.startswith(("linked", "last"))) < 4 * len(texts)
+    assert sum(seen.values()) < 20 * len(texts)
+
+
 def test_pipeline_cuts_passages_of_51_words(spark, rows):
     draw = random.Random(13)
 
