@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsepress.llm import jaccard, packing, pii, quality, repeats
-from pulsepress.llm.common import new_folder, numbered, stored, table
+from pulsepress.llm.common import drop, folders_made, new_folder, numbered, stored, table
 
 #: Passages of so many words are cut where they occur elsewhere too, when they have the bytes of as many
 #: words of three letters with their spaces.
@@ -21,9 +21,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the first row, of every group linked by similar shingle sets."""
-    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col("text"))
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
     rows = numbered(whole, new_folder(docs), "rows")
-    first = jaccard.jaccard_components(rows, "row").filter(F.col("row") == F.col("component_id"))
+    first = jaccard.jaccard_components(rows.select("row", F.col("doc.text").alias("text")), "row").filter(F.col("row") == F.col("component_id"))
     return rows.hint("merge").join(first.select("row"), "row", "left_semi").select("doc.*")
 
 
@@ -58,9 +58,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each on the stored rows of the one before."""
+    """The stages over ``documents``, each on the stored rows of the one before.
+
+    Once a stage's rows are stored, the tables it kept for itself and the rows of the stage before it are
+    removed; the last stage's rows stay.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = new_folder(docs)
     for number, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), folder, f"stage{number}")
+        with folders_made() as made:
+            docs = stored(stage(spark, docs, sf_dir), folder, f"stage{number}")
+        for own in made:
+            drop(spark, own)
+        if number:
+            drop(spark, folder, f"stage{number - 1}")
     return docs
