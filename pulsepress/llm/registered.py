@@ -88,7 +88,8 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-#: Domains of the test pages are registered under these.
+#: Public suffixes of the test pages: their hosts are all below these three, so that the label before them is
+#: what stands for a registered domain.
 TEST_SUFFIXES = ("example.com", "example.net", "example.org")
 
 

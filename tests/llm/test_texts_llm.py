@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
-from pulsepress.llm import bpe, chat, quality, urls
+from pulsepress.llm import bpe, chat, quality, registered, urls
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -138,3 +140,66 @@ def test_quality(rows):
     assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} >= set(range(80))
     nothing = quality.fit(df, labels.limit(0))
     assert quality.score(df, nothing, ["doc_id"]).filter("score < 0.7").count() == 0
+
+
+def _posterior(groups, above):
+    """Means and weights of groups (key: (n, bad)) under the means above, the strength by the method of moments."""
+    n, bad = (np.array([x[i] for x in groups.values()], float) for i in (0, 1))
+    m = np.array([above[k] for k in groups])
+    spread = (n * (bad / n - m) ** 2 - m * (1 - m)).sum()
+    strength = 1000.0 if spread <= 0 else min(1000.0, max(1.0, (n * m * (1 - m)).sum() / spread - 1))
+    return dict(zip(groups, (m * strength + bad) / (n + strength), strict=True)), strength
+
+
+def test_reputations_of_the_given_pages_equal_numpy(spark):
+    folder = "/root/testdata/sf0.1"
+    got = registered.QUERIES["op5_url_filter"](spark, folder).collect()
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url").collect()
+    labels = spark.read.parquet(f"{folder}/labels.parquet").collect()
+    bad = {x.doc_id: int(x.quality == 0 or x.toxic == 1) for x in labels}
+    hosts, of, suffixes = {}, {}, registered.TEST_SUFFIXES
+    for x in pages:
+        host = re.match(r"(?s).*?://([^/?#]*)", x.url or "")
+        host = host[1].lower() if host else ""
+        n, b = hosts.get(host, (0, 0))
+        hosts[host] = (n + (x.page_id in bad), b + bad.get(x.page_id, 0))
+        suffix = next((s for s in suffixes if host == s or host.endswith("." + s)), host.rsplit(".", 1)[-1])
+        of[host] = (suffix, host if host == suffix else host[: -len(suffix) - 1].rsplit(".", 1)[-1] + "." + suffix)
+    seen = {h: x for h, x in hosts.items() if x[0]}
+
+    def summed(which):
+        out = {}
+        for h, (n, b) in seen.items():
+            k = of[h][which]
+            out[k] = (out.get(k, (0, 0))[0] + n, out.get(k, (0, 0))[1] + b)
+        return out
+
+    overall = (sum(x[1] for x in seen.values()) + 1) / (sum(x[0] for x in seen.values()) + 2)
+    means, _ = _posterior(summed(0), dict.fromkeys(summed(0), overall))
+    means, _ = _posterior(summed(1), {of[h][1]: means[of[h][0]] for h in seen})
+    means, strength = _posterior(seen, {h: means[of[h][1]] for h in seen})
+    grid = np.linspace(0, 1, 400_001)[1:-1]
+    bounds = {}
+    for h, (n, _) in seen.items():
+        a, b = means[h] * (n + strength), (1 - means[h]) * (n + strength)
+        log = (a - 1) * np.log(grid) + (b - 1) * np.log1p(-grid)
+        mass = np.cumsum(np.exp(log - log.max()))
+        bounds[h] = grid[np.searchsorted(mass, mass[-1] * urls.BOUND)]
+    free = [x for x in got if x.rule is None]
+    for x in got:
+        if x.host in seen:
+            assert x.level == "host" and abs(x.mean - means[x.host]) < 1e-9 and abs(x.lower - bounds[x.host]) < 1e-5
+            assert x.rule is not None or (x.verdict == "block") == (bounds[x.host] > overall), x
+    assert {x.verdict for x in free} == {"allow", "block"} and len(got) == len(pages)
+
+
+def test_reputations_of_unseen_hosts_and_without_labels(rows):
+    pages = [(i, f"http://bad{i}.b.com/x") for i in range(40)] + [(40 + i, f"http://good{i}.g.com/x") for i in range(40)]
+    pages += [(90, "http://new.b.com/"), (91, "http://new.g.com/"), (92, "http://a.other/"), (93, None), (94, "http://" + "a." * 50_000 + "z/")]
+    df = rows("page_id long, url string, host string, mean string, level string", *[(i, u, "h", "m", "l") for i, u in pages])
+    outcomes = rows("page_id long, bad int, host string", *[(i, int(i < 40), "h") for i in range(80)], (None, 1, "h"), (5, None, "h"))
+    got = {x.page_id: x for x in urls.judge(df, outcomes, []).collect()}
+    assert len(got) == 85 and all(got[i].verdict == ("block" if i < 40 else "allow") for i in range(80))
+    assert (got[90].level, got[90].verdict, got[91].level, got[91].verdict) == ("domain", "block", "domain", "allow")
+    assert [got[i].level for i in (92, 93, 94)] == ["all"] * 3
+    assert {x.verdict for x in urls.judge(df, outcomes.limit(0), []).collect()} == {"allow"}
