@@ -116,7 +116,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
     counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
     base = F.sha2(pii.described(F.col("base")).cast("binary"), 256).alias("base_sha256")
-    return found.select("doc_id", *counts, base, pii.described(F.col("spans")).alias("spans"))
+    every = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, base, pii.described(F.col("spans")).alias("spans"), every)
 
 
 @query("op8_permutation_index")

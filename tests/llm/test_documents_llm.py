@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -81,6 +82,61 @@ def test_personal_data_behind_learned_contexts(rows):
     assert clean[20].text == "Please call me [PHONE] today" and clean[21].text == more[1][1] and clean[22].text is None
 
 
+def test_personal_data_by_promoted_seeds_whatever_the_number_of_turns(rows):
+    """A chain: each pair of patterns is reliable only through the instances that the pair before makes seeds."""
+    texts, number = [], iter(range(1000, 9999))
+
+    def say(words, value):
+        texts.append(f"It says {words} {value} here")
+
+    def loose():
+        n = next(number)
+        return f"0{n % 90 + 10} 5{n % 89 + 10} {n}"
+
+    for words in ("call me", "ring me"):
+        for _ in range(60):
+            say(words, f"+1 (017) 555-{next(number)}")
+    chain = [("call me", "ring me"), ("dial us", "phone us"), ("my cell", "her cell")]
+    for (a, b), (c, d), times in zip(chain, chain[1:], (24, 8), strict=False):
+        for _ in range(times):
+            value = loose()
+            for words in (a, b, c, d):
+                say(words, value)
+    lone = [loose() for _ in range(2)]
+    for value in lone:
+        say("her cell", value)
+    wrong = [loose() for _ in range(40)]
+    for value in wrong:
+        say("in section", value)
+    for _ in range(5):  # seeds there too, outnumbered
+        say("in section", f"+1 (017) 555-{next(number)}")
+    df = rows("doc_id long, text string", *enumerate(texts))
+    got = {x.doc_id: [s.value for s in x.spans] for x in pii.find(df, ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        assert len(got[i]) == (0 if any(t.endswith(f"{v} here") for v in wrong) else 1), t
+
+
+def test_personal_data_in_texts_of_many_spans_takes_time_in_proportion(rows):
+    draw = random.Random(4)
+    parts = ["a.b@c.de", "1.2.3.4", "+1 (017) 555-7713", "4111 1111 1111 1111", "Été", "x\U0001f600", "word " * 300, "\n"]
+    texts = [" ".join(draw.choice(parts) for _ in range(n)) for n in (0, 1, 3, 40, 700)]
+    many = " ".join(f"u{i}@h{i}.org" for i in range(40_000))
+    df = rows("doc_id long, text string, n_chars int", *[(i, t, len(t)) for i, t in enumerate([*texts, many])])
+    started = time.time()
+    clean = {x.doc_id: x for x in pii.redact(df).collect()}
+    spans = {x.doc_id: x.spans for x in pii.find(df, ["doc_id"]).collect()}
+    assert time.time() - started < 90  # quadratic: hours
+    for i, t in enumerate([*texts, many]):
+        out, at = [], 0
+        for x in spans[i]:
+            assert t[x.start : x.end] == x.value
+            if x.start >= at:
+                out += [t[at : x.start], f"[{pii.KINDS[x.kind].upper()}]"]
+            at = max(at, x.end)
+        assert clean[i].text == "".join(out) + t[at:] and clean[i].n_chars == len(clean[i].text)
+    assert len(spans[5]) == 40_000
+
+
 def _removed(texts, length):
     starts = {}
     for i, t in enumerate(texts):
