@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pulsepress import ArticleStore, VectorItemStore, schemas
 from pulsepress.operators.ingest import align
-from pulsepress.sources import files
+from pulsepress.sources import files, objects
 from pulsepress.sources.scratch import scratch_folder
 
 AS_OF = "2024-02-01"
@@ -181,12 +181,12 @@ def test_vector_items(spark, fx, tmp_path):
 
 def test_export_writes_every_text(spark, fx, tmp_path):
     texts = fx.articles.select(F.concat(F.lit("a/b/"), F.substring("url", 7, 9), F.lit(".txt")).alias("path"), "content")
-    urls = files.export_texts(texts, str(tmp_path), "https://cdn.example.com/")
+    urls = objects.export_objects(texts, str(tmp_path), "https://cdn.example.com/")
     assert urls.count() == 200
     for row in texts.collect():
         with open(tmp_path / row["path"], encoding="utf-8", newline="") as handle:
             assert handle.read() == row["content"]
-    bare = files.export_texts(texts.limit(1), str(tmp_path)).first()
+    bare = objects.export_objects(texts.limit(1), str(tmp_path)).first()
     assert bare["path"] == bare["url"]
 
 
