@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsepress.functions.vectors import as_matrix
@@ -17,11 +17,15 @@ from pulsepress.operators.ingest import new_rows
 from pulsepress.operators.joins import attach, small_or_shuffled
 from pulsepress.operators.search import nearest_rows
 from pulsepress.schemas import CLUSTER_EPS
+from pulsepress.sources.scratch import scratch_folder
 
 # Most centres tried, vectors they are tried on, and rows of one side compared in one task.
 MAX_CENTRES = 1024
 TRIAL_ROWS = 1024
 TILE_ROWS = 8192
+# A cell with more rows is split again, by at most so many centres of its own tried on so many of its rows.
+LEAF_ROWS = 4 * TILE_ROWS
+BRANCHES, BRANCH_TRIAL = 64, 256
 # Approximate search: buckets from the query's that are tried in turn, and candidates for each row of the limit.
 REACHES = (0, 1, 3, 7)
 CANDIDATES = 4
@@ -64,13 +68,16 @@ def vector_pairs(
     cells: int | None = None,
     tile_rows: int = TILE_ROWS,
     fresh: DataFrame | None = None,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """(url, related_url, distance), both directions, of different vectors at most ``eps`` apart (L2).
 
     Exact, without comparing all pairs: every vector belongs to the cell of its nearest centre and
     also visits each other cell whose border is within ``eps``. A pair is found once in the cell of
-    its second member. Cells larger than a tile are cut, and each pair of tiles is one task. The
-    number of cells is the one that moves the fewest rows on a small sample, unless it is given.
+    its second member. The number of cells is the one that moves the fewest rows on a small sample,
+    unless it is given. Cells of more than ``leaf_rows`` rows are split in the same way by centres of
+    their own, level by level, as long as that saves work, so the work grows with the rows where
+    vectors can be told apart. Cells larger than a tile are then cut, and each pair of tiles is one task.
     Articles with equal vectors count once here, see ``copies``. With ``fresh``, a table of urls, only
     pairs with at least one of these articles are sought, and no others are compared.
     """
@@ -87,7 +94,12 @@ def vector_pairs(
     placed = vectors.withColumn("cells", _cells(centres, eps)(F.col("embedding")))
     placed = placed.select(
         "group", "url", "embedding", "fresh", F.posexplode("cells").alias("place", "cell")
-    ).withColumn("home", (F.col("place") == 0) & F.col("fresh"))
+    )
+    placed = placed.select(
+        "group", "url", "embedding", F.col("cell").cast("string").alias("cell"), ((F.col("place") == 0) & F.col("fresh")).alias("home")
+    )
+    if largest > leaf_rows:
+        placed = _split(placed, eps, centres.shape[1], tile_rows, leaf_rows)
     if fresh is None and largest <= tile_rows:
         tiled = placed.withColumns({"homes": F.lit(1), "all": F.lit(1)})
     else:
@@ -113,6 +125,109 @@ def vector_pairs(
     return pairs if fresh is None else both_ways(pairs).distinct()
 
 
+def _moved(homes: float, rows: float, visits: float, count: int, tile_rows: int) -> float:
+    """Rows moved to compare a cell that ``count`` centres split, each row visiting ``visits`` of the parts.
+
+    A home row goes to all tiles of rows in its part, any row to all tiles of home rows in the parts it visits.
+    """
+    tiles = rows * visits / count / tile_rows
+    home_tiles = homes / count / tile_rows
+    return homes * max(1.0, tiles) + rows * visits * max(1.0, home_tiles)
+
+
+def _split(placed: DataFrame, eps: float, length: int, tile_rows: int, leaf_rows: int) -> DataFrame:
+    """The placed rows with large cells split, level by level, until none is large or splitting saves nothing.
+
+    Each level counts the cells, chooses centres for the large ones from a hashed sample of bounded size,
+    one task a cell, and places their rows anew, one task for about a tile of rows. A row at home in a
+    cell is at home in one of its parts; the others that it visits follow the same rule as above. The
+    names of cells are the paths to them. A cell that no centres split cheaper keeps its rows and is
+    not tried again.
+    """
+    folder = scratch_folder(placed.sparkSession)
+    keys, done, level = ["group", "cell"], [], 0
+    current = placed
+    while True:
+        path = f"{folder}/level{level}"
+        current.write.parquet(path)
+        current = placed.sparkSession.read.schema(placed.schema).parquet(path)
+        sizes = current.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("h"))
+        large = sizes.filter((F.col("n") > leaf_rows) & (F.col("h") > 0))
+        # About twice the wanted sample by hash, so that the window below sees a bounded number of rows.
+        wanted = BRANCHES + BRANCH_TRIAL
+        point = F.pmod(F.xxhash64("url", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        drawn = attach(current, large, keys, how="inner").filter(point * F.col("n") < 2 * wanted)
+        ranked = Window.partitionBy(*keys).orderBy(F.xxhash64("url", F.lit(level)), "url")
+        sample = drawn.withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= wanted)
+        chosen = sample.select(*keys, "n", "h", "place", "embedding").groupBy(*keys).applyInArrow(
+            _branches(eps, length, tile_rows), "group string, cell string, n bigint, centres array<array<double>>"
+        )
+        chosen.write.parquet(f"{path}-centres")
+        chosen = placed.sparkSession.read.schema(chosen.schema).parquet(f"{path}-centres")
+        if not chosen.limit(1).count():
+            break
+        pieces = chosen.select(*keys, F.ceil(F.col("n") / tile_rows).cast("int").alias("pieces"))
+        marked = attach(current, pieces, keys)
+        done.append(marked.filter(F.col("pieces").isNull()).drop("pieces"))
+        inner = marked.filter(F.col("pieces").isNotNull())
+        inner = inner.withColumn("piece", F.pmod(F.xxhash64("url", F.lit("piece")), F.col("pieces")).cast("int"))
+        centres = chosen.join(pieces, keys).select(*keys, F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "centres")
+        by = [*keys, "piece"]
+        current = (
+            inner.groupBy(*by).cogroup(centres.groupBy(*by)).applyInArrow(_parts(eps, length), "group string, url string, "
+            "embedding array<float>, cell string, home boolean")
+        ).select(*placed.columns)
+        level += 1
+    for part in done:
+        current = current.unionByName(part)
+    return current
+
+
+def _branches(eps: float, length: int, tile_rows: int):
+    """Centres for a large cell, as many as make its comparison cheapest; no row when it stays whole."""
+    schema = pa.schema(
+        [("group", pa.string()), ("cell", pa.string()), ("n", pa.int64()), ("centres", pa.list_(pa.list_(pa.float64())))]
+    )
+
+    def choose(key, rows):
+        rows = rows.sort_by("place")
+        n, homes = rows["n"][0].as_py(), rows["h"][0].as_py()
+        _, points = as_matrix(rows["embedding"].combine_chunks(), length)
+        points = points[np.sort(np.unique(points, axis=0, return_index=True)[1])]
+        trial = points[-BRANCH_TRIAL:]
+        # To place the rows anew moves each once more.
+        best, least = 1, _moved(homes, n, 1.0, 1, tile_rows) - n
+        for count in (4, 16, BRANCHES):
+            if count > len(points):
+                break
+            moved = _moved(homes, n, _visited(trial, points[:count], eps)[1].sum(1).mean(), count, tile_rows)
+            if moved < least:
+                best, least = count, moved
+        if best == 1:
+            return schema.empty_table()
+        return pa.table([[key[0]], [key[1]], [n], [points[:best].tolist()]], schema=schema)
+
+    return choose
+
+
+def _parts(eps: float, length: int):
+    """The rows of a piece of a cell in the parts that they visit."""
+
+    def place(key, rows, centres):
+        rows = rows.select(["group", "url", "embedding", "cell", "home"])
+        points = np.array(centres["centres"][0].as_py(), dtype="float64")
+        positions, matrix = as_matrix(rows["embedding"].combine_chunks(), length)
+        own, visits = _visited(matrix, points, eps)
+        row, part = np.nonzero(visits)
+        out = rows.take(pa.array(positions[row]))
+        home = pc.and_(out["home"], pa.array(part == own[row]))
+        names = pc.binary_join_element_wise(out["cell"], pa.array(part.astype(str)), ".")
+        out = out.set_column(3, "cell", names)
+        return out.set_column(4, "home", home)
+
+    return place
+
+
 def _with_tiles(placed: DataFrame, tile_rows: int, some_homes: bool) -> DataFrame:
     """Rows with the number of tiles of their cell, for home rows and for all rows.
 
@@ -152,8 +267,7 @@ def _centres(usable: DataFrame, largest: int, eps: float, cells: int | None, til
         if count > min(len(points), max(1, largest // 64)):
             break
         visits = _visited(points[-TRIAL_ROWS:], points[:count], eps)[1].sum(1).mean()
-        homes = largest / count
-        moved = visits * max(1.0, homes / tile_rows) + max(1.0, homes * visits / tile_rows)
+        moved = _moved(largest, largest, visits, count, tile_rows)
         if least is None or moved < least:
             best, least = count, moved
     return points[:best]

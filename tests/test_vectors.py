@@ -84,6 +84,42 @@ def test_pairs_of_fresh_articles_only(spark, cells, tile_rows):
     assert len(found) == len(set(found)) and set(found) == {p for p in everything if fresh & set(p)}
 
 
+@pytest.mark.parametrize("eps, leaf_rows, cells", [(0.3, 30, 1), (0.6, 40, 3), (1.5, 40, 2)])
+def test_cells_that_are_split_again_equal_brute_force(spark, monkeypatch, eps, leaf_rows, cells):
+    monkeypatch.setattr(similarity, "BRANCHES", 16)
+    points = np.round(vectors(400, groups=30, seed=5), 2)
+    points[7::40] = points[7]  # copies
+    df = table(spark, points)
+    links = similarity.copies(df)
+    firsts = {f"u{i}" for i in range(400)} - {r["url"] for r in links.collect()}
+    both = pairs(similarity.vector_pairs(df, eps, cells=cells, tile_rows=20, leaf_rows=leaf_rows))
+    assert len(both) == len(set(both))
+    assert set(both) == {p for p in brute(points, eps, lambda i, j: i % 2 == j % 2) if firsts.issuperset(p)}
+    fresh = {f"u{i}" for i in range(0, 400, 31)} & firsts
+    wanted = df.filter(F.col("url").isin(list(fresh))).select("url")
+    found = pairs(similarity.vector_pairs(df, eps, cells=cells, tile_rows=20, leaf_rows=leaf_rows, fresh=wanted))
+    assert len(found) == len(set(found)) and set(found) == {p for p in both if fresh & set(p)}
+
+
+def test_only_cells_that_can_be_told_apart_are_split(spark):
+    def leaves(points, eps):
+        placed = table(spark, points, lambda i: None).select(
+            F.lit("").alias("group"), "url", "embedding", F.lit("0").alias("cell"), F.lit(True).alias("home")
+        )
+        return similarity._split(placed, eps, 8, 50, 100).groupBy("cell").agg(F.count_if("home").alias("h"), F.count("*").alias("n"))
+
+    compared = []
+    for count in (3000, 12000):
+        far = leaves(vectors(count, groups=count // 30, spread=0.01), 0.1).collect()
+        # At home once; cells stay above the limit only where parts of them would overlap too much.
+        assert sum(x["h"] for x in far) == count and max(x["n"] for x in far) < 200
+        compared.append(sum(x["h"] * x["n"] for x in far))
+    # In one cell it would be 16 times as much.
+    assert compared[0] < 100 * 3000 and compared[1] < 5 * compared[0]
+    # Every vector within reach of every other: one cell, cut into tiles.
+    assert [tuple(x) for x in leaves(vectors(500, groups=1, spread=0.01), 1.0).collect()] == [("0", 500, 500)]
+
+
 def test_similar_pairs_without_categories(spark):
     points = vectors(90, seed=4)
     df = table(spark, points, lambda i: None)
