@@ -147,3 +147,21 @@ def test_registered_query(spark):
         assert x.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
         assert [y for y in x.spans.split(",") if y and not y.startswith("novel")] == said
         assert x.n_confirmed <= len(base)
+
+
+def test_registered_query_counts_several_spans_of_a_document(spark, rows, tmp_path):
+    draw = random.Random(6)
+    parts = [
+        "password: abcdefgh ", "API_KEY='x9.y8=z7+w6' ", "token=short ", "AKIAABCDEFGH1234 ", "AKIAABCDEFGH123 ",
+        "0123456789abcdef" * 2, "0123456789abcdef" * 3 + " ", "é\U0001f600", "words ", "\n",
+    ]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 12))) for _ in range(200)]
+    data = [*enumerate(texts), (1000, None), (1001, ""), (1002, "AKIAABCDEFGH1234"), (1003, "0123456789abcdef" * 2)]
+    rows("doc_id long, text string", *data).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in QUERIES["op12_secret_scan"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(data)
+    for doc_id, text in data:
+        base, x = brute(text or ""), got[doc_id]
+        assert (x.n_assign, x.n_access, x.n_hex) == tuple(sum(k == i for _, k, _ in base) for i in range(3)), text
+        said = ",".join(f"{novelty.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert x.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
