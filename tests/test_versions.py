@@ -174,3 +174,34 @@ def test_postings_of_odd_articles(rows):
     totals = sorted((str(r[schemas.DAY]), r["bucket"], r["weight"]) for r in got if not r["term"])
     assert totals == [*[("2024-01-02", i, 2.0) for i in range(4)], *[("None", i, 1.0) for i in range(4)]]
     assert text_index.postings(df.limit(0)).count() == 0
+
+
+def test_postings_of_many_articles_a_day_and_of_repeated_urls(rows, monkeypatch):
+    monkeypatch.setattr(text_index, "ARTICLES", 3, raising=False)
+    monkeypatch.setattr(text_index, "ROWS", 4, raising=False)
+    schema = "url string, title string, summary string, regions array<string>, entities array<string>, categories array<string>, collected timestamp_ntz"
+    day = __import__("datetime").datetime
+    words = ["one", "two", "three", "four", "fünf"]
+    articles = [
+        (f"u{i % 29}", " ".join(words[: i % 4]), " ".join(words[j % 5] for j in range(i % 13)), [words[i % 5]], None, None, (day(2024, 1, 2 + i % 2), None)[i % 7 == 0])
+        for i in range(80)
+    ]
+    want, days = {}, {}
+    for url, title, summary, regions, _, _, at in articles:
+        days[at and at.date()] = days.get(at and at.date(), 0) + 1
+        for weight, found in ((3.0, regions), (2.0, title.split()), (1.0, summary.split())):
+            for term in found:
+                key = (term, url, at and at.date())
+                want[key] = want.get(key, 0.0) + weight
+    index = text_index.postings(rows(schema, *articles), buckets=4)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    got = index.collect()
+    assert index.columns == text_index.POSTINGS.names
+    assert sorted(map(str, ((r["term"], r["url"], r[schemas.DAY], r["weight"]) for r in got if r["term"]))) == sorted(map(str, ((*k, v) for k, v in want.items())))
+    assert sorted(map(str, ((r[schemas.DAY], r["bucket"], r["weight"]) for r in got if not r["term"]))) == sorted(
+        str((d, b, float(n))) for d, n in days.items() for b in range(4)
+    )
+    # Postings are shuffled once, and no table of all words of a task is held.
+    heads = [line.strip(" :+-") for line in plan.splitlines()]
+    assert sum(x.startswith("Exchange") and ("term" in x or "bucket" in x) for x in heads) == 1
+    assert not any(x.startswith("HashAggregate") and "term" in x for x in heads)
