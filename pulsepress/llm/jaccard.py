@@ -6,10 +6,12 @@ meet in inverted lists of the shingles at the front of a common order, in which
 come last. The boundary is the size at which enumerating costs more than scanning lists.
 
 Lists are scanned more than once. First each member is paired with a pivot of its list, in work
-linear in the list. Pairs that their fronts allow make guessed components; members of different guesses
-are paired with each other. Where whole sets break a guess up, its parts are joined again by random
-pairs, a few of each set, and only what is then still apart is paired in full. Pairs are thinned by what their fronts allow at
-most, and compared by their whole sets. Bounds and comparisons are exact, no link is lost.
+linear in the list. Pairs that their fronts allow make guessed components, which are joined by random
+pairs of long lists, a few of each set; members of guesses that are still different are paired with each other. Where
+whole sets break a guess up, its parts are treated in the same way. Pairs are thinned by what fronts and
+signatures allow at most, and compared by their whole sets. A signature says of every class of
+shingles whether the set holds an odd number of them: where two differ, the sets differ in a shingle at
+least. Bounds and comparisons are exact, no link is lost.
 """
 
 from __future__ import annotations
@@ -42,6 +44,12 @@ MOST_FREQUENT, SAMPLE, FREQUENT = 200_000, 16, 4
 #: Rows of a list compared in one piece, pairs of one pivot in one task, pairs in one task.
 LIST_BLOCK, PIVOT_PAIRS, TILE_PAIRS = 4096, 2000, 2000
 MEMORY, WORD_LIMIT = 400_000, 64
+#: Long numbers of 64 bits in a signature.
+SIGNATURE = 8
+#: Larger sets have a signature of zeros, which rules nothing out: half of the bits differ in any case.
+SIGNED = 128 * SIGNATURE
+#: Lists of more sets are joined by random pairs before their sets are paired in full.
+LONG_LIST = 64
 #: Partners of a set in one random order. Orders go on while more than one of so many pairs is a link.
 NEIGHBOURS, LEAST_SHARE = 4, 10
 
@@ -129,11 +137,20 @@ def set_hash(shingles: np.ndarray) -> int:
     return int.from_bytes(digest, "little", signed=True)
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """A bit for every class of shingles, the rest of their hashes: whether the set holds an odd number of them."""
+    if len(shingles) > SIGNED:
+        return np.zeros(SIGNATURE, np.int64)
+    bits = 64 * SIGNATURE
+    counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, id: str, text: str, last: np.ndarray) -> DataFrame:
-    """id, text_hash, n, set, content and the front of the set's order (all of it for a small set).
+    """id, text_hash, n, set, content, signature and the front of the set's order (all of it for a small set).
 
     ``set`` numbers the different sets of a task, ``content`` is a hash of the set. Within a task only
-    the first of several equal sets carries its front.
+    the first of several equal sets carries its front and signature.
     """
     narrow = docs.select(F.col(id), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     by_value = np.argsort(last)
@@ -149,22 +166,23 @@ def shingle_sets(docs: DataFrame, id: str, text: str, last: np.ndarray) -> DataF
             found = shingles(t)
             n = len(found)
             if not n:
-                return 0, None, None, None
+                return 0, None, None, None, None
             content = set_hash(found)
             if content in seen:
-                return n, seen[content], content, None
+                return n, seen[content], content, None, None
             number = seen[content] = base | len(seen)
+            bits = signature(found)
             found = found.view(np.int64)
             place = np.zeros(n, np.int64)
             if len(values):
                 at = np.minimum(np.searchsorted(values, found), len(values) - 1)
                 place = np.where(values[at] == found, places[at], 0)
             order = np.lexsort((found, place))
-            return n, number, content, found[order[: n if n <= MOST_LIGHT else front(n)]]
+            return n, number, content, bits, found[order[: n if n <= MOST_LIGHT else front(n)]]
 
         return describe
 
-    return map_texts(narrow, [id, "text_hash"], "text", make, "n bigint, set bigint, content bigint, front array<bigint>")
+    return map_texts(narrow, [id, "text_hash"], "text", make, "n bigint, set bigint, content bigint, signature array<bigint>, front array<bigint>")
 
 
 def boundary(sizes: dict[int, int], heavier: int) -> int:
@@ -229,33 +247,53 @@ def light_links(sets: DataFrame, most: int, folder: str) -> DataFrame:
 _LISTED = "token bigint, n bigint, set bigint, pos int, pivot bigint, pivot_n bigint, pivot_pos int"
 
 
+def _first(columns: np.ndarray) -> np.ndarray:
+    """Places whose values differ from those before them."""
+    differs = (columns[:, 1:] != columns[:, :-1]).any(0)
+    return np.flatnonzero(np.concatenate([[True], differs]))
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of lists with two sets or more, each with a pivot, from entries sorted by token, n, set.
 
     A list's pivot is its first entry; where sizes get too far apart for a link, a new one follows.
-    Entries stream by; of a list only its pivot and its first entry are held.
+    Entries stream by; one list is held as a whole, in 32 bytes an entry.
     """
-    held: list[tuple] = []  # the first entry of a list while it is the only one
-    token = pivot = last = None
+    names = [x.split()[0] for x in _LISTED.split(", ")]
+    rest = np.empty((4, 0), np.int64)
+
+    def listed(rows: np.ndarray) -> pa.RecordBatch:
+        token, n, one, pos = rows[:, _first(rows[[0, 2]])]
+        begin = _first(token[None])
+        sizes = np.diff(np.append(begin, len(token)))
+        shared = np.repeat(sizes > 1, sizes)
+        token, n, one, pos = token[shared], n[shared], one[shared], pos[shared]
+        # Pivots: the first entries of lists, and where sizes get too far from a pivot's, the next ones.
+        sizes = sizes[sizes > 1]
+        pivot = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        while True:
+            far = np.flatnonzero(PART * n > WHOLE * n[pivot])
+            if not len(far):
+                break
+            # The first entry of each pivot that is too far from it leads those behind.
+            far = far[_first(pivot[far][None])]
+            lead = pivot.copy()
+            lead[far] = far
+            pivot = np.maximum.accumulate(lead)
+        columns = token, n, one, pos.astype(np.int32), one[pivot], n[pivot], pos[pivot].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
     for batch in batches:
-        out: list[tuple] = []
-        for t, n, s, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if t != token:
-                token, pivot, last = t, (s, n, p), s
-                held = [(t, n, s, p, s, n, p)]
-                continue
-            if s == last:
-                continue
-            last = s
-            out += held
-            held = []
-            if PART * n > WHOLE * pivot[1]:
-                pivot = (s, n, p)
-            out.append((t, n, s, p, *pivot))
-        names = [x.split()[0] for x in _LISTED.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-        columns = list(zip(*out, strict=True)) if out else [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=names)
+        rest = np.concatenate([rest, np.stack([np.asarray(c).astype(np.int64) for c in batch.columns])], 1)
+        if not rest.shape[1]:
+            continue
+        # The last list may go on.
+        done = int(np.searchsorted(rest[0], rest[0, -1]))
+        if done:
+            yield listed(rest[:, :done])
+            rest = rest[:, done:]
+    if rest.shape[1]:
+        yield listed(rest)
 
 
 def heavy_lists(sets: DataFrame, most: int) -> DataFrame:
@@ -275,51 +313,61 @@ def _may_link(n: Column, p: Column, m: Column, q: Column) -> Column:
     return (F.least(n, m) * WHOLE >= F.greatest(n, m) * PART) & (rest * (WHOLE + PART) >= (n + m) * PART)
 
 
+def _differ(n: Column, m: Column, one: Column, other: Column) -> Column:
+    """Whether signatures differ in no more places than two linked sets of these sizes can in shingles."""
+    differ = sum((F.bit_count(one[i].bitwiseXOR(other[i])) for i in range(SIGNATURE)), F.lit(0))
+    return (F.greatest(n, m) > SIGNED) | (differ <= n + m - 2 * F.ceil((n + m) * PART / (WHOLE + PART)))
+
+
 def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one list piece (token, i, j) whose sets are in different components and may be linked."""
-
-    def pairs(rows: np.ndarray) -> np.ndarray:
-        block, i, j = rows["block"], rows["i"][0], rows["j"][0]
-        rows = rows[np.argsort(rows["n"], kind="stable")]
-        n, pos, root = rows["n"], rows["pos"], rows["root"]
-        block = rows["block"]
-        found = []
-        for x in range(len(rows)):
-            # Partners of the same size or larger, within reach.
-            end = np.searchsorted(n, n[x] * WHOLE // PART, side="right")
-            y = np.arange(x + 1, end)
-            rest = np.minimum(n[x] - pos[x], n[y] - pos[y])
-            fits = (root[y] != root[x]) & (rest * (WHOLE + PART) >= (n[x] + n[y]) * PART)
-            if i != j:
-                fits &= block[y] != block[x]
-            y = y[fits]
-            if len(y):
-                a = np.full(len(y), rows["set"][x])
-                found.append(np.stack([np.minimum(a, rows["set"][y]), np.maximum(a, rows["set"][y])], 1))
-        return np.concatenate(found) if found else np.empty((0, 2), np.int64)
-
-    def out(rows: np.ndarray) -> pa.RecordBatch:
-        p = pairs(rows)
-        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+    """Pairs of one list piece (token, i, j) whose sets are in different components and may be linked.
 
+    Entries are sorted by piece and n, and each is compared with the one behind it, the next but one and so
+    on, as far as sizes allow.
+    """
     names = ["token", "i", "j", "block", "set", "n", "pos", "root"]
-    kind = np.dtype([(x, np.int64) for x in names])
+    kind = np.dtype([(x, np.int64) for x in names] + [("signature", np.uint64, SIGNATURE)])
+
+    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        piece = np.cumsum(np.concatenate([[True], rows[["token", "i", "j"]][1:] != rows[["token", "i", "j"]][:-1]]))
+        block, n, pos, root = rows["block"], rows["n"], rows["pos"], rows["root"]
+        halves = rows["i"] != rows["j"]
+        x, step = np.arange(len(rows)), 0
+        while len(x):
+            step += 1
+            x = x[x + step < len(rows)]
+            y = x + step
+            near = (piece[x] == piece[y]) & (PART * n[y] <= WHOLE * n[x])
+            x, y = x[near], y[near]
+            rest = np.minimum(n[x] - pos[x], n[y] - pos[y])
+            size = n[x] + n[y]
+            fits = (root[x] != root[y]) & (rest * (WHOLE + PART) >= size * PART)
+            fits &= ~halves[x] | (block[x] != block[y])
+            a, b, size = x[fits], y[fits], size[fits]
+            if not len(a):
+                continue
+            differ = np.bitwise_count(rows["signature"][a] ^ rows["signature"][b]).sum(1, dtype=np.int64)
+            may = (n[b] > SIGNED) | (differ <= size - 2 * -(-PART * size // (WHOLE + PART)))
+            a, b = rows["set"][a[may]], rows["set"][b[may]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
     rest = np.empty(0, kind)
     for batch in batches:
         rows = np.empty(batch.num_rows, kind)
         for x in names:
             rows[x] = batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False)
+        bits = batch.column(batch.schema.get_field_index("signature")).flatten()
+        # Of negative numbers numpy would count the bits of the absolute value.
+        rows["signature"] = bits.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SIGNATURE)
         rows = np.concatenate([rest, rows])
         if not len(rows):
             continue
+        # The last piece may go on.
         keys = rows[["token", "i", "j"]]
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        *done, rest = np.split(rows, cuts)
-        for piece in done:
-            if piece["root"].min() != piece["root"].max():
-                yield out(piece)
-    if len(rest) and rest["root"].min() != rest["root"].max():
-        yield out(rest)
+        done = int(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[-1])
+        yield from pairs(rows[:done])
+        rest = rows[done:].copy()
+    yield from pairs(rest)
 
 
 def _kept(pairs: list[tuple[int, int]]) -> pa.Table:
@@ -365,6 +413,15 @@ def _possible(key, pairs, sets):
     return _kept(kept)
 
 
+def possible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their signatures allow to be linked."""
+    for end in ("a", "b"):
+        own = signatures.select(F.col("set").alias(end), F.struct("n", "signature").alias(f"of_{end}"))
+        pairs = pairs.join(own, end)
+    n, m = F.col("of_a.n"), F.col("of_b.n")
+    return pairs.filter(_differ(n, m, F.col("of_a.signature"), F.col("of_b.signature"))).select("a", "b")
+
+
 def tested(pairs: DataFrame, content: DataFrame, test, folder: str, name: str) -> DataFrame:
     """The pairs (a, b) that pass ``test``, which sees the rows of ``content`` of their sets; stored.
 
@@ -431,14 +488,14 @@ def _mixed(known: DataFrame) -> DataFrame:
     return known.join(ends.filter("low <> high").select("token", "k"), "token")
 
 
-def _cross(mixed: DataFrame) -> DataFrame:
-    """Pairs (a < b) of a list whose sets have different roots and may be linked."""
-    pieces = mixed.withColumn("blocks", F.ceil(F.col("k") / LIST_BLOCK))
+def _cross(mixed: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Pairs (a < b) of a list whose sets have different roots and may be linked, by place and signature."""
+    pieces = mixed.join(signatures.select("set", "signature"), "set").withColumn("blocks", F.ceil(F.col("k") / LIST_BLOCK))
     pieces = pieces.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
     pieces = pieces.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     i, j = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    pieces = pieces.select("token", i, j, "block", "set", "n", "pos", "root")
-    pieces = pieces.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    pieces = pieces.select("token", i, j, "block", "set", "n", "pos", "root", "signature")
+    pieces = pieces.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n")
     return pieces.mapInArrow(_cross_pairs, "a bigint, b bigint").distinct()
 
 
@@ -509,19 +566,36 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
     lists = listed.select("token", "n", "set", "pos")
     fronts = lists.groupBy("set", "n").agg(F.collect_list(F.struct("token", "pos")).alias("listed"))  # of one front
     fronts = stored(fronts, folder, "fronts")
+    signatures = own.select("set", "n", "signature")
 
     def ordered(a: str, b: str) -> tuple[Column, Column]:
         return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
-    # What fronts allow, first against pivots, then between what these would leave apart.
+    # What fronts allow, first against pivots, then between few random pairs of long lists, however many near copies
+    # there are, then between all that these leave apart.
     fits = _may_link(F.col("n"), F.col("pos"), F.col("pivot_n"), F.col("pivot_pos"))
     pairs = listed.filter((F.col("set") != F.col("pivot")) & fits).select(*ordered("pivot", "set")).distinct()
     pivots = tested(pairs, fronts, _possible, folder, "pivots")
     guess = components(links.unionByName(pivots), f"{folder}/guess")
     guessed = stored(_rooted(lists, guess), folder, "guessed")
-    apart = tested(_cross(_mixed(guessed)), fronts, _possible, folder, "apart")
+    left = stored(_mixed(guessed), folder, "mixed")
+    for turn in count():
+        pairs = _neighbours(left.filter(F.col("k") > LONG_LIST), turn)
+        pairs = stored(pairs, folder, f"close{turn}")
+        close = stored(possible(pairs, signatures), folder, f"close{turn}_passed")
+        tried, passed = pairs.count(), close.count()
+        drop(spark, folder, f"close{turn}")
+        if passed:
+            pivots = pivots.unionByName(close)
+            guess = _joined(guess, close, folder, f"guess{turn}")
+            left = stored(_mixed(_rooted(left.select("token", "n", "set", "pos"), guess)), folder, f"mixed{turn}")
+            drop(spark, folder, "mixed", "guess", f"mixed{turn - 1}", f"guess{turn - 1}")
+        if passed * LEAST_SHARE <= tried:
+            break
+    apart = tested(_cross(left, signatures), fronts, _possible, folder, "apart")
     candidates = stored(pivots.unionByName(apart).distinct(), folder, "candidates")
-    drop(spark, folder, "lists", "pivots_passed", "apart_passed")
+    drop(spark, folder, "lists", "mixed", "pivots_passed", "apart_passed")
+    drop(spark, folder, *[f"{name}{i}{end}" for i in range(turn + 1) for name, end in (("close", "_passed"), ("mixed", ""))])
     wanted = stored(candidates.select(F.explode(F.array("a", "b")).alias("set")).distinct(), folder, "wanted")
     content = stored(set_contents(plain, "text", sets, wanted), folder, "contents")
     found = links.unionByName(tested(candidates, content, _linked, folder, "whole"))
@@ -531,17 +605,19 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
     # have been tested; what is left are pairs within the lists of such a guess.
     after = guess.join(roots.withColumnRenamed("root", "now"), "id", "left")
     after = after.groupBy("root").agg(F.min(F.coalesce("now", "id")).alias("low"), F.max(F.coalesce("now", "id")).alias("high"))
-    within = guessed.join(after.filter("low <> high").select("root"), "root", "left_semi")
+    broken = guess.join(after.filter("low <> high").select("root"), "root", "left_semi")
+    broken = broken.select(F.col("id").alias("before"), "root")
+    within = guessed.withColumnRenamed("root", "before").join(broken, "before")
     within = stored(within.select(F.xxhash64("token", "root").alias("token"), "n", "set", "pos"), folder, "within")
-    drop(spark, folder, "guessed", "guess")
+    drop(spark, folder, "guessed", "guess", f"guess{turn}", f"guess{turn - 1}")
     # Most of the parts are joined again by few random pairs of each set, however many copies there are.
     for turn in count():
         left = stored(_mixed(_rooted(within, roots)), folder, f"left{turn}")
         pairs = _neighbours(left, turn).join(candidates, ["a", "b"], "left_anti")
         for end in ("a", "b"):
             pairs = pairs.join(wanted.withColumnRenamed("set", end), end, "left_semi")
-        pairs = tested(pairs.select("a", "b"), fronts, _possible, folder, f"near{turn}")
-        passed = tested(pairs, content, _linked, folder, f"linked{turn}")
+        pairs = stored(pairs.select("a", "b"), folder, f"near{turn}")
+        passed = tested(possible(pairs, signatures), content, _linked, folder, f"linked{turn}")
         roots = _joined(roots, passed, folder, f"roots{turn}")
         drop(spark, folder, "within", f"left{turn - 1}", "found", f"roots{turn - 1}")
         within = left.select("token", "n", "set", "pos")
@@ -550,7 +626,7 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
     # Members of parts that are still apart are paired as well. Those that light links alone had joined
     # belong to no candidate, so their sets are still to be loaded.
     left = stored(_mixed(_rooted(within, roots)), folder, "left")
-    rest = _cross(left).join(candidates, ["a", "b"], "left_anti")
+    rest = _cross(left, signatures).join(candidates, ["a", "b"], "left_anti")
     rest = tested(rest, fronts, _possible, folder, "more")
     further = rest.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(wanted, "set", "left_anti")
     further = stored(further, folder, "further")
