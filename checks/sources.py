@@ -11,7 +11,7 @@ from pulsepress.operators.ingest import align, insert_if_absent
 from pulsepress.plans.trends import trend_aggregate
 from pulsepress.plans.views import register_views
 from pulsepress.sources.files import compact, json_rows, load_csv, load_json, load_parquet, save_csv, save_json
-from pulsepress.sources.objects import export_objects
+from pulsepress.sources.objects import export_objects, read_objects
 from pulsepress.sources.scratch import scratch_folder
 
 
@@ -212,9 +212,7 @@ def _(fx):
     root = scratch_folder(fx.spark)
     key = F.concat("source", F.lit("/"), F.substring("url", 7, 20), F.lit(".txt"))
     export_objects(fx.articles.select(key.alias("path"), F.col("content").cast("binary").alias("content")), root)
-    stored = fx.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    at = F.instr("path", root.rsplit("/", 1)[-1]) + len(root.rsplit("/", 1)[-1]) + 1
-    return stored.select(F.substr("path", at).alias("path"), F.md5("content").alias("digest"), F.col("length").alias("bytes"))
+    return read_objects(fx.spark, root).select("path", F.md5("content").alias("digest"), F.col("length").alias("bytes"))
 
 
 @check(

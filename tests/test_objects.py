@@ -1,12 +1,15 @@
-"""Objects written one by one: what is stored, what is refused, what an export that breaks off leaves."""
+"""Objects written one by one: what is stored, what is refused, what an export that breaks off leaves, what is read back."""
 
+import hashlib
 import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_points
 from pulsepress.sources import objects
+from pulsepress.sources.fixtures import RAW
 
 
 def files_below(root):
@@ -82,3 +85,53 @@ def test_other_columns_are_refused(spark, tmp_path):
     spark.dataSource.register(objects.ObjectSink)
     with pytest.raises(Exception, match="columns must be"):
         spark.range(3).write.format(objects.FORMAT).mode("append").option("path", str(tmp_path)).save()
+
+
+def test_objects_are_read_back_without_a_list_of_them_in_the_driver(spark, tmp_path):
+    texts = {i: f"text {i} é" * (i % 5) for i in range(600)}
+    documents = [(i, text, "en", f"src{i % 3}", len(text)) for i, text in texts.items()]
+    for name, some in {"documents": documents, "embeddings": [], "labels": []}.items():
+        spark.createDataFrame(some, RAW[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    result = entry_points.queries()["s9_objects_read_back"](spark, str(tmp_path))
+    # Spark's own readers hold a status of each of these files.
+    assert len(result.inputFiles()) < 200
+    wanted = {f"src{i % 3}/{i}.txt": text.encode() for i, text in texts.items()}
+    rows = result.collect()
+    assert len(rows) == 600
+    assert {r["path"]: (r["digest"], r["bytes"]) for r in rows} == {
+        path: (hashlib.md5(text).hexdigest(), len(text)) for path, text in wanted.items()
+    }
+
+
+def test_what_is_read_back_is_what_was_written(spark, tmp_path):
+    values = {
+        "a.txt": b"", "b.txt.gz": b"not packed", "_c/.d": b"\x00\xff", "e/_EXPORTED": b"x", "f g/h%20i/j+k/l.m/n": b"deep",
+        "o=1/p.parquet": b"PAR1", "é/ü.txt": "é".encode(),
+    }
+    # More than a batch may hold, each.
+    large = {f"large/{i}.bin": bytes([i]) * (objects.BATCH_BYTES + i) for i in range(3)}
+    df = spark.createDataFrame(list((values | large).items()), "path string, content binary")
+    for root in (f"{tmp_path}/plain", f"file://{tmp_path}/uri/"):
+        objects.export_objects(df, root)
+        rows = objects.read_objects(spark, root).collect()
+        assert {r["path"]: bytes(r["content"]) for r in rows} == values | large and len(rows) == len(df.collect())
+        assert all(r["length"] == len(r["content"]) for r in rows)
+
+
+def test_many_names_in_a_folder_and_many_folders_are_listed(spark, tmp_path):
+    for i in range(objects.BATCH_ROWS + 7):
+        (tmp_path / f"{i}").write_bytes(b"")
+    for i in range(300):
+        (tmp_path / f"deep{i}" / "er").mkdir(parents=True)
+        (tmp_path / f"deep{i}" / "er" / "x").write_bytes(b"xyz")
+    found, number, size = objects.listed(spark, str(tmp_path))
+    wanted = {f"{i}": 0 for i in range(objects.BATCH_ROWS + 7)} | {f"deep{i}/er/x": 3 for i in range(300)}
+    assert {r["path"]: r["size"] for r in found.collect()} == wanted
+    assert (found.count(), number, size) == (len(wanted), len(wanted), 900)
+
+
+def test_an_empty_export_is_read_back_and_a_missing_one_is_an_error(spark, tmp_path):
+    objects.export_objects(spark.createDataFrame([], "path string, content string"), f"{tmp_path}/none")
+    assert objects.read_objects(spark, f"{tmp_path}/none").collect() == []
+    with pytest.raises(Exception, match="No such file"):
+        objects.read_objects(spark, f"{tmp_path}/missing")
