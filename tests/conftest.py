@@ -31,6 +31,15 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def _nothing_cached(request):
+    """What a test has cached is not there in the next one."""
+    session = request.getfixturevalue("spark") if "spark" in request.fixturenames else None
+    yield
+    if session:
+        session.catalog.clearCache()
+
+
 @pytest.fixture(scope="session")
 def fx(spark):
     from pulsepress.sources.fixtures import Fixtures
